@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import toxicity
+from .common import crc_mod, table
 from .sentencepiece_codec import encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids_as_text=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(documents, labels.filter(crc_mod(F.col("doc_id"), 3) != 1))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
