@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import audio_columns, language_id, toxicity
 from .common import crc_mod, table
 from .sentencepiece_codec import encode
 
@@ -42,3 +42,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     found = language_id.identify(documents, language_id.learn(documents.filter(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans"))
+
+
+@query
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio_columns.media_columns(table(spark, sf_dir, "documents"))
+    size = F.length("payload")
+    return media.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.col("payload").substr(size - 15, F.lit(16))).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", "summary", F.concat(F.lit("tensors="), F.sha2("tensors", 256))).alias("feature"),
+    )
