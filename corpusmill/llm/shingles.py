@@ -24,11 +24,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of UTF-8 texts: hash, start and end of each word (in the texts joined by line feeds) and the first word of each text, with the end."""
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 texts: hash, start and end of each word (in the texts joined by line feeds) and the first word of each text, with the end. between: the bytes that part words."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     first = np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])
