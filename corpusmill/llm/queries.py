@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_columns, decontaminate, jaccard_join, language_id, pii, suffix_dedup, toxicity
+from . import audio_columns, decontaminate, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity
 from .common import crc_mod, table
 from .sentencepiece_codec import encode
 
@@ -78,3 +78,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
