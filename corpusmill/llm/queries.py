@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_columns, decontaminate, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity
+from . import audio_columns, decontaminate, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity, weak_quality
 from .common import crc_mod, table
 from .sentencepiece_codec import encode
 
@@ -83,3 +83,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = weak_quality.score(documents, weak_quality.learn(documents))
+    return scored.select("doc_id", "score", "posterior", (F.col("score") >= 0.5).alias("keep"), F.size("votes").alias("n_votes"))
