@@ -257,3 +257,11 @@ def without_id(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none, pa.array([len(s) for s in shingle_sets([t for _, t in chunk], k)], pa.int64()), none, none], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, component_id long")
+
+
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """documents, all columns, with one document of each component: that with the smallest id. Rows with a null id stay."""
+    placed = join(documents, id_col, text_col).documents
+    dropped = written(placed.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    few = dropped.count() <= BROADCAST
+    return documents.join(F.broadcast(dropped) if few else dropped, documents[id_col] == F.col("_dropped"), "left_anti")

@@ -203,3 +203,15 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         yield from batches(out(), schema)
 
     return id_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, score double, hits array<struct<start:int,end:int,term:string,weight:double>>")
+
+
+def keep(documents: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """documents, all columns, without those that score threshold or more. Narrow: rows are dropped where they are read."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.lexicon, model.exceptions)
+        for batch in it:
+            texts = (t.as_py() or "" for t in batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([probability(model.curve, features(matcher.hits(folded(t)), len(t))) < threshold for t in texts], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
