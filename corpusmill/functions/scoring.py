@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import lexicon as L
 from .text import AB
@@ -146,7 +147,7 @@ def relevance_of(query: str, text: str) -> float:
     return min(bonus + 0.3 * (low_query in low) + min(0.2 * said, 0.25) + 0.15 * (0.8 * exact + 0.2 * partial) / n + min(0.05 * related, 0.05), 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def relevance(query: pd.Series, text: pd.Series) -> pd.Series:
     """The whole score; a null on either side scores 0."""
     return pd.Series([0.0 if q is None or t is None else relevance_of(q, t) for q, t in zip(query, text, strict=True)])

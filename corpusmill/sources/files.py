@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import cache_key, strip
 
@@ -94,6 +95,6 @@ def flat_text(document: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", blocks(json.loads(document).get("body", {}).get("content", []))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def flattened(document: pd.Series) -> pd.Series:
     return document.map(lambda d: None if d is None else flat_text(d))
