@@ -49,13 +49,13 @@ def unpacked(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel() if len(planes) else np.zeros(0, dtype)
 
 
-def six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def five(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def from_five(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view(np.uint64).ravel()
 
 
@@ -74,7 +74,7 @@ class Level:
             at.append(w.starts + base)
             ends.append(w.ends + base)
             digits.append(w.digit)
-            spans.append(w.spans() & np.uint64(2**48 - 1) if len(w.starts) else np.zeros(0, np.uint64))
+            spans.append(w.spans() & np.uint64(2**40 - 1) if len(w.starts) else np.zeros(0, np.uint64))
 
         def flush() -> None:
             if group:
@@ -113,7 +113,7 @@ class Level:
         to = ((self.digits >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         edge = np.flatnonzero(np.diff(np.r_[-1, to, -1]))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            yield int(to[a]), block, level, self.digits[a:b].tobytes(), six(self.spans[a:b]), packed(self.holders[a:b])
+            yield int(to[a]), block, level, packed(np.diff(self.digits[a:b], prepend=np.uint64(0))), five(self.spans[a:b]), packed(self.holders[a:b])
 
     def answered(self, kinds: np.ndarray, holders: np.ndarray) -> None:
         """kinds of the records; holders: the smallest anywhere, of those that are not alone."""
@@ -163,9 +163,9 @@ def levels(docs: pa.Table, replies: pa.Table | None, width: int, depths: tuple[i
 def answers(bucket: int, requests: pa.Table) -> Iterator[tuple]:
     """Order one bucket's records by digit, then span, and answer each block in the order of its records."""
     rows = requests.to_pylist()
-    digits = [np.frombuffer(r["digits"], np.uint64) for r in rows]
+    digits = [np.cumsum(unpacked(r["digits"], np.uint64)) for r in rows]
     sizes = [len(d) for d in digits]
-    digit, span, holder = np.concatenate(digits), np.concatenate([from_six(r["spans"]) for r in rows]), np.concatenate([unpacked(r["holders"], np.int64) for r in rows])
+    digit, span, holder = np.concatenate(digits), np.concatenate([from_five(r["spans"]) for r in rows]), np.concatenate([unpacked(r["holders"], np.int64) for r in rows])
     order = np.lexsort((holder, span, digit))
     d, s = digit[order], span[order]
     new_digit = np.r_[True, d[1:] != d[:-1]]
