@@ -5,8 +5,8 @@ their first |x| - ceil(0.9 |x|) + 2: the extended prefix. Prefix tokens with sho
 token with a long list is indexed in combination with another such token (or, in large sets, with a class of
 sizes). The order puts tokens of many sets last, so that prefixes hold few of them; it only affects speed.
 
-A list never gives all its pairs. First each member meets the list's smallest and largest set; verified links
-form components. Then only members of different components meet, where bounds on sizes and on the overlap
+A list does not give all its pairs. First each member meets two hubs, the set that shares most of its prefix (edited
+copies surround it) and the smallest; verified links form components. Then only members of different components meet, where bounds on sizes and on the overlap
 (sums of bucket-wise minima, which cannot be too low) allow a link. Links inside a component are implied.
 """
 
@@ -29,7 +29,7 @@ LONG_LIST = 64  #: postings from which on a token is indexed in combination
 COMBINED_UP_TO = 700  #: sets up to this size combine tokens; those from 0.9 of it on take size classes (both in between)
 HEAVY = 500_000  #: bound on the tokens that the order puts last: those in at least 1 / HEAVY of all set members
 BUCKETS = 64  #: of the overlap bound
-CHUNK = 2 << 20  #: characters handled together
+CHUNK = 1 << 20  #: characters handled together
 BROADCAST = 1_000_000  #: ids up to which a side is broadcast; beyond, a shuffle join
 
 
@@ -83,7 +83,7 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
                     seen.add(c)
                     held.append(s)
                     size += len(s)
-            if size >= 4_000_000:
+            if size >= 2_000_000:
                 yield passed()
                 held, size = [], 0
         if size:
@@ -98,7 +98,7 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
     """Rows of two kinds: (doc_id, cls, n, sketch) of each document, and (cls, n, key) of each prefix token of a class, once a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("sketch", pa.list_(pa.int32()))])
     heavy_shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
                         seen.clear()
                     seen.add(c)
                     buckets = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-                    sketch = buckets.astype(np.uint16).tobytes() if buckets.max() < 65536 else None
+                    sketch = buckets.tolist()
                     size = n - -(-n * NUMERATOR // DENOMINATOR) + 2
                     if len(heavy):
                         often = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
@@ -128,12 +128,12 @@ def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
                     key_size.append(np.full(min(size, n), n, np.int32))
                 sketches.append(sketch)
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), none, pa.array(sketches, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), none, pa.array(sketches, pa.list_(pa.int32()))], schema=schema)
             if keys:
                 key = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(np.concatenate(key_class)), pa.array(np.concatenate(key_size)), pa.array(key), pa.nulls(len(key), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(np.concatenate(key_class)), pa.array(np.concatenate(key_size)), pa.array(key), pa.nulls(len(key), pa.list_(pa.int32()))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n int, key long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, cls long, n int, key long, sketch array<int>")
 
 
 def may_link(a: str, b: str) -> F.Column:
@@ -141,35 +141,36 @@ def may_link(a: str, b: str) -> F.Column:
     return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
 
 
+def overlap_allows(a: str, b: str, n_a: str, n_b: str) -> F.Column:
+    """Sketches that allow a link: an overlap is at most the sum of the lesser bucket counts."""
+    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col(n_a) + F.col(n_b))
+
+
 def index(posts: DataFrame) -> DataFrame:
-    """(key, cls, n): single short-listed tokens, and combinations for long-listed ones; keys with one class are dropped."""
+    """(key, cls, n, share): single short-listed tokens, and combinations for long-listed ones.
+
+    share is the part of a class's prefix that other classes have too. Keys with one class go, and classes with
+    fewer than two shared tokens: a link needs two.
+    """
     lists = posts.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key", "m")
     shared = written(posts.join(lists, "key"))
-    short = shared.filter(F.col("m") <= LONG_LIST).select("key", "cls", "n")
+    often = shared.groupBy("cls").agg(F.count_distinct("key").alias("c")).filter("c >= 2")
+    shared = written(shared.join(often, "cls").withColumn("share", F.col("c") / (F.col("n") * (1 - NUMERATOR / DENOMINATOR) + 2)).drop("c"))
+    short = shared.filter(F.col("m") <= LONG_LIST).select("key", "cls", "n", "share")
     long = shared.filter(F.col("m") > LONG_LIST)
-    small = long.filter(F.col("n") <= COMBINED_UP_TO).groupBy("cls", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a prefix of a small set
-    pairs = small.select("cls", "n", F.posexplode("keys").alias("i", "one"), "keys").select("cls", "n", "one", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("two"))
-    combined = pairs.select(F.xxhash64("one", "two").alias("key"), "cls", "n")
+    small = long.filter(F.col("n") <= COMBINED_UP_TO).groupBy("cls", "n", "share").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a prefix of a small set
+    pairs = small.select("cls", "n", "share", F.posexplode("keys").alias("i", "one"), "keys").select("cls", "n", "share", "one", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("two"))
+    combined = pairs.select(F.xxhash64("one", "two").alias("key"), "cls", "n", "share")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
-    large = long.filter(DENOMINATOR * F.col("n") >= NUMERATOR * COMBINED_UP_TO).select(F.explode(F.array(size_class, size_class - 1)).alias("c"), "key", "cls", "n").select(F.xxhash64("key", "c").alias("key"), "cls", "n")
+    large = long.filter(DENOMINATOR * F.col("n") >= NUMERATOR * COMBINED_UP_TO).select(F.explode(F.array(size_class, size_class - 1)).alias("c"), "key", "cls", "n", "share").select(F.xxhash64("key", "c").alias("key"), "cls", "n", "share")
     return written(short.unionByName(combined).unionByName(large).distinct())
 
 
 def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of (a, b, n_a, n_b), those whose sketches allow a link. A class without a sketch is not judged."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank = np.full(BUCKETS, 65535, np.uint16).tobytes()
-        for batch in it:
-            one, two = (np.frombuffer(b"".join(x.as_py() or blank for x in batch.column(k)), np.uint16).reshape(-1, BUCKETS) for k in (4, 5))
-            most = np.minimum(one, two).sum(1, dtype=np.int64)
-            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            kept = pa.array((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * total)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], schema=schema)
-
-    joined = pairs.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("s_a")), "a", "left").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("s_b")), "b", "left")
-    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    """Of (a, b, n_a, n_b), those whose sketches allow a link."""
+    joined = pairs.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("s_a")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("s_b")), "b")
+    return joined.filter(overlap_allows("s_a", "s_b", "n_a", "n_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int) -> DataFrame:
@@ -224,8 +225,10 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     first_doc = written(nodes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     listed = index(made.filter("key is not null").select("key", "cls", "n"))
 
-    ends = listed.groupBy("key").agg(F.min(F.struct("n", "cls")).alias("lo"), F.max(F.struct("n", "cls")).alias("hi")).filter("lo <> hi")
-    star = listed.join(ends, "key").select(F.explode(F.array("lo", "hi")).alias("hub"), "cls", "n").select(F.col("hub.cls").alias("h"), F.col("hub.n").alias("hn"), "cls", "n").filter(F.col("h") != F.col("cls")).filter(may_link("hn", "n"))
+    # hubs of a list: the class that shares most of its prefix, which edited copies surround, and the smallest
+    ends = listed.groupBy("key").agg(F.max(F.struct("share", "n", "cls")).alias("hi"), F.min(F.struct("n", "cls")).alias("lo"), F.max("cls").alias("last")).filter("lo.cls <> last or hi.cls <> last")
+    hubs = F.array(F.struct(F.col("hi.n").alias("n"), F.col("hi.cls").alias("cls")), F.struct(F.col("lo.n").alias("n"), F.col("lo.cls").alias("cls")))
+    star = listed.join(ends, "key").select(F.explode(hubs).alias("hub"), "cls", "n").select(F.col("hub.cls").alias("h"), F.col("hub.n").alias("hn"), "cls", "n").filter(F.col("h") != F.col("cls")).filter(may_link("hn", "n"))
     flip = F.col("h") > F.col("cls")
     star = star.select(F.when(flip, F.col("cls")).otherwise(F.col("h")).alias("a"), F.when(flip, F.col("h")).otherwise(F.col("cls")).alias("b"), F.when(flip, F.col("n")).otherwise(F.col("hn")).alias("n_a"), F.when(flip, F.col("hn")).otherwise(F.col("n")).alias("n_b")).distinct()
     links = verified(bounded(star, sketches), known, first_doc, k)
@@ -235,9 +238,11 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     marked = listed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     marked = written(marked.join(open_keys, "key"))
-    one, two = (marked.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")) for x in ("a", "b"))
-    rest = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b")).select("a", "b", "n_a", "n_b").distinct()
-    links = links.unionByName(verified(bounded(rest, sketches), known, first_doc, k))
+    sketched = marked.join(sketches, "cls")
+    one, two = (sketched.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("a", "b"))
+    apart = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b") & overlap_allows("s_a", "s_b", "n_a", "n_b")
+    rest = one.join(two, one["key"] == two["key"]).filter(apart).select("a", "b").distinct()
+    links = links.unionByName(verified(rest, known, first_doc, k))
     labels = components(links)
 
     linked = first_doc.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
