@@ -35,6 +35,7 @@ def word_pattern(word: str) -> re.Pattern:
     return re.compile(rf"\b{re.escape(word)}\b", re.ASCII)
 
 
+@lru_cache(200_000)
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -44,16 +45,25 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+@lru_cache(16)
+def words_by_letter(low: str) -> dict[str, list[str]]:
+    """The first NEAR_WORDS words of a text for each first letter; one text meets many queries in a row."""
+    out: dict[str, list[str]] = {}
+    for w in _SPLIT.sub(" ", low).split():
+        if len(w) > 1 and w not in L.STOP_WORDS and len(held := out.setdefault(w[0], [])) < NEAR_WORDS:
+            held.append(w)
+    return out
+
+
 def near_word(word: str, low: str) -> float | None:
     """Likeness of the first near word of the text: 0 stands for one that contains the other; None if there is none."""
-    others = (w for w in _SPLIT.sub(" ", low).split() if len(w) > 1 and w[0] == word[0] and w not in L.STOP_WORDS)
-    for _, other in zip(range(NEAR_WORDS), others):
-        longest = max(len(word), len(other))
-        if abs(len(word) - len(other)) > 0.5 * longest:
+    for other in words_by_letter(low).get(word[0], ()):
+        longest, gap = max(len(word), len(other)), abs(len(word) - len(other))
+        if gap > 0.5 * longest:
             continue
         if word in other or other in word:
             return 0.0
-        if (likeness := 1 - edit_distance(word, other) / longest) >= 0.75:
+        if gap <= 0.25 * longest and (likeness := 1 - edit_distance(word, other) / longest) >= 0.75:
             return likeness
     return None
 
@@ -164,9 +174,13 @@ def phrase_score(query: Column, text: Column) -> Column:
     return F.when(F.contains(F.lower(text), F.lower(query)), 0.3).otherwise(0.0)
 
 
-def word_hits(words: Column, text: Column) -> Column:
-    """How many of the words stand in the text on ASCII word boundaries."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^A-Za-z0-9_]+", " "), F.lit(" "))
+def padded_words(text: Column) -> Column:
+    """The ASCII words of a text in lower case, each between spaces; made once a text, before queries meet it."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^A-Za-z0-9_]+", " "), F.lit(" "))
+
+
+def word_hits(words: Column, padded: Column) -> Column:
+    """How many of the words stand in the text (as padded_words()) on ASCII word boundaries."""
     return F.size(F.filter(words, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
 
 

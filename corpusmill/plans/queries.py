@@ -172,10 +172,10 @@ def dedup_report(spark, sf_dir):
 _SHOWN = ("source_id", "source_type", "content", "pdf_url", "created_at", "updated_at")
 
 
-@query(f"WITH {D} SELECT source_id, CASE WHEN id % 3 = 0 THEN 'external' ELSE 'file' END AS source_type, CASE WHEN id % 2 = 0 THEN upper(content) ELSE content END AS content, CASE WHEN id % 2 = 0 THEN NULL ELSE pdf_url END AS pdf_url, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS created_at, CASE WHEN id % 2 = 0 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM docs WHERE id % 3 <> 0 OR id % 2 = 0")
+@query(f"WITH {D} SELECT source_id, CASE WHEN id % 3 = 0 THEN 'external' ELSE 'file' END AS source_type, CASE WHEN id % 2 = 0 THEN reverse(content) ELSE content END AS content, CASE WHEN id % 2 = 0 THEN NULL ELSE pdf_url END AS pdf_url, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS created_at, CASE WHEN id % 2 = 0 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM docs WHERE id % 3 <> 0 OR id % 2 = 0")
 def upsert_documents(spark, sf_dir):
     all_docs = documents(spark, sf_dir)
-    updates = all_docs.filter("id % 2 = 0").select("source_id", F.lit("external").alias("source_type"), "name", F.upper("content").alias("content"), F.lit(None).cast("string").alias("pdf_url"))
+    updates = all_docs.filter("id % 2 = 0").select("source_id", F.lit("external").alias("source_type"), "name", F.reverse("content").alias("content"), F.lit(None).cast("string").alias("pdf_url"))
     return store.upsert_documents(all_docs.filter("id % 3 <> 0"), updates, now()).select(*_SHOWN)
 
 
@@ -254,12 +254,12 @@ def store_merge(spark, sf_dir):
     return store.merge_stores(*_stores(spark, sf_dir))[1].select("source", "chunk_index", "text")
 
 
-@query(f"WITH {C} SELECT source AS source_id, CASE WHEN document_id % 3 <> 0 THEN document_id + 5000000 END AS known_id FROM chunks WHERE chunk_index = 0 AND (document_id % 3 <> 0 OR document_id % 2 = 0)")
+@query(f"WITH {C} SELECT source AS source_id, CASE WHEN document_id % 3 <> 0 THEN document_id + 5000000 ELSE 0 END AS known_id FROM chunks WHERE chunk_index = 0 AND (document_id % 3 <> 0 OR document_id % 2 = 0)")
 def store_merge_documents(spark, sf_dir):
     merged = store.merge_stores(*_stores(spark, sf_dir))[0]
     known = store.only_new(merged.filter("id >= 5000000 and id < 6000000"), merged.limit(0))
     held = merged.join(chunks(spark, sf_dir).select(F.col("source").alias("source_id")).distinct(), "source_id", "left_semi")
-    return held.join(known.select("source_id", F.col("id").alias("known_id")), "source_id", "left").select("source_id", "known_id")
+    return held.join(known.select("source_id", F.col("id").alias("known_id")), "source_id", "left").select("source_id", F.coalesce("known_id", F.lit(0).cast("long")).alias("known_id"))
 
 
 @query(f"WITH {X} SELECT -chunk_id AS chunk_id, error_message, retry_count FROM failures WHERE id % 4 = 0 AND id % 3 <> 0 AND id % 5 <> 0 AND id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')")
@@ -380,10 +380,10 @@ def expand_query(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", text.expanded(F.col("query"), expansion).alias("expanded"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN CAST(ceil(doc_id / 8 * 1000) + 1000 AS BIGINT) END AS delay_ms, doc_id % 3 <> 1 AS limited FROM documents")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN CAST(ceil(doc_id / 8 * 1000) + 1000 AS BIGINT) ELSE -1 END AS delay_ms, doc_id % 3 <> 1 AS limited FROM documents")
 def retry_delay(spark, sf_dir):
     message = F.expr("CASE id % 3 WHEN 0 THEN concat('429: Please retry in ', cast(id / 8 as string), 's') WHEN 1 THEN 'broken' ELSE 'quota exceeded' END")
-    return documents(spark, sf_dir).select("id", text.retry_delay_ms(message).alias("delay_ms"), text.is_rate_limit(message).alias("limited"))
+    return documents(spark, sf_dir).select("id", F.coalesce(text.retry_delay_ms(message), F.lit(-1).cast("long")).alias("delay_ms"), text.is_rate_limit(message).alias("limited"))
 
 
 # --- chunks ---
@@ -426,9 +426,9 @@ def items(spark, sf_dir):
 def _plain_scores(spark, sf_dir):
     words = scoring.words_column(F.col("query"))
     queries = items(spark, sf_dir).withColumn("words", words)
-    score = F.round(scoring.phrase_score(F.col("query"), F.col("text")) + F.lit(0.15 * 0.8) * scoring.word_hits(F.col("words"), F.col("text")) / F.greatest(F.size("words"), F.lit(1)), 9)
-    docs = documents(spark, sf_dir).select("id", F.col("content").alias("text"), F.lit("page").alias("source"))
-    return retrieval.scored(docs, queries, score)
+    score = F.round(scoring.phrase_score(F.col("query"), F.col("text")) + F.lit(0.15 * 0.8) * scoring.word_hits(F.col("words"), F.col("padded")) / F.greatest(F.size("words"), F.lit(1)), 9)
+    docs = documents(spark, sf_dir).select("id", F.col("content").alias("text"), F.lit("page").alias("source"), scoring.padded_words(F.col("content")).alias("padded"))
+    return retrieval.scored(docs, queries, score).drop("padded")
 
 
 @query(f"WITH {_SCORED} SELECT query_id, count(*) FILTER (WHERE score > 0.05) AS n, max(score) AS best FROM scored GROUP BY query_id")
@@ -441,11 +441,6 @@ def top_k_per_query(spark, sf_dir):
     return retrieval.top_k(_plain_scores(spark, sf_dir), 5, ["id"]).select("query_id", "id", "score", "rank")
 
 
-def _few_queries(spark, sf_dir):
-    """The questions of ten items: a top-k report reads every chunk for a handful of questions."""
-    return items(spark, sf_dir).orderBy("query_id").limit(10)
-
-
 def _chunk_rows(spark, sf_dir):
     return chunks(spark, sf_dir).select("source", F.col("chunk_index").alias("index"), "text", "pdf_url")
 
@@ -453,13 +448,13 @@ def _chunk_rows(spark, sf_dir):
 @query()
 def neighbour_context(spark, sf_dir):
     rows = _chunk_rows(spark, sf_dir)
-    top = retrieval.top_k(retrieval.scored(rows, _few_queries(spark, sf_dir)), 5, ["source", "index"])
+    top = retrieval.top_k(retrieval.scored(rows, items(spark, sf_dir)), 5, ["source", "index"])
     return retrieval.widened(top, rows, 5).select("query_id", "source", "index", F.length("text").alias("size"))
 
 
 @query()
 def retrieve_context(spark, sf_dir):
-    return retrieval.retrieve(_chunk_rows(spark, sf_dir), _few_queries(spark, sf_dir)).select("query_id", F.length("context").alias("size"), F.md5("context").alias("md5"), F.size("pdfs").alias("n_pdfs"))
+    return retrieval.retrieve(_chunk_rows(spark, sf_dir), items(spark, sf_dir)).select("query_id", F.length("context").alias("size"), F.md5("context").alias("md5"), F.size("pdfs").alias("n_pdfs"))
 
 
 _PART = "'[Context ' || row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) || ']' || chr(10) || text || CASE WHEN pdf_url IS NOT NULL THEN chr(10) || '[Source PDF: ' || pdf_url || ']' ELSE '' END"
