@@ -13,7 +13,7 @@ MAX_DEPTH, MAX_PAGES, DELAY = 4, 2000, 3.0
 def robots_rules(files: DataFrame, key: str, body: str) -> DataFrame:
     """key, agent, allowed, crawl_delay: the last section of an agent counts; only 'Disallow: /' bars, any Allow lifts."""
     line = F.trim(F.regexp_replace("raw", r"^\s+|\s+$", ""))
-    lines = files.select(key, F.posexplode(F.split(body, "\n")).alias("line", "raw")).select(key, "line", line.alias("text")).filter("text <> '' and text not like '#%'")
+    lines = files.select(key, F.posexplode(F.split(body, "\n")).alias("line", "raw")).select(key, "line", F.when(line.startswith("#"), "").otherwise(line).alias("text"))  # blank lines keep a file without rules
     parts = lines.select(key, "line", F.lower(F.trim(F.substring_index("text", ":", 1))).alias("name"), F.lower(F.trim(F.regexp_replace("text", "^[^:]*:?", ""))).alias("value"))
     listed = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line", "name", "value"))).alias("rules"))  # one file's lines
     start = F.expr("array(named_struct('agent', '*', 'allowed', true, 'crawl_delay', cast(null as double)))")
