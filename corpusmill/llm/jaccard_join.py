@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, rows, written
+from .common import id_text, rows, small_batches, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -217,6 +217,7 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     id). A row with a null id keeps a null component and takes no part. Repeated rows of one id are one node. An
     empty table gives an empty one.
     """
+    small_batches(documents.sparkSession)
     docs = id_text(documents, id_col, text_col)
     known = docs.filter("doc_id is not null")
     made = written(prefix_tokens(known, k, heavy_tokens(known, k)))
