@@ -98,27 +98,28 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
     """Rows of two kinds: (doc_id, cls, n, sketch) of each document, and (cls, n, key) of each prefix token of a class, once a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("sketch", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("sketch", pa.list_(pa.int8())), ("unit", pa.int32())])
     heavy_shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = heavy_shared.value
         seen: set[int] = set()
         for chunk in chunks(it):
-            ids, classes, sizes, sketches, keys, key_class, key_size = [], [], [], [], [], [], []
+            ids, classes, sizes, sketches, units, keys, key_class, key_size = [], [], [], [], [], [], [], []
             for (doc, _), s in zip(chunk, shingle_sets([t for _, t in chunk], k), strict=True):
                 n, c = len(s), class_of(s)
                 ids.append(doc)
                 classes.append(c)
                 sizes.append(n)
                 new = n > 0 and c not in seen
-                sketch = None
+                sketch = unit = None
                 if new:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(c)
                     buckets = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-                    sketch = buckets.tolist()
+                    unit = -(-int(buckets.max()) // 127)
+                    sketch = (-(-buckets // unit)).tolist()  # rounded up: the bound stays a bound
                     size = n - -(-n * NUMERATOR // DENOMINATOR) + 2
                     if len(heavy):
                         often = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
@@ -127,13 +128,14 @@ def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
                     key_class.append(np.full(min(size, n), c, np.int64))
                     key_size.append(np.full(min(size, n), n, np.int32))
                 sketches.append(sketch)
+                units.append(unit)
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), none, pa.array(sketches, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), none, pa.array(sketches, pa.list_(pa.int8())), pa.array(units, pa.int32())], schema=schema)
             if keys:
                 key = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(np.concatenate(key_class)), pa.array(np.concatenate(key_size)), pa.array(key), pa.nulls(len(key), pa.list_(pa.int32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(np.concatenate(key_class)), pa.array(np.concatenate(key_size)), pa.array(key), pa.nulls(len(key), pa.list_(pa.int8())), pa.nulls(len(key), pa.int32())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n int, key long, sketch array<int>")
+    return docs.mapInArrow(run, "doc_id long, cls long, n int, key long, sketch array<tinyint>, unit int")
 
 
 def may_link(a: str, b: str) -> F.Column:
@@ -141,10 +143,15 @@ def may_link(a: str, b: str) -> F.Column:
     return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
 
 
-def overlap_allows(a: str, b: str, n_a: str, n_b: str) -> F.Column:
-    """Sketches that allow a link: an overlap is at most the sum of the lesser bucket counts."""
-    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col(n_a) + F.col(n_b))
+def overlap_allows() -> F.Column:
+    """Sketches s_a and s_b (counts in units u_a and u_b) that allow a link of sets of n_a and n_b: an overlap is at
+    most the sum of the lesser bucket counts."""
+    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x * F.col("u_a"), y * F.col("u_b"))), F.lit(0), lambda total, x: total + x)
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("n_a") + F.col("n_b"))
+
+
+def sketch_of(sketches: DataFrame, x: str) -> DataFrame:
+    return sketches.select(F.col("cls").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("unit").alias(f"u_{x}"))
 
 
 def index(posts: DataFrame) -> DataFrame:
@@ -169,8 +176,8 @@ def index(posts: DataFrame) -> DataFrame:
 
 def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of (a, b, n_a, n_b), those whose sketches allow a link."""
-    joined = pairs.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("s_a")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("s_b")), "b")
-    return joined.filter(overlap_allows("s_a", "s_b", "n_a", "n_b")).select("a", "b")
+    joined = pairs.join(sketch_of(sketches, "a"), "a").join(sketch_of(sketches, "b"), "b")
+    return joined.filter(overlap_allows()).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int) -> DataFrame:
@@ -222,7 +229,7 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     known = docs.filter("doc_id is not null")
     made = written(prefix_tokens(known, k, heavy_tokens(known, k)))
     nodes = made.filter("doc_id is not null").select("doc_id", "cls", "n")
-    sketches = made.filter("sketch is not null").select("cls", "sketch").dropDuplicates(["cls"])
+    sketches = made.filter("sketch is not null").select("cls", "sketch", "unit").dropDuplicates(["cls"])
     first_doc = written(nodes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     listed = index(made.filter("key is not null").select("key", "cls", "n"))
 
@@ -240,8 +247,8 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     marked = written(marked.join(open_keys, "key"))
     sketched = marked.join(sketches, "cls")
-    one, two = (sketched.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("a", "b"))
-    apart = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b") & overlap_allows("s_a", "s_b", "n_a", "n_b")
+    one, two = (sketched.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("unit").alias(f"u_{x}")) for x in ("a", "b"))
+    apart = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b") & overlap_allows()
     rest = one.join(two, one["key"] == two["key"]).filter(apart).select("a", "b").distinct()
     links = links.unionByName(verified(rest, known, first_doc, k))
     labels = components(links)
