@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_text
+from .common import batches, id_text, small_batches
 from .jaccard_join import chunks
 from .shingles import combined, word_hashes
 

@@ -27,7 +27,7 @@ from .common import id_text, rows
 
 SPACE = "▁"
 LONG = 200  #: symbols; a longer part gets a heap, so that work stays n log n
-CHUNK = 12 << 20  #: characters of text that are encoded together
+CHUNK = 4 << 20  #: characters of text that are encoded together
 NONE = np.int32(2**31 - 1)
 
 

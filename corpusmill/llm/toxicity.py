@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_text, rows
+from .common import batches, id_text, rows, small_batches
 
 #: Words that are insults in nearly every use, with a starting weight.
 SEED = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "scum": 3.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 2.0, "loser": 2.5, "trash": 1.5, "clown": 1.5, "imbecile": 3.0, "dumbass": 3.5, "bastard": 3.0, "retard": 3.5}
@@ -214,4 +214,5 @@ def keep(documents: DataFrame, model: Model, threshold: float = 0.7, text_col: s
             texts = (t.as_py() or "" for t in batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([probability(model.curve, features(matcher.hits(folded(t)), len(t))) < threshold for t in texts], pa.bool_()))
 
+    small_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)
