@@ -24,6 +24,7 @@ _PROJECT_LOOSE = re.compile(r"(?i)projet\s+personn?el|projets\s+personn?els|proj
 _CONTEXT_TIME = re.compile(r"jours?\s+\d+|de\s+\d+h\d+|à\s+\d+h\d+")
 
 
+@lru_cache(4096)
 def query_words(query: str) -> list[str]:
     """ASCII words of two or more characters that are no stop words; without any, the cleaned query as one."""
     clean = _SPLIT.sub(" ", query.lower())
@@ -46,28 +47,32 @@ def edit_distance(a: str, b: str) -> int:
 
 
 @lru_cache(16)
-def words_by_letter(low: str) -> dict[str, list[str]]:
-    """The first NEAR_WORDS words of a text for each first letter; one text meets many queries in a row."""
-    out: dict[str, list[str]] = {}
-    for w in _SPLIT.sub(" ", low).split():
-        if len(w) > 1 and w not in L.STOP_WORDS and len(held := out.setdefault(w[0], [])) < NEAR_WORDS:
-            held.append(w)
-    return out
+def words_of(low: str) -> tuple[frozenset[str], dict[str, list[tuple[str, frozenset[str]]]]]:
+    """A text's ASCII words, and the first NEAR_WORDS of them for each first letter; one text meets many queries in a row."""
+    words = _SPLIT.sub(" ", low).split()
+    by_letter: dict[str, list[tuple[str, frozenset[str]]]] = {}
+    for w in words:
+        if len(w) > 1 and w not in L.STOP_WORDS and len(held := by_letter.setdefault(w[0], [])) < NEAR_WORDS:
+            held.append((w, frozenset(w)))
+    return frozenset(words), by_letter
 
 
 def near_word(word: str, low: str) -> float | None:
     """Likeness of the first near word of the text: 0 stands for one that contains the other; None if there is none."""
-    for other in words_by_letter(low).get(word[0], ()):
+    letters = frozenset(word)
+    for other, others in words_of(low)[1].get(word[0], ()):
         longest, gap = max(len(word), len(other)), abs(len(word) - len(other))
         if gap > 0.5 * longest:
             continue
         if word in other or other in word:
             return 0.0
-        if gap <= 0.25 * longest and (likeness := 1 - edit_distance(word, other) / longest) >= 0.75:
+        most = int(0.25 * longest)  # edits that a near word may take; letters that only one has cost one each
+        if gap <= most and len(letters - others) <= most and len(others - letters) <= most and (likeness := 1 - edit_distance(word, other) / longest) >= 0.75:
             return likeness
     return None
 
 
+@lru_cache(4096)
 def phrases(low_query: str, project: bool) -> list[str]:
     out = list(L.PROJECT_PHRASES) if project else list(L.STAFF_PHRASES) if "personnel" in low_query else []
     for triggers, group in L.KEY_PHRASES:
@@ -79,11 +84,12 @@ def phrases(low_query: str, project: bool) -> list[str]:
 def word_matches(words: list[str], low: str, project: bool) -> tuple[float, float]:
     """Weights of exact and of partial word matches."""
     exact = partial = 0.0
+    said = words_of(low)[0]
     for word in words:
         active, common = word in L.ACTIVITY_WORDS, word in L.COMMON_WORDS
         if project and word in ("personnel", "personnels"):
             exact += 2.0 if _PROJECT.search(low) else 0.1
-        elif word_pattern(word).search(low):
+        elif word in said or (" " in word and word_pattern(word).search(low)):
             exact += 3.0 if active else 0.3 if common else 1.0
         elif len(word) <= 2 or common:
             partial += 0.1 * (word in low)
@@ -125,17 +131,21 @@ def intent_pattern(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.I)
 
 
-def intent_bonus(low_query: str, text: str, project: bool) -> float:
+@lru_cache(4096)
+def intents(low_query: str) -> list[tuple[re.Pattern, float, float]]:
+    """The rules that a query sets off."""
     rules = [*L.INTENTS, *L.INTENTS_STAFF]
     if "projet personnel" not in low_query:
         rules += L.INTENTS_BUT_PROJECT
         if "projets personnels" not in low_query:
             rules += L.INTENTS_STAFF
+    return [(intent_pattern(pattern), bonus, most) for triggers, pattern, bonus, most in rules if any(t in low_query for t in triggers)]
+
+
+def intent_bonus(low_query: str, text: str, project: bool) -> float:
     total = 0.0
-    for triggers, pattern, bonus, most in rules:
-        if any(t in low_query for t in triggers):
-            p = intent_pattern(pattern)
-            total += min(bonus * (sum(1 for _ in p.finditer(text)) if most > bonus else bool(p.search(text))), most)
+    for p, bonus, most in intents(low_query):
+        total += min(bonus * (sum(1 for _ in p.finditer(text)) if most > bonus else bool(p.search(text))), most)
     if project:
         total += 1.0 * bool(_PROJECT_LOOSE.search(text)) + 0.2 * bool(re.search(r"(?:\A|\n)projets?\s+personnels?", text.lower().strip()))
     return total
