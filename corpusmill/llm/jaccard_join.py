@@ -180,6 +180,20 @@ def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.filter(overlap_allows()).select("a", "b")
 
 
+def with_labels(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    return listed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): each member (key, cls, n, weight, label) of a list with the list's hubs, the heaviest and the
+    smallest, where sizes allow a link and the two are not in one component yet. Linear in the lists."""
+    ends = members.groupBy("key").agg(F.max(F.struct("weight", "n", "cls", "label")).alias("hi"), F.min(F.struct("n", "cls", "label")).alias("lo"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last")
+    hubs = F.array(*(F.struct(F.col(f"{x}.n").alias("n"), F.col(f"{x}.cls").alias("cls"), F.col(f"{x}.label").alias("label")) for x in ("hi", "lo")))
+    met = members.join(ends, "key").select(F.explode(hubs).alias("hub"), "cls", "n", "label").filter((F.col("hub.label") != F.col("label")) & may_link("hub.n", "n"))
+    one, two = F.struct("cls", "n"), F.struct("hub.cls", "hub.n")
+    return met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int) -> DataFrame:
     """Of pairs of classes, those that link, by the whole sets of their first documents."""
     pairs = written(pairs)
@@ -232,17 +246,16 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     first_doc = written(nodes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     listed = index(made.filter("key is not null").select("key", "cls", "n"))
 
-    # hubs of a list: the class that shares most of its prefix, which edited copies surround, and the smallest
-    ends = listed.groupBy("key").agg(F.max(F.struct("share", "n", "cls")).alias("hi"), F.min(F.struct("n", "cls")).alias("lo"), F.max("cls").alias("last")).filter("lo.cls <> last or hi.cls <> last")
-    hubs = F.array(F.struct(F.col("hi.n").alias("n"), F.col("hi.cls").alias("cls")), F.struct(F.col("lo.n").alias("n"), F.col("lo.cls").alias("cls")))
-    star = listed.join(ends, "key").select(F.explode(hubs).alias("hub"), "cls", "n").select(F.col("hub.cls").alias("h"), F.col("hub.n").alias("hn"), "cls", "n").filter(F.col("h") != F.col("cls")).filter(may_link("hn", "n"))
-    flip = F.col("h") > F.col("cls")
-    star = star.select(F.when(flip, F.col("cls")).otherwise(F.col("h")).alias("a"), F.when(flip, F.col("h")).otherwise(F.col("cls")).alias("b"), F.when(flip, F.col("n")).otherwise(F.col("hn")).alias("n_a"), F.when(flip, F.col("hn")).otherwise(F.col("n")).alias("n_b")).distinct()
-    links = verified(bounded(star, sketches), known, first_doc, k)
+    # hubs: first the class that shares most of its prefix and the smallest; then that with most links so far, which
+    # the edited copies of a text surround
+    links = verified(bounded(star_pairs(listed.withColumn("weight", F.col("share")).withColumn("label", F.col("cls"))), sketches), known, first_doc, k)
+    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").cast("double").alias("weight"))
+    labelled = with_labels(listed, written(components(links))).join(degree, "cls", "left").fillna(0.0, ["weight"])
+    links = links.unionByName(verified(bounded(star_pairs(written(labelled)), sketches), known, first_doc, k))
     labels = written(components(links))
 
     # members of different components that share a key
-    marked = listed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    marked = with_labels(listed, labels)
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     marked = written(marked.join(open_keys, "key"))
     sketched = marked.join(sketches, "cls")
