@@ -6,8 +6,10 @@ token with a long list is indexed in combination with another such token (or, in
 sizes). The order puts tokens of many sets last, so that prefixes hold few of them; it only affects speed.
 
 A list does not give all its pairs. First each member meets two hubs, the set that shares most of its prefix (edited
-copies surround it) and the smallest; verified links form components. Then only members of different components meet, where bounds on sizes and on the overlap
-(sums of bucket-wise minima, which cannot be too low) allow a link. Links inside a component are implied.
+copies surround it) and the smallest; verified links form components. Then only members of different components meet, where bounds allow a link:
+on sizes; on the difference (bits of two parity signatures that differ, which cannot be too many); and for large sets,
+whose signatures say little, on the overlap (sums of bucket-wise minima, which cannot be too low). Links inside a
+component are implied.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ LONG_LIST = 64  #: postings from which on a token is indexed in combination
 COMBINED_UP_TO = 700  #: sets up to this size combine tokens; those from 0.9 of it on take size classes (both in between)
 HEAVY = 500_000  #: bound on the tokens that the order puts last: those in at least 1 / HEAVY of all set members
 BUCKETS = 64  #: of the overlap bound
+PARITY = 4  #: words of 64 bits of a parity signature
+SKETCH_FROM = 1000  #: set size from which on the overlap bound is kept beside the signature
 CHUNK = 1 << 20  #: characters handled together
 BROADCAST = 1_000_000  #: ids up to which a side is broadcast; beyond, a shuffle join
 
@@ -97,29 +101,32 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
-    """Rows of two kinds: (doc_id, cls, n, sketch) of each document, and (cls, n, key) of each prefix token of a class, once a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("sketch", pa.list_(pa.int8())), ("unit", pa.int32())])
+    """Rows of two kinds: (doc_id, cls, n) of each document, with signature and sketch once a task, and (cls, n, key) of each prefix token of a class, once a task."""
+    bits = [f"p{i}" for i in range(PARITY)]
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), *((p, pa.int64()) for p in bits), ("sketch", pa.list_(pa.int8())), ("unit", pa.int32())])
     heavy_shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = heavy_shared.value
         seen: set[int] = set()
         for chunk in chunks(it):
-            ids, classes, sizes, sketches, units, keys, key_class, key_size = [], [], [], [], [], [], [], []
+            ids, classes, sizes, parities, sketches, units, keys, key_class, key_size = [], [], [], [], [], [], [], [], []
             for (doc, _), s in zip(chunk, shingle_sets([t for _, t in chunk], k), strict=True):
                 n, c = len(s), class_of(s)
                 ids.append(doc)
                 classes.append(c)
                 sizes.append(n)
                 new = n > 0 and c not in seen
-                sketch = unit = None
+                parity = sketch = unit = None
                 if new:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(c)
-                    buckets = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-                    unit = -(-int(buckets.max()) // 127)
-                    sketch = (-(-buckets // unit)).tolist()  # rounded up: the bound stays a bound
+                    parity = np.packbits((np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1).astype(bool)).view(np.int64).tolist()
+                    if n >= SKETCH_FROM:
+                        buckets = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
+                        unit = -(-int(buckets.max()) // 127)
+                        sketch = (-(-buckets // unit)).tolist()  # rounded up: the bound stays a bound
                     size = n - -(-n * NUMERATOR // DENOMINATOR) + 2
                     if len(heavy):
                         often = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
@@ -127,15 +134,17 @@ def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
                     keys.append(s[:size])
                     key_class.append(np.full(min(size, n), c, np.int64))
                     key_size.append(np.full(min(size, n), n, np.int32))
+                parities.append(parity or [None] * PARITY)
                 sketches.append(sketch)
                 units.append(unit)
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), none, pa.array(sketches, pa.list_(pa.int8())), pa.array(units, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), none, *(pa.array(p, pa.int64()) for p in zip(*parities, strict=True)), pa.array(sketches, pa.list_(pa.int8())), pa.array(units, pa.int32())], schema=schema)
             if keys:
                 key = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(np.concatenate(key_class)), pa.array(np.concatenate(key_size)), pa.array(key), pa.nulls(len(key), pa.list_(pa.int8())), pa.nulls(len(key), pa.int32())], schema=schema)
+                none = pa.nulls(len(key), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(np.concatenate(key_class)), pa.array(np.concatenate(key_size)), pa.array(key), *([none] * PARITY), pa.nulls(len(key), pa.list_(pa.int8())), pa.nulls(len(key), pa.int32())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n int, key long, sketch array<tinyint>, unit int")
+    return docs.mapInArrow(run, f"doc_id long, cls long, n int, key long, {', '.join(f'{p} long' for p in bits)}, sketch array<tinyint>, unit int")
 
 
 def may_link(a: str, b: str) -> F.Column:
@@ -143,15 +152,21 @@ def may_link(a: str, b: str) -> F.Column:
     return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
 
 
+def difference_allows() -> F.Column:
+    """Signatures that allow a link: a token in one set only turns one bit, so at least as many tokens differ as bits."""
+    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)), F.lit(0))
+    return (NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b"))
+
+
 def overlap_allows() -> F.Column:
-    """Sketches s_a and s_b (counts in units u_a and u_b) that allow a link of sets of n_a and n_b: an overlap is at
-    most the sum of the lesser bucket counts."""
+    """Sketches s_a and s_b (counts in units u_a and u_b; null for small sets) that allow a link of sets of n_a and
+    n_b: an overlap is at most the sum of the lesser bucket counts."""
     most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x * F.col("u_a"), y * F.col("u_b"))), F.lit(0), lambda total, x: total + x)
-    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("n_a") + F.col("n_b"))
+    return F.col("s_a").isNull() | F.col("s_b").isNull() | ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("n_a") + F.col("n_b")))
 
 
 def sketch_of(sketches: DataFrame, x: str) -> DataFrame:
-    return sketches.select(F.col("cls").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("unit").alias(f"u_{x}"))
+    return sketches.select(F.col("cls").alias(x), *(F.col(f"p{i}").alias(f"p{i}_{x}") for i in range(PARITY)), F.col("sketch").alias(f"s_{x}"), F.col("unit").alias(f"u_{x}"))
 
 
 def index(posts: DataFrame) -> DataFrame:
@@ -177,7 +192,7 @@ def index(posts: DataFrame) -> DataFrame:
 def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of (a, b, n_a, n_b), those whose sketches allow a link."""
     joined = pairs.join(sketch_of(sketches, "a"), "a").join(sketch_of(sketches, "b"), "b")
-    return joined.filter(overlap_allows()).select("a", "b")
+    return joined.filter(difference_allows() & overlap_allows()).select("a", "b")
 
 
 def with_labels(listed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,6 +209,14 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
 
 
+def apart(members: DataFrame, more: F.Column) -> DataFrame:
+    """(a, b): members of a list in different components that the bounds and more let link. Higher-order functions would
+    keep a join from being compiled, so small sets, which are many, do with signatures."""
+    kept = lambda x: [F.col("cls").alias(x), *(F.col(c).alias(f"{to}_{x}") for c, to in (("n", "n"), ("label", "l"), *((f"p{i}", f"p{i}") for i in range(PARITY)), ("sketch", "s"), ("unit", "u")))]
+    one, two = members.select("key", *kept("a")), members.select("key", *kept("b"))
+    return one.join(two, one["key"] == two["key"]).filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b") & difference_allows() & more).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int) -> DataFrame:
     """Of pairs of classes, those that link, by the whole sets of their first documents."""
     pairs = written(pairs)
@@ -242,7 +265,7 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     known = docs.filter("doc_id is not null")
     made = written(prefix_tokens(known, k, heavy_tokens(known, k)))
     nodes = made.filter("doc_id is not null").select("doc_id", "cls", "n")
-    sketches = made.filter("sketch is not null").select("cls", "sketch", "unit").dropDuplicates(["cls"])
+    sketches = made.filter("p0 is not null").select("cls", *(f"p{i}" for i in range(PARITY)), "sketch", "unit").dropDuplicates(["cls"])
     first_doc = written(nodes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     listed = index(made.filter("key is not null").select("key", "cls", "n"))
 
@@ -259,9 +282,8 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     marked = written(marked.join(open_keys, "key"))
     sketched = marked.join(sketches, "cls")
-    one, two = (sketched.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("unit").alias(f"u_{x}")) for x in ("a", "b"))
-    apart = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b") & overlap_allows()
-    rest = one.join(two, one["key"] == two["key"]).filter(apart).select("a", "b").distinct()
+    small, large = sketched.filter(F.col("n") < SKETCH_FROM), sketched.filter(DENOMINATOR * F.col("n") >= NUMERATOR * SKETCH_FROM)
+    rest = apart(small, F.lit(True)).union(apart(large, (F.greatest("n_a", "n_b") >= SKETCH_FROM) & overlap_allows())).distinct()
     links = links.unionByName(verified(rest, known, first_doc, k))
     labels = components(links)
 
