@@ -31,7 +31,8 @@ LONG_LIST = 64  #: postings from which on a token is indexed in combination
 COMBINED_UP_TO = 700  #: sets up to this size combine tokens; those from 0.9 of it on take size classes (both in between)
 HEAVY = 500_000  #: bound on the tokens that the order puts last: those in at least 1 / HEAVY of all set members
 BUCKETS = 64  #: of the overlap bound
-PARITY = 4  #: words of 64 bits of a parity signature
+PARITY = 8  #: words of 64 bits of a parity signature
+FINE = 4096  #: bits of the signature that a pair passes before its texts are sent
 SKETCH_FROM = 1000  #: set size from which on the overlap bound is kept beside the signature
 CHUNK = 1 << 20  #: characters handled together
 BROADCAST = 1_000_000  #: ids up to which a side is broadcast; beyond, a shuffle join
@@ -217,12 +218,42 @@ def apart(members: DataFrame, more: F.Column) -> DataFrame:
     return one.join(two, one["key"] == two["key"]).filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b") & difference_allows() & more).select("a", "b")
 
 
+def fine_signatures(texts: DataFrame, k: int) -> DataFrame:
+    """(cls, n, bits) of (cls, text): set sizes and parity signatures of FINE bits."""
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(it):
+            sets = list(shingle_sets([t for _, t in chunk], k))
+            bits = [np.packbits((np.bincount((s % np.uint64(FINE)).astype(np.int64), minlength=FINE) & 1).astype(bool)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunk], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary())], schema=schema)
+
+    return texts.mapInArrow(run, "cls long, n int, bits binary")
+
+
+def close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Of pairs of classes, those whose fine signatures allow a link: no more bits may differ than tokens."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            kept = pa.array((NUMERATOR + DENOMINATOR) * np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= (DENOMINATOR - NUMERATOR) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(j).filter(kept) for j in (0, 1)], schema=schema)
+
+    of = lambda x: signed.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int) -> DataFrame:
-    """Of pairs of classes, those that link, by the whole sets of their first documents."""
+    """Of pairs of classes, those that link, by the whole sets of their first documents. Fine signatures go first, so
+    that texts are sent for few pairs that do not link."""
     pairs = written(pairs)
     wanted = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first_doc, "cls"))
     count = wanted.count()
     texts = written(docs.join(F.broadcast(wanted) if count <= BROADCAST else wanted, "doc_id").select("cls", "text").dropDuplicates(["cls"]))
+    pairs = written(close(pairs, written(fine_signatures(texts, k))))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
