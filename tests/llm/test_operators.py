@@ -220,8 +220,9 @@ def brute_components(docs):
     return {k: (len(sets[k]), label[k]) for k in sets}
 
 
-@pytest.mark.parametrize(("long_list", "combined"), [(64, 700), (3, 700), (3, 20)])
-def test_join_equals_brute_force(spark, monkeypatch, long_list, combined):
+@pytest.mark.parametrize(("long_list", "combined", "sketch_from"), [(64, 700, 1000), (3, 700, 50), (3, 20, 1000)])
+def test_join_equals_brute_force(spark, monkeypatch, long_list, combined, sketch_from):
+    monkeypatch.setattr(jaccard_join, "SKETCH_FROM", sketch_from)
     monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
     monkeypatch.setattr(jaccard_join, "COMBINED_UP_TO", combined)
     r = random.Random(6)
