@@ -1,7 +1,7 @@
 """Jaccard join of word-shingle sets by token-combination prefixes.
 
 Equal sets are one class. In a global order of tokens, two sets that link share at least two tokens among
-their first |x| - ceil(0.9 |x|) + 2: the extended prefix. Prefix tokens with short lists are indexed alone; a
+their first |x| - ceil(t |x|) + 2, t the least similarity of a link: the extended prefix. Prefix tokens with short lists are indexed alone; a
 token with a long list is indexed in combination with another such token (or, in large sets, with a class of
 sizes). The order puts tokens of many sets last, so that prefixes hold few of them; it only affects speed.
 
@@ -26,9 +26,9 @@ from .common import id_text, rows, written
 from .components import components
 from .shingles import shingle_sets
 
-NUMERATOR, DENOMINATOR = 90, 100
+LEAST, DENOMINATOR = 90, 100  #: similarity from which on two sets link, unless given
 LONG_LIST = 64  #: postings from which on a token is indexed in combination
-COMBINED_UP_TO = 700  #: sets up to this size combine tokens; those from 0.9 of it on take size classes (both in between)
+COMBINED_UP_TO = 700  #: at LEAST, sets up to this size combine tokens; those from LEAST of it on take size classes (both in between)
 HEAVY = 500_000  #: bound on the tokens that the order puts last: those in at least 1 / HEAVY of all set members
 BUCKETS = 64  #: of the overlap bound
 PARITY = 8  #: words of 64 bits of a parity signature
@@ -101,7 +101,7 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
+def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray, least: int = LEAST) -> DataFrame:
     """Rows of two kinds: (doc_id, cls, n) of each document, with signature and sketch once a task, and (cls, n, key) of each prefix token of a class, once a task."""
     bits = [f"p{i}" for i in range(PARITY)]
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), *((p, pa.int64()) for p in bits), ("sketch", pa.list_(pa.int8())), ("unit", pa.int32())])
@@ -128,7 +128,7 @@ def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
                         buckets = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
                         unit = -(-int(buckets.max()) // 127)
                         sketch = (-(-buckets // unit)).tolist()  # rounded up: the bound stays a bound
-                    size = n - -(-n * NUMERATOR // DENOMINATOR) + 2
+                    size = n - -(-n * least // DENOMINATOR) + 2
                     if len(heavy):
                         often = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
                         s = np.r_[s[~often], s[often]]
@@ -148,74 +148,75 @@ def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, cls long, n int, key long, {', '.join(f'{p} long' for p in bits)}, sketch array<tinyint>, unit int")
 
 
-def may_link(a: str, b: str) -> F.Column:
+def may_link(a: str, b: str, least: int) -> F.Column:
     """Sizes that allow a link."""
-    return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
+    return (DENOMINATOR * F.least(a, b) >= least * F.greatest(a, b))
 
 
-def difference_allows() -> F.Column:
+def difference_allows(least: int) -> F.Column:
     """Signatures that allow a link: a token in one set only turns one bit, so at least as many tokens differ as bits."""
     differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)), F.lit(0))
-    return (NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b"))
+    return (least + DENOMINATOR) * differ <= (DENOMINATOR - least) * (F.col("n_a") + F.col("n_b"))
 
 
-def overlap_allows() -> F.Column:
+def overlap_allows(least: int) -> F.Column:
     """Sketches s_a and s_b (counts in units u_a and u_b; null for small sets) that allow a link of sets of n_a and
     n_b: an overlap is at most the sum of the lesser bucket counts."""
     most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x * F.col("u_a"), y * F.col("u_b"))), F.lit(0), lambda total, x: total + x)
-    return F.col("s_a").isNull() | F.col("s_b").isNull() | ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("n_a") + F.col("n_b")))
+    return F.col("s_a").isNull() | F.col("s_b").isNull() | ((least + DENOMINATOR) * most >= least * (F.col("n_a") + F.col("n_b")))
 
 
 def sketch_of(sketches: DataFrame, x: str) -> DataFrame:
     return sketches.select(F.col("cls").alias(x), *(F.col(f"p{i}").alias(f"p{i}_{x}") for i in range(PARITY)), F.col("sketch").alias(f"s_{x}"), F.col("unit").alias(f"u_{x}"))
 
 
-def index(posts: DataFrame) -> DataFrame:
+def index(posts: DataFrame, least: int = LEAST) -> DataFrame:
     """(key, cls, n, share): single short-listed tokens, and combinations for long-listed ones.
 
     share is the part of a class's prefix that other classes have too. Keys with one class go, and classes with
     fewer than two shared tokens: a link needs two.
     """
+    combined_up_to = COMBINED_UP_TO * (DENOMINATOR - LEAST) // (DENOMINATOR - least)  # prefixes of one length
     lists = posts.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key", "m")
     shared = written(posts.join(lists, "key"))
     often = shared.groupBy("cls").agg(F.count_distinct("key").alias("c")).filter("c >= 2")
-    shared = written(shared.join(often, "cls").withColumn("share", F.col("c") / (F.col("n") * (1 - NUMERATOR / DENOMINATOR) + 2)).drop("c"))
+    shared = written(shared.join(often, "cls").withColumn("share", F.col("c") / (F.col("n") * (1 - least / DENOMINATOR) + 2)).drop("c"))
     short = shared.filter(F.col("m") <= LONG_LIST).select("key", "cls", "n", "share")
     long = shared.filter(F.col("m") > LONG_LIST)
-    small = long.filter(F.col("n") <= COMBINED_UP_TO).groupBy("cls", "n", "share").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a prefix of a small set
+    small = long.filter(F.col("n") <= combined_up_to).groupBy("cls", "n", "share").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a prefix of a small set
     pairs = small.select("cls", "n", "share", F.posexplode("keys").alias("i", "one"), "keys").select("cls", "n", "share", "one", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("two"))
     combined = pairs.select(F.xxhash64("one", "two").alias("key"), "cls", "n", "share")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
-    large = long.filter(DENOMINATOR * F.col("n") >= NUMERATOR * COMBINED_UP_TO).select(F.explode(F.array(size_class, size_class - 1)).alias("c"), "key", "cls", "n", "share").select(F.xxhash64("key", "c").alias("key"), "cls", "n", "share")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / least)) + 1e-9).cast("int")
+    large = long.filter(DENOMINATOR * F.col("n") >= least * combined_up_to).select(F.explode(F.array(size_class, size_class - 1)).alias("c"), "key", "cls", "n", "share").select(F.xxhash64("key", "c").alias("key"), "cls", "n", "share")
     return written(short.unionByName(combined).unionByName(large).distinct())
 
 
-def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """Of (a, b, n_a, n_b), those whose sketches allow a link."""
     joined = pairs.join(sketch_of(sketches, "a"), "a").join(sketch_of(sketches, "b"), "b")
-    return joined.filter(difference_allows() & overlap_allows()).select("a", "b")
+    return joined.filter(difference_allows(least) & overlap_allows(least)).select("a", "b")
 
 
 def with_labels(listed: DataFrame, labels: DataFrame) -> DataFrame:
     return listed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
+def star_pairs(members: DataFrame, least: int) -> DataFrame:
     """(a, b, n_a, n_b): each member (key, cls, n, weight, label) of a list with the list's hubs, the heaviest and the
     smallest, where sizes allow a link and the two are not in one component yet. Linear in the lists."""
     ends = members.groupBy("key").agg(F.max(F.struct("weight", "n", "cls", "label")).alias("hi"), F.min(F.struct("n", "cls", "label")).alias("lo"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last")
     hubs = F.array(*(F.struct(F.col(f"{x}.n").alias("n"), F.col(f"{x}.cls").alias("cls"), F.col(f"{x}.label").alias("label")) for x in ("hi", "lo")))
-    met = members.join(ends, "key").select(F.explode(hubs).alias("hub"), "cls", "n", "label").filter((F.col("hub.label") != F.col("label")) & may_link("hub.n", "n"))
+    met = members.join(ends, "key").select(F.explode(hubs).alias("hub"), "cls", "n", "label").filter((F.col("hub.label") != F.col("label")) & may_link("hub.n", "n", least))
     one, two = F.struct("cls", "n"), F.struct("hub.cls", "hub.n")
     return met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
 
 
-def apart(members: DataFrame, more: F.Column) -> DataFrame:
+def apart(members: DataFrame, more: F.Column, least: int) -> DataFrame:
     """(a, b): members of a list in different components that the bounds and more let link. Higher-order functions would
     keep a join from being compiled, so small sets, which are many, do with signatures."""
     kept = lambda x: [F.col("cls").alias(x), *(F.col(c).alias(f"{to}_{x}") for c, to in (("n", "n"), ("label", "l"), *((f"p{i}", f"p{i}") for i in range(PARITY)), ("sketch", "s"), ("unit", "u")))]
     one, two = members.select("key", *kept("a")), members.select("key", *kept("b"))
-    return one.join(two, one["key"] == two["key"]).filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b") & difference_allows() & more).select("a", "b")
+    return one.join(two, one["key"] == two["key"]).filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b", least) & difference_allows(least) & more).select("a", "b")
 
 
 def fine_signatures(texts: DataFrame, k: int) -> DataFrame:
@@ -231,7 +232,7 @@ def fine_signatures(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "cls long, n int, bits binary")
 
 
-def close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+def close(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     """Of pairs of classes, those whose fine signatures allow a link: no more bits may differ than tokens."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -239,21 +240,21 @@ def close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
         for batch in it:
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
             n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            kept = pa.array((NUMERATOR + DENOMINATOR) * np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= (DENOMINATOR - NUMERATOR) * n)
+            kept = pa.array((least + DENOMINATOR) * np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= (DENOMINATOR - least) * n)
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(kept) for j in (0, 1)], schema=schema)
 
     of = lambda x: signed.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int, least: int) -> DataFrame:
     """Of pairs of classes, those that link, by the whole sets of their first documents. Fine signatures go first, so
     that texts are sent for few pairs that do not link."""
     pairs = written(pairs)
     wanted = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first_doc, "cls"))
     count = wanted.count()
     texts = written(docs.join(F.broadcast(wanted) if count <= BROADCAST else wanted, "doc_id").select("cls", "text").dropDuplicates(["cls"]))
-    pairs = written(close(pairs, written(fine_signatures(texts, k))))
+    pairs = written(close(pairs, written(fine_signatures(texts, k)), least))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int) ->
                         last[c] = next(shingle_sets([batch.column(j + 2)[i].as_py()], k))
                     sets.append(last[c])
                 both = len(np.intersect1d(*sets, assume_unique=True))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(sets[0]) + len(sets[1]) - both))
+                keep.append(DENOMINATOR * both >= least * (len(sets[0]) + len(sets[1]) - both))
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(kept) for j in (0, 1)], schema=schema)
 
@@ -285,8 +286,8 @@ class Joined:
     classes: DataFrame  #: cls, doc_id: each class and its smallest document
 
 
-def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> Joined:
-    """Components of documents whose sets of k-word shingles have a Jaccard similarity of 0.9 or more.
+def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, least: int = LEAST) -> Joined:
+    """Components of documents whose sets of k-word shingles have a Jaccard similarity of least hundredths or more.
 
     Null and empty texts, and those without words, have no shingles and link with nothing (component: their own
     id). A row with a null id keeps a null component and takes no part. Repeated rows of one id are one node. An
@@ -294,18 +295,18 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """
     docs = id_text(documents, id_col, text_col)
     known = docs.filter("doc_id is not null")
-    made = written(prefix_tokens(known, k, heavy_tokens(known, k)))
+    made = written(prefix_tokens(known, k, heavy_tokens(known, k), least))
     nodes = made.filter("doc_id is not null").select("doc_id", "cls", "n")
     sketches = made.filter("p0 is not null").select("cls", *(f"p{i}" for i in range(PARITY)), "sketch", "unit").dropDuplicates(["cls"])
     first_doc = written(nodes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    listed = index(made.filter("key is not null").select("key", "cls", "n"))
+    listed = index(made.filter("key is not null").select("key", "cls", "n"), least)
 
     # hubs: first the class that shares most of its prefix and the smallest; then that with most links so far, which
     # the edited copies of a text surround
-    links = verified(bounded(star_pairs(listed.withColumn("weight", F.col("share")).withColumn("label", F.col("cls"))), sketches), known, first_doc, k)
+    links = verified(bounded(star_pairs(listed.withColumn("weight", F.col("share")).withColumn("label", F.col("cls")), least), sketches, least), known, first_doc, k, least)
     degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").cast("double").alias("weight"))
     labelled = with_labels(listed, written(components(links))).join(degree, "cls", "left").fillna(0.0, ["weight"])
-    links = links.unionByName(verified(bounded(star_pairs(written(labelled)), sketches), known, first_doc, k))
+    links = links.unionByName(verified(bounded(star_pairs(written(labelled), least), sketches, least), known, first_doc, k, least))
     labels = written(components(links))
 
     # members of different components that share a key
@@ -313,9 +314,9 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     marked = written(marked.join(open_keys, "key"))
     sketched = marked.join(sketches, "cls")
-    small, large = sketched.filter(F.col("n") < SKETCH_FROM), sketched.filter(DENOMINATOR * F.col("n") >= NUMERATOR * SKETCH_FROM)
-    rest = apart(small, F.lit(True)).union(apart(large, (F.greatest("n_a", "n_b") >= SKETCH_FROM) & overlap_allows())).distinct()
-    links = links.unionByName(verified(rest, known, first_doc, k))
+    small, large = sketched.filter(F.col("n") < SKETCH_FROM), sketched.filter(DENOMINATOR * F.col("n") >= least * SKETCH_FROM)
+    rest = apart(small, F.lit(True), least).union(apart(large, (F.greatest("n_a", "n_b") >= SKETCH_FROM) & overlap_allows(least), least)).distinct()
+    links = links.unionByName(verified(rest, known, first_doc, k, least))
     labels = components(links)
 
     linked = first_doc.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -337,9 +338,9 @@ def without_id(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, component_id long")
 
 
-def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, least: int = LEAST) -> DataFrame:
     """documents, all columns, with one document of each component: that with the smallest id. Rows with a null id stay."""
-    placed = join(documents, id_col, text_col).documents
+    placed = join(documents, id_col, text_col, k, least).documents
     dropped = written(placed.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct())
     few = dropped.count() <= BROADCAST
     return documents.join(F.broadcast(dropped) if few else dropped, documents[id_col] == F.col("_dropped"), "left_anti")

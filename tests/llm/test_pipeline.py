@@ -1,5 +1,7 @@
 """The pipeline's stages one after another against what each is for, and the guard around the optional parts."""
 
+import itertools
+import random
 import subprocess
 import sys
 
@@ -22,6 +24,37 @@ def test_stages_keep_columns_and_whole_run(spark, sf):
     assert len(kept & toxic) <= 0.4 * len(toxic) and len(kept & clean) > 0.75 * len(clean)
 
 
+def shingles(t, k):
+    w = t.split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def similarity(a, b, k):
+    return len(shingles(a, k) & shingles(b, k)) / len(shingles(a, k) | shingles(b, k))
+
+
+def test_near_duplicates_are_those_of_five_words(spark, sf):
+    r = random.Random(8)
+    docs = {}
+    for g in range(12):
+        base = [f"w{r.randrange(400)}" for _ in range(r.choice([8, 60, 90, 150, 900]))]
+        for _ in range(r.choice([1, 4, 8])):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 2, 3, len(base) // 40])):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+            docs[len(docs)] = " ".join(own)
+    label = {k: k for k in docs}
+    missed = 0
+    for a, b in itertools.combinations(docs, 2):
+        if similarity(docs[a], docs[b], 5) >= 0.8:
+            missed += similarity(docs[a], docs[b], 3) < 0.9
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    assert missed
+    left = corpus_pipeline.no_near_duplicates(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"), sf)
+    assert sorted(x.doc_id for x in left.collect()) == sorted(set(label.values()))
+
+
 def test_names_of_queries():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
