@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items and documents become lower-case words without punctuation. Each item's n-grams are its seeds; how many
-documents hold each is counted over the whole corpus, and an item keeps those that are rare for it. A document that
-holds a seed is aligned with the item around the places that the seeds point to; the local alignment of words, with
-mismatches and gaps, scores exact, edited and paraphrased copies as a share of a full match.
+documents hold each is counted over the whole corpus. A document that holds a seed is aligned with the item around the
+places that the seeds point to, those of rare seeds first; the local alignment of words, with mismatches and gaps, scores
+exact, edited and paraphrased copies as a share of a full match. Rarity only orders places: one is passed over only if
+it holds too few of the item's words to reach the threshold or the best score so far.
 
 Items come in blocks of bounded size, each broadcast and held against all documents, so nothing is shuffled but
 the counts of seeds.
@@ -65,20 +66,18 @@ def block_of(items: list[tuple[int, str | None]]) -> Block:
     return Block(ids, words, seeds, [where[s] for s in seeds.tolist()])
 
 
-def seed_hits(block: Block, grams: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def seed_hits(block: Block, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in grams that are seeds, and which seeds."""
     if not len(block.seeds) or not len(grams):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(block.seeds, grams), len(block.seeds) - 1)
     hit = block.seeds[at] == grams
-    if only is not None:
-        hit &= only[at]
     place = np.flatnonzero(hit)
     return place, at[place]
 
 
 def rare_seeds(block: Block, counts: np.ndarray, documents: int) -> np.ndarray:
-    """A seed stays if few documents hold it, absolutely or beside the others of one of its items."""
+    """A seed is rare if few documents hold it, absolutely or beside the others of one of its items."""
     rare = counts <= RARE * documents
     by_item = defaultdict(list)
     for seed, places in enumerate(block.places):
@@ -107,24 +106,29 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 def matches(block: Block, words: np.ndarray, place: np.ndarray, seed: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, end) of items that a document's words hold, by the seeds found at place."""
-    diagonals = defaultdict(set)
+    diagonals: dict[int, dict[int, bool]] = defaultdict(dict)
     for p, s in zip(place.tolist(), seed.tolist(), strict=True):
+        rare = block.rare is None or bool(block.rare[s])
         for item, at in block.places[s]:
-            diagonals[item].add(p - at)
+            diagonals[item][p - at] = rare or diagonals[item].get(p - at, False)
     for item, starts in diagonals.items():
         own = block.words[item]
         slack = max(4, len(own) // 4)
+        groups: list[tuple[bool, int, int]] = []  # without a rare seed, first and last diagonal
+        for at in sorted(starts):
+            if groups and at - groups[-1][2] <= slack:
+                common, first, _ = groups.pop()
+                groups.append((common and not starts[at], first, at))
+            else:
+                groups.append((not starts[at], at, at))
         best = (0, 0, 0)
-        ordered = sorted(starts)
-        k = 0
-        while k < len(ordered):
-            first = last = ordered[k]
-            while k < len(ordered) and ordered[k] - last <= slack:
-                last = ordered[k]
-                k += 1
+        for _, first, last in sorted(groups):
             a, b = max(first - slack, 0), min(last + len(own) + slack, len(words))
+            most = MATCH * int(np.isin(own, words[a:b]).sum())
+            if most < best[0] or most / (MATCH * len(own)) < threshold:
+                continue
             score, end = align(own, words[a:b])
-            if score > best[0]:
+            if (score, -a) > (best[0], -best[1]):
                 best = score, a, a + end
             if score == MATCH * len(own):
                 break
@@ -173,7 +177,7 @@ def found_in(block: Block, held: list[tuple[int | None, str | None]], threshold:
     """(place in held, item, score, first word, end word, passage)."""
     h, starts, ends, first, lowered = words_of([t for _, t in held])
     offset = np.cumsum([0, *(len(x) + 1 for x in lowered)])
-    place, seed = seed_hits(block, combined(h, N) if len(h) >= N else h[:0], block.rare)
+    place, seed = seed_hits(block, combined(h, N) if len(h) >= N else h[:0])
     doc = np.searchsorted(first, place, side="right") - 1
     edge = np.flatnonzero(np.diff(np.r_[-1, doc, -1]))
     for i, j in zip(edge[:-1], edge[1:], strict=True):

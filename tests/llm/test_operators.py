@@ -124,6 +124,19 @@ def test_copies_of_items_are_found(spark, odd):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "others"), [(1, 199), (150, 50), (2400, 100)])
+def test_groups_of_edited_copies_are_found(spark, copies, others):
+    item = [f"item{k}" for k in range(40)]
+    edited = " ".join("changed" if k % 4 == 3 else w for k, w in enumerate(item))  # a quarter of the words, most seeds
+    cut = " ".join(item[:22])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, prose(12, 30))], "item_id long, text string")
+    for copy, score in ((edited, 0.625), (cut, 0.55)):
+        docs = frame(spark, [(k, f"{prose(k, 5)} {copy} {prose(k + 1, 5)}" if k < copies else "nothing of the kind", "en") for k in range(copies + others)])
+        assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).filter("item_id = 1").collect()} == {(k, 1) for k in range(copies)}
+        assert decontaminate.contaminated(docs, bench).filter("item_id = 1").agg(F.min("score")).first()[0] >= score - 0.02
+        assert decontaminate.clean(docs, bench).count() == others
+
+
 # --- repeated windows
 
 
