@@ -13,8 +13,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of 16 or more characters of usual keys with a digit among them, and headers of private keys.
-PATTERN = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 BEFORE, AFTER = 40, 12  #: characters of context
 TREES, DEPTH, SEED = 15, 5, 7
 THRESHOLD = 0.5
@@ -29,13 +27,29 @@ DICTIONARY = (
 FOR_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|apikey|access[ _-]?key|auth(?:orization)?|bearer|credentials?|private[ _-]?key|signing[ _-]?key|client[ _-]?secret|webhook"
 AGAINST_WORDS = "commit|revision|rev|sha-?[0-9]*|md5|checksum|digest|hash|etag|uuid|guid|id|isbn|order|invoice|version|serial|build|phone|card|base64|integrity|fingerprint|page|session"
 
+#: What stands after such a word in code and prose without being a secret.
+USUAL_VALUES = "required|optional|undefined|disabled|enabled|missing|invalid|expired|incorrect|forbidden|unauthorized|protected|encrypted|password|passphrase|credentials?|authenticated|authentication|authorization|something|anything|nothing|whatever|accepted|rejected|forgotten|unchanged|generated|automatic|basic|bearer|null|none|true|false"
+
+_HEADER = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_END = "-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+#: Private keys to their END line; without one, to the last line that looks like the key's.
+_BLOCK = rf"{_HEADER}(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+){{0,64}}+{_END}|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{40,}}+){{0,400}}+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{{4,}}+={{1,2}}+)?)"
+#: 8 or more characters that are no spaces, given to a word that speaks for a secret; quoted, up to the quote. Cheap looks go first.
+_ASSIGNED = (
+    r"(?<=[\s\"'=:>])(?=\S{8})(?<=(?:[:=>]|(?i:bearer|basic))[ \t]{0,3}[\"']?)"
+    rf"(?<=(?i:{FOR_WORDS})[\"']?[ \t]{{0,3}}(?::=|=>|[:=])[ \t]{{0,3}}(?:(?i:bearer|basic)[ \t]{{1,3}})?[\"']?)"
+    r"(?:(?<=\")[^\s\"]{8,}+|(?<=')[^\s']{8,}+|(?<![\"'])(?![=>\"']|(?i:bearer|basic)[ \t])\S{7,}[^\s,;)}\]\"'<>])"
+)
+#: Private keys, values of words that speak for a secret, and runs of 16 or more characters of usual keys with a digit.
+PATTERN = rf"{_BLOCK}|{_ASSIGNED}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{16,}}+"
+
 
 def features(c: str, b: str, a: str, p: str) -> dict[str, str]:
     """SQL of each feature; c: candidate, b and a: text before and after it, p: path of its document."""
     size = f"greatest(length({c}), 1)"
     share = lambda kept: f"length(regexp_replace({c}, '[^{kept}]', '')) / {size}"
     flag = lambda x: f"cast({x} as double)"
-    words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
+    words = "|".join(sorted([*DICTIONARY, *USUAL_VALUES.replace("s?", "s").split("|")], key=lambda w: (-len(w), w)))
     return {
         "len": f"cast(length({c}) as double)",
         "transitions": f"regexp_count({c}, '(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])') / {size}",
@@ -45,8 +59,9 @@ def features(c: str, b: str, a: str, p: str) -> dict[str, str]:
         "distinct": f"size(array_distinct(split({c}, ''))) / {size}",
         "hex": flag(f"{c} rlike '^[0-9a-fA-F]+$'"),
         "dictionary": f"1 - length(regexp_replace(lower({c}), '{words}', '')) / {size}",
-        "prefixed": flag(f"{c} rlike '^(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|AIza|-----BEGIN )'"),
-        "filler": flag(f"lower({c}) rlike 'example|your|xxxx|placeholder|changeme|dummy|sample|1234567|abcdef0123'"),
+        "prefixed": flag(f"{c} rlike '(?:^|[^A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|AIza|-----BEGIN )'"),
+        "key_body": flag(f"{c} rlike '^-----BEGIN ' and {c} rlike '[A-Za-z0-9+/=]{{40}}'"),
+        "filler": flag(f"lower({c}) rlike 'example|your|xxxx|placeholder|changeme|change_me|dummy|sample|1234567|abcdef0123|^(?:{USUAL_VALUES})[^a-z0-9]*$' or {c} rlike '^(?:[$<{{%*]|[A-Za-z_]+[(.][A-Za-z_]+[(.]|[A-Za-z_.]+[(])'"),
         "word_for": flag(f"lower({b}) rlike '(?:{FOR_WORDS})[^a-z0-9]*$'"),
         "near_for": flag(f"lower({b}) rlike '(?:{FOR_WORDS})'"),
         "word_against": flag(f"lower({b}) rlike '(?<![a-z])(?:{AGAINST_WORDS})[^a-z0-9]*$'"),
@@ -66,14 +81,21 @@ def labelled(spark: SparkSession, rows: int = 4000) -> DataFrame:
     says = pick("says", 'token = "', "token: ", "api_key = ", 'API_KEY="', "secret=", "password: ", "Authorization: Bearer ", "client_secret = '", "access_key=", "TOKEN = ")
     not_says = pick("not", "commit ", "sha256: ", "md5 = ", "checksum ", "revision ", 'etag: "', "integrity=", "digest: ", "hash ", "uuid ", "id=")
     plain = pick("plain", "see ", "the ", "of ", "in ", "and ", "")
+    letters = lambda salt, n: f"substr(translate({h(salt, 64)}, '0123456789abcdef', 'qwertyuiopasdfgh'), 1, {n})"
+    short = lambda salt: f"substr(concat({pick(salt, 'Hunter', 'tr0ub', 'S3', 'pa', 'Zq', 'winter')}, {pick(salt + '1', '!', '.', '@', '#', ':', '-', '&', '$')}, {b62(salt + '2', 12)}), 1, cast(8 + pmod(id, 8) as int))"
+    named = pick("named", "password: ", 'password = "', "passwd=", "pwd: ", "PASSWORD='", "secret = ", 'api_key: "', "credentials: ", "token=")
+    block = lambda line, last: f"concat('-----BEGIN ', {pick('kind', '', 'RSA ', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----\\n', repeat(concat({line}, '\\n'), cast(1 + pmod(id, 29) as int)), {last})"
     secrets = [
         (h("a", 40), says), (h("b", 32), says), (f"upper({h('c', 40)})", says), (b62("d", 32), says), (b62("e", 44), says), (f"concat('AKIA', upper({b62('f', 16)}))", f"concat({plain}, {prose})"), (f"concat('ghp_', {b62('g', 36)})", plain),
         (b62("h", 24), says), (h("i", 64), says), (pick("key", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----"), plain),
+        (short("E"), named), (letters("F", "cast(8 + pmod(id, 8) as int)"), named), (f"concat({letters('G', 5)}, {pick('mark', '.', '!', '@', '#', ':', '-')}, {letters('H', 6)}, {pick('mark2', '', '7', '99', '!')})", named), (block(b62("B", 64), "'Qw==\\n-----END PRIVATE KEY-----'"), plain), (block(h("C", 64), "'-----END PRIVATE KEY-----'"), plain), (block(b62("D", 64), "''"), plain), (f"concat({b62('I', 12)}, '.', {b62('J', 14)}, '.', {b62('K', 10)})", says),
     ]
     others = [
         (h("k", 40), not_says), (h("l", 64), not_says), (h("m", 32), not_says), (f"concat_ws('-', {h('n', 8)}, {h('o', 4)}, {h('p', 4)}, {h('q', 4)}, {h('r', 12)})", f"concat({not_says}, '')"), (f"translate({h('s', 16)}, 'abcdef', '012345')", plain), (f"translate({h('t', 19)}, 'abcdef', '987654')", pick("card", "card ", "order ", "phone ", "", "nr ")),
         (f"concat({pick('u', 'get_user_by_id_', 'invoice-report-', 'release_version_', 'default-config-file-', 'session_table_')}, pmod(id, 97), {pick('v', '_handler', '-build', '_v2', '')})", plain), (f"concat({pick('w', 'usr/lib/python', 'opt/service/build', 'home/user/docs/page')}, pmod(id, 9), '/', {pick('x', 'dist/packages/module', 'test/data/index')})", "'/'"),
         (pick("y", "YOUR_API_KEY_12345678", "xxxxxxxxxxxxxxxx1234", "EXAMPLE-KEY-0123456789", "changeme-1234567890abc", "your-token-here-1234"), says), (f"concat('20', pmod(id, 89) + 10, '-01-15T10-30-00_', pmod(id, 13))", plain), (b62("z", 40), pick("blob", "base64,", "integrity=", "fingerprint ", "etag=")),
+        (pick("usual", *[w for w in USUAL_VALUES.replace("s?", "s").split("|") if len(w) >= 8]), named), (pick("code", "os.environ.get(", "process.env.TOKEN", "config.get_value()", "${DB_PASSWORD}", "<password>", "self.settings.key", "getpass.getpass()", "{{ secret }}", "********", "get_password()", "%(password)s"), named),
+        (pick("filled", "changeme", "your-password", "example123", "dummy-value", "placeholder", "xxxxxxxx", "your_token", "sample-key"), named), ("concat('-----BEGIN PRIVATE KEY-----\\n', " + pick("empty", "YOUR_KEY_HERE", "EXAMPLE", "your private key", "placeholder") + ", '\\n-----END PRIVATE KEY-----')", plain),
     ]
     which = lambda xs: "CASE pmod(cast(id / 2 as long), {}) {} END".format(len(xs), " ".join(f"WHEN {k} THEN named_struct('c', {c}, 'b', {b})" for k, (c, b) in enumerate(xs)))
     base = spark.range(0, rows, 1, 2).selectExpr("id", f"CASE WHEN id % 2 = 1 THEN {which(secrets)} ELSE {which(others)} END AS x")
