@@ -619,6 +619,16 @@ def fuzzy_pdf_match(spark, sf_dir):
     return matching.pdf_matches(texts, pdfs).join(texts, "text_file").select("item_id", "text_file", "pdf_file", "strategy")
 
 
+@query()
+def fuzzy_pdf_match_all(spark, sf_dir):
+    """All of benchmark, under names that reach each strategy and tie: Report_1 is part of several PDFs' names, not first of its own."""
+    ids = table(spark, sf_dir, "benchmark").select("item_id")
+    name = lambda *forms: F.expr("CASE item_id % 4 " + " ".join(f"WHEN {k} THEN concat({x})" for k, x in enumerate(forms)) + " END")
+    texts = ids.select("item_id", name("'Report_', item_id, '_final_0af.txt'", "'Report_', item_id, '_0af.txt'", "'item_chapter', item_id, '_0af.txt'", "'note', item_id, '.txt'").alias("text_file"))
+    pdfs = ids.select(name("'report ', item_id, ' FINAL.pdf'", "'report ', item_id, 'x.pdf'", "'chapter', item_id, ' plan.pdf'", "'my note', item_id, '.pdf'").alias("pdf_file"))
+    return matching.pdf_matches(texts, pdfs).join(texts, "text_file").select("item_id", "text_file", "pdf_file", "strategy")
+
+
 # --- enrichment ---
 
 

@@ -35,3 +35,34 @@ def test_same_rows_as_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"neighbour_context", "retrieve_context"}))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
+
+
+def matched(name, listing):
+    """(pdf, strategy) of a text file's name, by a loop over the listing."""
+    stems = [(p, p.removesuffix(".pdf").lower()) for p in listing]
+    plain = lambda x: "".join(c for c in x.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    parts = name.removesuffix(".txt").split("_")
+    if len(parts) >= 2:
+        head = plain("_".join(parts[:-1]))
+        for p, stem in stems:
+            if plain(stem) in head or head in plain(stem):
+                return p, 1
+        for word in (w.lower() for w in parts[:-1] if len(w) > 4):
+            for p, stem in stems:
+                if word in stem or stem in word:
+                    return p, 2
+    for word in (w.lower() for w in parts if len(w) > 3):
+        for p, stem in stems:
+            if word in stem:
+                return p, 3
+    return None
+
+
+def test_fuzzy_match_over_all_items(spark, sf):
+    got = {r.item_id: (r.text_file, r.pdf_file, r.strategy) for r in QUERIES["fuzzy_pdf_match_all"](spark, sf).collect()}
+    ids = [r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()]
+    names = {k: (f"Report_{k}_final_0af.txt", f"Report_{k}_0af.txt", f"item_chapter{k}_0af.txt", f"note{k}.txt")[k % 4] for k in ids}
+    listing = sorted((f"report {k} FINAL.pdf", f"report {k}x.pdf", f"chapter{k} plan.pdf", f"my note{k}.pdf")[k % 4] for k in ids)
+    assert got == {k: (names[k], *matched(names[k], listing)) for k in ids}
+    assert {x[2] for x in got.values()} == {1, 2, 3}
+    assert got[1][1] == "report 12 FINAL.pdf"  # the first of those that contain report1
