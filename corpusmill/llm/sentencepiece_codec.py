@@ -8,7 +8,7 @@ No piece holds another character before a space mark, and none holds a line feed
 no merge crosses such a place: the text is cut there and each distinct part of an Arrow batch is encoded once.
 Both conditions are checked against the vocabulary; a model that breaks one has its texts encoded whole. The
 agendas of all parts advance together, as arrays of pair ranks; a part of more than LONG symbols has a heap
-of its own. Each distinct part is checked against the sentencepiece library within its Arrow batch.
+of its own. Each distinct part is checked against the sentencepiece library within its Arrow batch; the agenda's ids stay where they differ.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ class Codec:
         return np.concatenate(done_symbols)[order] if done_symbols else np.zeros(0, np.int32), np.bincount(parts, minlength=len(lengths))
 
     def encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Ids of distinct parts, their counts by part, and the parts where the library disagrees (its ids are returned)."""
+        """Ids of distinct parts, their counts by part, and the parts where the library disagrees."""
         lengths = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         long = np.flatnonzero(lengths > LONG)
         texts = parts.to_pylist()
@@ -158,7 +158,7 @@ class Codec:
         if len(flat) == len(symbols) and (check_counts == counts).all() and (flat == symbols).all():
             return symbols, counts, []
         own, lib = np.split(symbols, np.cumsum(counts)[:-1]), np.split(flat, np.cumsum(check_counts)[:-1])
-        return flat, check_counts, [k for k in range(len(texts)) if not np.array_equal(own[k], lib[k])]
+        return symbols, counts, [k for k in range(len(texts)) if not np.array_equal(own[k], lib[k])]
 
     def encode_chunk(self, texts: list[str | None]) -> tuple[pa.Array, list[int], list[bool], np.ndarray]:
         """For whole texts: each part's ids as decimal text, parts by text, whether agenda and library agreed, and ids by part (flat, offsets)."""
@@ -217,7 +217,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     Without begin or end ids and without sampling. ids is array<int>, or the decimal ids joined by commas with
     ids_as_text. A null or empty text has no ids and decodes to ''. agrees is false where agenda and library
-    differed. Null ids, repeated rows and ties stay as they are: one row out for each row in; an empty table
+    differed; the ids are the agenda's. Null ids, repeated rows and ties stay as they are: one row out for each row in; an empty table
     gives an empty table. Other columns of df, whatever their names, are not read. Narrow: no shuffle.
     """
     kind = pa.string() if ids_as_text else pa.list_(pa.int32())

@@ -90,6 +90,24 @@ def test_codec_equals_the_library(spark, odd):
     assert sentencepiece_codec.encode(df.limit(0), MODEL).count() == 0
 
 
+def test_codec_returns_the_agendas_ids_where_the_library_differs():
+    codec = sentencepiece_codec.Codec(MODEL)
+    texts = ["one river", "two lamps and more"]
+    want = [codec.library.encode(t) for t in texts]
+
+    class Other:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, parts, num_threads):
+            return [[*ids[:-1], ids[-1] + 1] if k == 0 else ids for k, ids in enumerate(self.library.encode(parts, num_threads=num_threads))]
+
+    codec.library = Other(codec.library)
+    ids, offsets, index, by_text, agrees = codec.encode_chunk(texts)
+    assert [sentencepiece_codec.taken(ids, offsets, index[a:b]).tolist() for a, b in itertools.pairwise(by_text)] == want
+    assert agrees == [False, True]
+
+
 # --- benchmark
 
 
