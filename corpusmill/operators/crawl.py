@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 MAX_DEPTH, MAX_PAGES, DELAY = 4, 2000, 3.0
 
 
@@ -40,7 +42,7 @@ def crawl(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, max_pages: i
     1 only. Each level is one join, and a table written to the shared checkpoint folder; max_pages ends the levels.
     """
     spark = edges.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusmill-checkpoints").rstrip("/") + f"/crawl-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
 
     def level(rows: DataFrame, depth: int) -> DataFrame:
         rows.write.parquet(f"{folder}/{depth}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,15 @@ def session(cpus: int | None = None, partitions: int | None = None) -> SparkSess
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors share. Where it is unset, a session on one machine
+    takes a folder of that machine; a cluster has none that all its machines see, and that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/corpusmill-checkpoints"
+    return root.rstrip("/")
