@@ -5,10 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, most: int = 1000) -> None:
     """Arrow batches of at most `most` rows, unless the session asks for fewer: whole texts make rows large, and an
-    executor holds several batches outside its heap."""
+    executor holds several batches outside its heap. The setting is read when a plan runs, so it has to stay set: a
+    session that an operator has used keeps it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= most:
         spark.conf.set(key, str(most))
@@ -59,21 +64,67 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def chunks(it: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[list[tuple[int | None, str | None]]]:
+    """(doc_id, text) rows in lists of about size characters."""
+    held, weight = [], 0
+    for batch in it:
+        for row in rows(batch):
+            held.append(row)
+            weight += len(row[1] or "") + 8
+            if weight >= size:
+                yield held
+                held, weight = [], 0
+    if held:
+        yield held
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(data: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel() if len(planes) else np.zeros(0, dtype)
+
+
 def store_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which the executors share; tests without it use /tmp."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusmill-checkpoints"
-    return f"{root.rstrip('/')}/corpusmill-{uuid.uuid4().hex}"
+    """A fresh folder that the executors share."""
+    return f"{shared_folder(spark)}/corpusmill-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Written tables of one job in a folder of its own, which close() deletes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, store_dir(spark), 0
+
+    def written(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """df as a written table: cuts lineage and outlives a lost executor."""
+        self.n += 1
+        path = f"{self.path}/{self.n:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        delete(self.spark, self.path)
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a written table in the shared folder: cuts lineage and outlives a lost executor."""
+    """df as a written table in the shared folder, for results that outlive the job; forget() deletes it."""
     path = f"{store_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by written()."""
+    """Delete the files of a written table."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, f)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import Scratch, forget
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """node, label: for each node of a link, the smallest node that links reach from it (itself included).
 
     Alternating large-star and small-star rounds. A round takes each node's smallest neighbour by an aggregate
@@ -16,6 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     written table in the shared folder. Null ends and loops are dropped; no link gives no row.
     """
     spark = links.sparkSession
+    written = (scratch or Scratch(spark)).written
     edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:

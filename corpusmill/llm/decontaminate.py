@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_text
-from .jaccard_join import chunks
+from .common import batches, chunks, id_text
 from .shingles import combined, word_hashes
 
 N = 3  #: words of a seed

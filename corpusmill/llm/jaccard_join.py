@@ -1,15 +1,17 @@
 """Jaccard join of word-shingle sets by token-combination prefixes.
 
-Equal sets are one class. In a global order of tokens, two sets that link share at least two tokens among
-their first |x| - ceil(t |x|) + 2, t the least similarity of a link: the extended prefix. Prefix tokens with short lists are indexed alone; a
-token with a long list is indexed in combination with another such token (or, in large sets, with a class of
-sizes). The order puts tokens of many sets last, so that prefixes hold few of them; it only affects speed.
-
-A list does not give all its pairs. First each member meets two hubs, the set that shares most of its prefix (edited
-copies surround it) and the smallest; verified links form components. Then only members of different components meet, where bounds allow a link:
-on sizes; on the difference (bits of two parity signatures that differ, which cannot be too many); and for large sets,
-whose signatures say little, on the overlap (sums of bucket-wise minima, which cannot be too low). Links inside a
-component are implied.
+Equal sets are one class. Tokens are ordered by how many sets hold them, rarest first, as counted over all documents
+in a table of COUNTERS; the order only affects speed. In it, two sets that link share at least two tokens among their
+first |x| - ceil(t |x|) + 2, t the least similarity of a link: the extended prefix. A prefix token that one class alone
+has goes at once. Rare tokens are indexed alone. A frequent token, one whose list is long and still open, is indexed
+in combination with another frequent one and a class of sizes: a pair that shares no rare token shares two frequent ones.
+
+A list does not give all its pairs. First each class meets the hubs that most of its lists name: the classes whose
+prefixes are commonest (edited copies surround them) and the smallest. Verified links form components; then the class
+with most links is the hub of each list that is still open, one whose members are in different components. Only what
+is left open gives pairs of members of different components, where bounds allow a link: on sizes; on the places of
+the token (what comes before the first shared one differs); and on parity signatures (a token in one set only turns
+one bit). Links inside a component are implied. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,248 +21,228 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import id_text, rows, written
+from .common import Scratch, chunks, id_text, packed, unpacked, written
 from .components import components
-from .shingles import shingle_sets
+from .shingles import names_of, shingle_sets
 
 LEAST, DENOMINATOR = 90, 100  #: similarity from which on two sets link, unless given
-LONG_LIST = 64  #: postings from which on a token is indexed in combination
-COMBINED_UP_TO = 700  #: at LEAST, sets up to this size combine tokens; those from LEAST of it on take size classes (both in between)
-HEAVY = 500_000  #: bound on the tokens that the order puts last: those in at least 1 / HEAVY of all set members
-BUCKETS = 64  #: of the overlap bound
+COUNTERS = 1 << 24  #: of the order of tokens; a token's counter is an upper bound of its count
+PARTS = 1024  #: pieces in which the counters travel
+HOT = 4096  #: sets, or four times the mean counter if that is more, from which on a token's list is never gathered in one place
+LONG = 64  #: members from which on an open list is combined with another
 PARITY = 8  #: words of 64 bits of a parity signature
-FINE = 4096  #: bits of the signature that a pair passes before its texts are sent
-SKETCH_FROM = 1000  #: set size from which on the overlap bound is kept beside the signature
-CHUNK = 1 << 20  #: characters handled together
-BROADCAST = 1_000_000  #: ids up to which a side is broadcast; beyond, a shuffle join
-
-
-def chunks(it: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[list[tuple[int | None, str | None]]]:
-    held, weight = [], 0
-    for batch in it:
-        for row in rows(batch):
-            held.append(row)
-            weight += len(row[1] or "") + 8
-            if weight >= size:
-                yield held
-                held, weight = [], 0
-    if held:
-        yield held
-
-
-def class_of(s: np.ndarray) -> int:
-    """A signed 64-bit name for a set: its size, the sum and the xor of its members, mixed."""
-    if not len(s):
-        return 0
-    a, b = int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(s))
-    h = (a * 0x9E3779B97F4A7C15 + (b ^ (b >> 29)) * 0xC2B2AE3D27D4EB4F + len(s)) & (2**64 - 1)
-    h = ((h ^ (h >> 31)) * 0xD6E8FEB86659FD93) & (2**64 - 1)
-    h ^= h >> 32
-    return h - 2**64 if h >= 2**63 else h
-
-
-def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted tokens that many sets hold: at most HEAVY, for each holds over 1 / HEAVY of all members counted.
-
-    A task counts over stretches of its distinct sets and passes on what occurs there at least three times.
+FINE, FINE_FROM = 64, 1000  #: words of the finer signature, and the set size from which on it is kept
+BROADCAST = 1_000_000  #: rows of two ids up to which a side is broadcast; beyond, a shuffle join
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Counts up to 32 as they are, above in eighths of a doubling."""
+    return np.where(counts < 32, counts, np.minimum(255, 32 + np.floor(8 * np.log2(np.maximum(counts, 32) / 32)))).astype(np.uint8)
+
+
+def token_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
+    """The level of each counter, over the distinct sets of each task, and the level from which on tokens are hot.
+
+    A task adds its tokens to counters of its own; the sums are taken piece by piece. The driver gets COUNTERS bytes.
     """
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("total", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
+    width = COUNTERS // PARTS
+    shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
+
+    def piece(part: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], schema=schema)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.uint32)
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
-        def passed() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 3
-            tokens, n = np.r_[np.uint64(0), tokens[often]], np.r_[0, n[often]]
-            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.r_[size, np.zeros(len(n) - 1, np.int64)], pa.int64())], schema=schema)
+        def added() -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            table[at] += n.astype(np.uint32)
+            held.clear()
 
         for chunk in chunks(it):
             for s in shingle_sets([t for _, t in chunk], k):
-                if len(s) and (c := class_of(s)) not in seen:
+                if len(s) and (name := names_of(s)[0]) not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(c)
-                    held.append(s)
+                    seen.add(name)
+                    held.append((s >> shift).astype(np.uint32))
                     size += len(s)
-            if size >= 2_000_000:
-                yield passed()
-                held, size = [], 0
-        if size:
-            yield passed()
+            if size >= 1_000_000:
+                added()
+                size = 0
+        if held:
+            added()
+        for part in range(PARTS):
+            own = table[part * width : (part + 1) * width]
+            if own.any():
+                yield piece(part, packed(own))
+
+    def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = unpacked(data.as_py(), np.uint32)
+                sums[part] = sums[part] + own if part in sums else own.astype(np.uint64)
+        for part, own in sums.items():
+            yield piece(part, int(own.sum()).to_bytes(8, "little") + level_of(own).tobytes())
+
+    levels, members = np.zeros(COUNTERS, np.uint8), 0
+    for r in docs.mapInArrow(count, "part int, sums binary").repartition("part").mapInArrow(total, "part int, sums binary").collect():  # PARTS rows
+        members += int.from_bytes(r.sums[:8], "little")
+        levels[r.part * width : (r.part + 1) * width] = np.frombuffer(r.sums, np.uint8, offset=8)
+    return levels, int(level_of(np.array([max(HOT, 4 * members / COUNTERS)]))[0])
+
 
-    counted = docs.mapInArrow(count, "token long, n long, total long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).persist()
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    found = counted.filter((F.col("n") * HEAVY > total) & (F.col("n") >= 8)).select("token").toPandas()["token"].to_numpy(np.int64)
-    counted.unpersist()
-    return np.sort(found.view(np.uint64))
+def signature(s: np.ndarray, words: int) -> np.ndarray:
+    """Parity of the members in each of 64 * words classes, as signed words."""
+    return np.packbits((np.bincount((s % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1).astype(bool)).view(np.int64)
 
 
-def prefix_tokens(docs: DataFrame, k: int, heavy: np.ndarray, least: int = LEAST) -> DataFrame:
-    """Rows of two kinds: (doc_id, cls, n) of each document, with signature and sketch once a task, and (cls, n, key) of each prefix token of a class, once a task."""
-    bits = [f"p{i}" for i in range(PARITY)]
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), *((p, pa.int64()) for p in bits), ("sketch", pa.list_(pa.int8())), ("unit", pa.int32())])
-    heavy_shared = docs.sparkSession.sparkContext.broadcast(heavy)
+BITS = [f"p{i}" for i in range(PARITY)]
+MADE = f"doc_id long, cls long, other long, n int, cold int, weight float, keys array<long>, {', '.join(f'{p} long' for p in BITS)}, fine array<long>"
+
+
+def prefixes(docs: DataFrame, k: int, levels: np.ndarray, hot: int, least: int) -> DataFrame:
+    """One row a document: its class with a second name, and, once a task, the class's prefix tokens in order (the first
+    cold of them are not hot), how common they are, and signatures."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("cold", pa.int32()), ("weight", pa.float32()), ("keys", longs), *((p, pa.int64()) for p in BITS), ("fine", longs)])
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
+    shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = heavy_shared.value
+        levels = shared.value
         seen: set[int] = set()
         for chunk in chunks(it):
-            ids, classes, sizes, parities, sketches, units, keys, key_class, key_size = [], [], [], [], [], [], [], [], []
+            out = []
             for (doc, _), s in zip(chunk, shingle_sets([t for _, t in chunk], k), strict=True):
-                n, c = len(s), class_of(s)
-                ids.append(doc)
-                classes.append(c)
-                sizes.append(n)
-                new = n > 0 and c not in seen
-                parity = sketch = unit = None
-                if new:
+                n, (cls, other) = len(s), names_of(s)
+                row = [doc, cls, other, n, None, None, None, *[None] * PARITY, None]
+                if n and cls not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(c)
-                    parity = np.packbits((np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1).astype(bool)).view(np.int64).tolist()
-                    if n >= SKETCH_FROM:
-                        buckets = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-                        unit = -(-int(buckets.max()) // 127)
-                        sketch = (-(-buckets // unit)).tolist()  # rounded up: the bound stays a bound
-                    size = n - -(-n * least // DENOMINATOR) + 2
-                    if len(heavy):
-                        often = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-                        s = np.r_[s[~often], s[often]]
-                    keys.append(s[:size])
-                    key_class.append(np.full(min(size, n), c, np.int64))
-                    key_size.append(np.full(min(size, n), n, np.int32))
-                parities.append(parity or [None] * PARITY)
-                sketches.append(sketch)
-                units.append(unit)
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), none, *(pa.array(p, pa.int64()) for p in zip(*parities, strict=True)), pa.array(sketches, pa.list_(pa.int8())), pa.array(units, pa.int32())], schema=schema)
-            if keys:
-                key = np.concatenate(keys).view(np.int64)
-                none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(np.concatenate(key_class)), pa.array(np.concatenate(key_size)), pa.array(key), *([none] * PARITY), pa.nulls(len(key), pa.list_(pa.int8())), pa.nulls(len(key), pa.int32())], schema=schema)
-
-    return docs.mapInArrow(run, f"doc_id long, cls long, n int, key long, {', '.join(f'{p} long' for p in bits)}, sketch array<tinyint>, unit int")
-
-
-def may_link(a: str, b: str, least: int) -> F.Column:
-    """Sizes that allow a link."""
-    return (DENOMINATOR * F.least(a, b) >= least * F.greatest(a, b))
-
-
-def difference_allows(least: int) -> F.Column:
-    """Signatures that allow a link: a token in one set only turns one bit, so at least as many tokens differ as bits."""
-    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)), F.lit(0))
-    return (least + DENOMINATOR) * differ <= (DENOMINATOR - least) * (F.col("n_a") + F.col("n_b"))
-
-
-def overlap_allows(least: int) -> F.Column:
-    """Sketches s_a and s_b (counts in units u_a and u_b; null for small sets) that allow a link of sets of n_a and
-    n_b: an overlap is at most the sum of the lesser bucket counts."""
-    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x * F.col("u_a"), y * F.col("u_b"))), F.lit(0), lambda total, x: total + x)
-    return F.col("s_a").isNull() | F.col("s_b").isNull() | ((least + DENOMINATOR) * most >= least * (F.col("n_a") + F.col("n_b")))
-
+                    seen.add(cls)
+                    level = levels[s >> shift]
+                    first = np.argsort(level, kind="stable")[: n - -(-n * least // DENOMINATOR) + 2]
+                    row[4:] = int((level[first] < hot).sum()), float(level[first].mean()), s[first].view(np.int64), *signature(s, PARITY).tolist(), signature(s, FINE) if n >= FINE_FROM else None
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-def sketch_of(sketches: DataFrame, x: str) -> DataFrame:
-    return sketches.select(F.col("cls").alias(x), *(F.col(f"p{i}").alias(f"p{i}_{x}") for i in range(PARITY)), F.col("sketch").alias(f"s_{x}"), F.col("unit").alias(f"u_{x}"))
+    return docs.mapInArrow(run, MADE)
 
 
-def index(posts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key, cls, n, share): single short-listed tokens, and combinations for long-listed ones.
-
-    share is the part of a class's prefix that other classes have too. Keys with one class go, and classes with
-    fewer than two shared tokens: a link needs two.
-    """
-    combined_up_to = COMBINED_UP_TO * (DENOMINATOR - LEAST) // (DENOMINATOR - least)  # prefixes of one length
-    lists = posts.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key", "m")
-    shared = written(posts.join(lists, "key"))
-    often = shared.groupBy("cls").agg(F.count_distinct("key").alias("c")).filter("c >= 2")
-    shared = written(shared.join(often, "cls").withColumn("share", F.col("c") / (F.col("n") * (1 - least / DENOMINATOR) + 2)).drop("c"))
-    short = shared.filter(F.col("m") <= LONG_LIST).select("key", "cls", "n", "share")
-    long = shared.filter(F.col("m") > LONG_LIST)
-    small = long.filter(F.col("n") <= combined_up_to).groupBy("cls", "n", "share").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a prefix of a small set
-    pairs = small.select("cls", "n", "share", F.posexplode("keys").alias("i", "one"), "keys").select("cls", "n", "share", "one", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("two"))
-    combined = pairs.select(F.xxhash64("one", "two").alias("key"), "cls", "n", "share")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / least)) + 1e-9).cast("int")
-    large = long.filter(DENOMINATOR * F.col("n") >= least * combined_up_to).select(F.explode(F.array(size_class, size_class - 1)).alias("c"), "key", "cls", "n", "share").select(F.xxhash64("key", "c").alias("key"), "cls", "n", "share")
-    return written(short.unionByName(combined).unionByName(large).distinct())
-
-
-def bounded(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Of (a, b, n_a, n_b), those whose sketches allow a link."""
-    joined = pairs.join(sketch_of(sketches, "a"), "a").join(sketch_of(sketches, "b"), "b")
-    return joined.filter(difference_allows(least) & overlap_allows(least)).select("a", "b")
-
-
-def with_labels(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    return listed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-
-def star_pairs(members: DataFrame, least: int) -> DataFrame:
-    """(a, b, n_a, n_b): each member (key, cls, n, weight, label) of a list with the list's hubs, the heaviest and the
-    smallest, where sizes allow a link and the two are not in one component yet. Linear in the lists."""
-    ends = members.groupBy("key").agg(F.max(F.struct("weight", "n", "cls", "label")).alias("hi"), F.min(F.struct("n", "cls", "label")).alias("lo"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last")
-    hubs = F.array(*(F.struct(F.col(f"{x}.n").alias("n"), F.col(f"{x}.cls").alias("cls"), F.col(f"{x}.label").alias("label")) for x in ("hi", "lo")))
-    met = members.join(ends, "key").select(F.explode(hubs).alias("hub"), "cls", "n", "label").filter((F.col("hub.label") != F.col("label")) & may_link("hub.n", "n", least))
-    one, two = F.struct("cls", "n"), F.struct("hub.cls", "hub.n")
-    return met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+def may_link(a: str, b: str, least: int) -> Column:
+    """Sizes that allow a link."""
+    return DENOMINATOR * F.least(a, b) >= least * F.greatest(a, b)
 
 
-def apart(members: DataFrame, more: F.Column, least: int) -> DataFrame:
-    """(a, b): members of a list in different components that the bounds and more let link. Higher-order functions would
-    keep a join from being compiled, so small sets, which are many, do with signatures."""
-    kept = lambda x: [F.col("cls").alias(x), *(F.col(c).alias(f"{to}_{x}") for c, to in (("n", "n"), ("label", "l"), *((f"p{i}", f"p{i}") for i in range(PARITY)), ("sketch", "s"), ("unit", "u")))]
-    one, two = members.select("key", *kept("a")), members.select("key", *kept("b"))
-    return one.join(two, one["key"] == two["key"]).filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("n_a", "n_b", least) & difference_allows(least) & more).select("a", "b")
+def difference_allows(differ: Column, least: int) -> Column:
+    """A least difference of sets of n_a and n_b tokens that allows a link."""
+    return (least + DENOMINATOR) * differ <= (DENOMINATOR - least) * (F.col("n_a") + F.col("n_b"))
 
 
-def fine_signatures(texts: DataFrame, k: int) -> DataFrame:
-    """(cls, n, bits) of (cls, text): set sizes and parity signatures of FINE bits."""
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+def bits_differ() -> Column:
+    return sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in BITS), F.lit(0))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(it):
-            sets = list(shingle_sets([t for _, t in chunk], k))
-            bits = [np.packbits((np.bincount((s % np.uint64(FINE)).astype(np.int64), minlength=FINE) & 1).astype(bool)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunk], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, "cls long, n int, bits binary")
+def signed(classes: DataFrame, x: str) -> DataFrame:
+    return classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(p).alias(f"{p}_{x}") for p in BITS))
 
 
-def close(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
-    """Of pairs of classes, those whose fine signatures allow a link: no more bits may differ than tokens."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def keyed(made: DataFrame) -> DataFrame:
+    """(key, cls, n, pos, m, hi, lo): prefix tokens that two classes or more share, with the length of their list and its
+    hubs, the class of the commonest prefix and the smallest one.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
-            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            kept = pa.array((least + DENOMINATOR) * np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= (DENOMINATOR - least) * n)
-            yield pa.RecordBatch.from_arrays([batch.column(j).filter(kept) for j in (0, 1)], schema=schema)
-
-    of = lambda x: signed.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int, least: int) -> DataFrame:
-    """Of pairs of classes, those that link, by the whole sets of their first documents. Fine signatures go first, so
-    that texts are sent for few pairs that do not link."""
-    pairs = written(pairs)
-    wanted = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first_doc, "cls"))
-    count = wanted.count()
-    texts = written(docs.join(F.broadcast(wanted) if count <= BROADCAST else wanted, "doc_id").select("cls", "text").dropDuplicates(["cls"]))
-    pairs = written(close(pairs, written(fine_signatures(texts, k)), least))
+    The list of a token that is not hot is gathered by its key, since its counter bounds it; hot ones are summed up first.
+    """
+    posts = made.filter("keys is not null").select("cls", "n", "cold", "weight", F.posexplode("keys").alias("pos", "key"))
+    hi, lo = F.struct("weight", "n", "cls"), F.struct("n", "cls")
+    by_key = Window.partitionBy("key")
+    cold = posts.filter("pos < cold").withColumn("before", F.lag("cls").over(by_key.orderBy("cls"))).filter("before is null or before <> cls")
+    cold = cold.withColumns({"m": F.count("*").over(by_key), "hi": F.max(hi).over(by_key), "lo": F.min(lo).over(by_key)})
+    hot = posts.filter("pos >= cold").dropDuplicates(["key", "cls"])
+    ends = hot.groupBy("key").agg(F.count("*").alias("m"), F.max(hi).alias("hi"), F.min(lo).alias("lo"))
+    columns = ["key", "cls", "n", "pos", "m", F.struct("hi.n", "hi.cls").alias("hi"), "lo"]
+    return cold.filter("m > 1").select(*columns).unionByName(hot.join(ends.filter("m > 1"), "key").select(*columns))
+
+
+def most_named(met: DataFrame, least: int) -> DataFrame:
+    """(a, b, n_a, n_b) of (cls, n, hub): each class with the two hubs that most of its lists name, at sizes that allow a link."""
+    met = met.select("cls", "n", F.col("hub.cls").alias("a"), F.col("hub.n").alias("n_a")).filter("cls <> a").filter(may_link("n", "n_a", least))
+    ranked = met.groupBy("cls", "n", "a", "n_a").count().withColumn("rank", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("count"), "a")))
+    return ranked.filter("rank <= 2").select("a", F.col("cls").alias("b"), "n_a", F.col("n").alias("n_b"))
+
+
+def open_lists(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of lists whose members are in different components, with each member's component."""
+    few = labels.count() <= BROADCAST
+    labels = labels.withColumnRenamed("node", "cls")
+    marked = listed.join(F.broadcast(labels) if few else labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    differ = marked.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key")
+    return marked.join(differ, "key")
+
+
+def apart(members: DataFrame, more: Column, least: int) -> DataFrame:
+    """(a, b) of members (key, cls, n, label, place, signature) of one list in different components that the bounds let link."""
+    kept = lambda x: ["key", F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "place", "size", "own", *BITS))]
+    one, two = members.filter("own").select(*kept("a")), members.select(*kept("b")).withColumnRenamed("key", "key_b")
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    return one.join(two, (F.col("key") == F.col("key_b")) & ordered & (F.col("label_a") != F.col("label_b")) & may_link("n_a", "n_b", least) & more & difference_allows(bits_differ(), least)).select("a", "b")
+
+
+def rest(opened: DataFrame, classes: DataFrame, least: int, keep: Scratch) -> DataFrame:
+    """(a, b): pairs from open lists, by rare tokens alone and by combinations of two frequent ones with a class of sizes."""
+    before = Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keep.written(opened.withColumn("frequent", F.col("m") > LONG).withColumn("place", F.col("pos") - F.coalesce(F.sum(F.col("frequent").cast("int")).over(before), F.lit(0))))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / least)) + 1e-9).cast("int")
+    signatures = classes.select("cls", *BITS)
+    alone = ranked.filter("not frequent").select("key", "cls", "n", "label", "place", F.lit(0).alias("size"), F.lit(True).alias("own")).join(signatures, "cls")
+    first_shared = difference_allows(F.col("place_a") + F.col("place_b"), least)  # tokens before the first shared rare one are in one set only
+    singles = apart(alone, first_shared, least)
+
+    tokens = ranked.filter("frequent").groupBy("cls", "n", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a prefix
+    pairs = tokens.select("cls", "n", "label", "keys", F.posexplode("keys").alias("i", "one")).select("cls", "n", "label", "one", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("two"))
+    combined = pairs.select(F.xxhash64("one", "two", size).alias("key"), "cls", "n", "label", "one", "two", size.alias("size"))
+    lower = combined.withColumn("size", F.col("size") - 1).withColumn("key", F.xxhash64("one", "two", "size"))
+    both = combined.withColumn("own", F.lit(True)).unionByName(lower.withColumn("own", F.lit(False))).select("key", "cls", "n", "label", F.lit(0).alias("place"), "size", "own")
+    both = keep.written(both)
+    differ = both.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key")
+    combinations = apart(both.join(differ, "key").join(signatures, "cls"), F.lit(True), least)
+    return singles.union(combinations).distinct()
+
+
+def finer(pairs: DataFrame, classes: DataFrame, fines: DataFrame, least: int) -> DataFrame:
+    """Of pairs (a, b), those whose finer signatures, where both have one, allow a link."""
+    of = lambda x: fines.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    differ = F.aggregate(F.zip_with("fine_a", "fine_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return joined.filter(F.col("fine_a").isNull() | F.col("fine_b").isNull() | difference_allows(differ, least)).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, fines: DataFrame, k: int, least: int, keep: Scratch) -> DataFrame:
+    """Of pairs of classes, those that link, by the whole sets of their first documents. A text goes to its pair from where
+    it is read, as long as the pairs are few enough to broadcast."""
+    first = classes.select("cls", "doc_id")
+    pairs = keep.written(finer(pairs, classes, fines, least).join(first.withColumnsRenamed({"cls": "b", "doc_id": "doc_b"}), "b").select("a", "b", "doc_b"), "pairs")
+    hubs = keep.written(pairs.select(F.col("a").alias("cls")).distinct().join(first, "cls").select(F.col("cls").alias("a"), "doc_id"), "hubs")
+    few = pairs.count() <= BROADCAST
+    to = lambda side: F.broadcast(side) if few else side
+    members = docs.join(to(pairs.withColumnRenamed("doc_b", "doc_id")), "doc_id").select("a", "b", F.col("text").alias("text_b"))
+    texts = docs.join(to(hubs), "doc_id").select("a", F.col("text").alias("text_a"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
         for batch in it:
-            keep = []
+            links = []
             for i in range(batch.num_rows):
                 sets = []
                 for j in (0, 1):
@@ -268,15 +250,18 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, k: int, le
                     if c not in last:
                         if len(last) > 256:
                             last.clear()
-                        last[c] = next(shingle_sets([batch.column(j + 2)[i].as_py()], k))
+                        s = next(shingle_sets([batch.column(j + 2)[i].as_py()], k))
+                        if names_of(s)[0] != c:  # another row of the same id
+                            continue
+                        last[c] = s
                     sets.append(last[c])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                keep.append(DENOMINATOR * both >= least * (len(sets[0]) + len(sets[1]) - both))
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(j).filter(kept) for j in (0, 1)], schema=schema)
+                if len(sets) == 2:
+                    both = len(np.intersect1d(*sets, assume_unique=True))
+                    if DENOMINATOR * both >= least * (len(sets[0]) + len(sets[1]) - both):
+                        links.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(links, pa.int64())) for j in (0, 1)], schema=schema)
 
-    joined = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("t_b")), "b")
-    return written(joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long"))
+    return keep.written(members.join(texts, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
 @dataclass
@@ -290,41 +275,50 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """Components of documents whose sets of k-word shingles have a Jaccard similarity of least hundredths or more.
 
     Null and empty texts, and those without words, have no shingles and link with nothing (component: their own
-    id). A row with a null id keeps a null component and takes no part. Repeated rows of one id are one node. An
-    empty table gives an empty one.
+    id). A row with a null id keeps a null component and takes no part. Repeated rows of one id are one node; where
+    their texts differ, each text is a set of that id. Of equal counts, sizes and hubs, the smaller name goes first;
+    that changes no component. An empty table gives an empty one. The three results are written tables in the
+    folder of spark.checkpoint.dir; everything in between is deleted.
     """
     docs = id_text(documents, id_col, text_col)
     known = docs.filter("doc_id is not null")
-    made = written(prefix_tokens(known, k, heavy_tokens(known, k), least))
-    nodes = made.filter("doc_id is not null").select("doc_id", "cls", "n")
-    sketches = made.filter("p0 is not null").select("cls", *(f"p{i}" for i in range(PARITY)), "sketch", "unit").dropDuplicates(["cls"])
-    first_doc = written(nodes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    listed = index(made.filter("key is not null").select("key", "cls", "n"), least)
-
-    # hubs: first the class that shares most of its prefix and the smallest; then that with most links so far, which
-    # the edited copies of a text surround
-    links = verified(bounded(star_pairs(listed.withColumn("weight", F.col("share")).withColumn("label", F.col("cls")), least), sketches, least), known, first_doc, k, least)
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").cast("double").alias("weight"))
-    labelled = with_labels(listed, written(components(links))).join(degree, "cls", "left").fillna(0.0, ["weight"])
-    links = links.unionByName(verified(bounded(star_pairs(written(labelled), least), sketches, least), known, first_doc, k, least))
-    labels = written(components(links))
-
-    # members of different components that share a key
-    marked = with_labels(listed, labels)
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    marked = written(marked.join(open_keys, "key"))
-    sketched = marked.join(sketches, "cls")
-    small, large = sketched.filter(F.col("n") < SKETCH_FROM), sketched.filter(DENOMINATOR * F.col("n") >= least * SKETCH_FROM)
-    rest = apart(small, F.lit(True), least).union(apart(large, (F.greatest("n_a", "n_b") >= SKETCH_FROM) & overlap_allows(least), least)).distinct()
-    links = links.unionByName(verified(rest, known, first_doc, k, least))
-    labels = components(links)
-
-    linked = first_doc.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    keep = Scratch(documents.sparkSession)
+    levels, hot = token_levels(known, k)
+    made = keep.written(prefixes(known, k, levels, hot, least), "made")
+    nodes = made.select("doc_id", "cls", "n")
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    same = F.when(F.min("other") == F.max("other"), F.min("doc_id")).otherwise(F.raise_error(F.lit("two sets have one name")))
+    classes = written(made.filter("n > 0").groupBy("cls").agg(same.alias("doc_id"), first("n"), *map(first, BITS)), "classes")
+    fines = keep.written(made.filter("fine is not null").select("cls", "n", "fine").dropDuplicates(["cls"]), "fines")
+    listed = keep.written(keyed(made), "listed")
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """Links among pairs of classes and hubs."""
+        near = pairs.drop("n_a", "n_b").join(signed(classes, "b"), "b").join(signed(classes, "a"), "a").filter(difference_allows(bits_differ(), least)).select("a", "b")
+        return verified(near, known, classes, fines, k, least, keep)
+
+    links = met(most_named(listed.select("cls", "n", F.explode(F.array("hi", "lo")).alias("hub")), least))
+    labels = keep.written(components(links, scratch=keep), "labels")
+
+    # the class with most links so far is the next hub of each open list
+    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("degree"))
+    opened = keep.written(open_lists(listed.drop("hi", "lo"), labels).join(degree, "cls", "left").fillna(0, ["degree"]), "open")
+    hubs = opened.groupBy("key").agg(F.max(F.struct("degree", "n", "cls", "label")).alias("hub"))
+    second = most_named(opened.join(hubs, "key").filter(F.col("hub.label") != F.col("label")).select("cls", "n", F.struct("hub.n", "hub.cls").alias("hub")), least)
+    links = links.unionByName(met(second))
+    labels = keep.written(components(links, scratch=keep), "labels")
+
+    opened = open_lists(opened.drop("label", "degree"), labels)
+    links = links.unionByName(verified(rest(opened, classes, least, keep), known, classes, fines, k, least, keep))
+    labels = components(links, scratch=keep)
+
+    linked = classes.select("cls", "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = linked.join(lowest, "label").select("cls", "component_id")
     placed = nodes.join(by_class, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    lost = docs.filter("doc_id is null")
-    return Joined(placed.unionByName(without_id(lost, k)), links, first_doc)
+    out = Joined(written(placed.unionByName(without_id(docs.filter("doc_id is null"), k)), "documents"), written(links.distinct(), "links"), classes.select("cls", "doc_id"))
+    keep.close()
+    return out
 
 
 def without_id(docs: DataFrame, k: int) -> DataFrame:
@@ -339,8 +333,13 @@ def without_id(docs: DataFrame, k: int) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, least: int = LEAST) -> DataFrame:
-    """documents, all columns, with one document of each component: that with the smallest id. Rows with a null id stay."""
+    """documents, all columns, with one document of each component: that with the smallest id.
+
+    Null, empty and wordless texts link with nothing and stay, as do rows with a null id and repeated rows of the id
+    that stays. An empty table gives an empty one. Columns may have any names.
+    """
     placed = join(documents, id_col, text_col, k, least).documents
-    dropped = written(placed.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    gone = "".join(sorted({"dropped", *documents.columns}, key=len)[-1:]) + "_"  # longer than any column's name
+    dropped = written(placed.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
     few = dropped.count() <= BROADCAST
-    return documents.join(F.broadcast(dropped) if few else dropped, documents[id_col] == F.col("_dropped"), "left_anti")
+    return documents.join(F.broadcast(dropped) if few else dropped, documents[id_col] == F.col(gone), "left_anti")

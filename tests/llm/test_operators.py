@@ -251,11 +251,11 @@ def brute_components(docs):
     return {k: (len(sets[k]), label[k]) for k in sets}
 
 
-@pytest.mark.parametrize(("long_list", "combined", "sketch_from"), [(64, 700, 1000), (3, 700, 50), (3, 20, 1000)])
-def test_join_equals_brute_force(spark, monkeypatch, long_list, combined, sketch_from):
-    monkeypatch.setattr(jaccard_join, "SKETCH_FROM", sketch_from)
-    monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
-    monkeypatch.setattr(jaccard_join, "COMBINED_UP_TO", combined)
+@pytest.mark.parametrize(("long", "fine_from", "hot"), [(64, 1000, 4096), (2, 50, 4096), (1, 1000, 3)])
+def test_join_equals_brute_force(spark, monkeypatch, long, fine_from, hot):
+    monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "FINE_FROM", fine_from)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     r = random.Random(6)
     docs = []
     for g in range(12):
@@ -270,6 +270,21 @@ def test_join_equals_brute_force(spark, monkeypatch, long_list, combined, sketch
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == brute_components(docs)
 
 
+def test_words_without_a_shared_shingle_do_not_meet(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    rows = [(1, f"one two {one}", "en"), (2, f"one two {two}", "en"), (3, "x" * 65, "en"), (4, "x" * 64 + "y", "en"), (5, "abcdefgh", "en"), (6, "abcdefg", "en"), (7, "abcdefgh" * 2, "en")]
+    assert {x.doc_id: x.component_id for x in jaccard_join.join(frame(spark, rows)).documents.collect()} == {k: k for k in range(1, 8)}
+
+
+def test_one_of_each_with_clashing_names(spark):
+    docs = frame(spark, [(1, "a b c d", "en"), (2, "a b c d", "en"), (3, None, "en"), (None, "a b c d", "en")])
+    for name in ("_dropped", "dropped", "dropped_", "cls", "key", "label"):
+        left = jaccard_join.one_of_each(docs.withColumn(name, F.lit(1)))
+        assert sorted(str(x.doc_id) for x in left.collect()) == ["1", "3", "None"]
+
+
 def test_join_edges(odd):
     same_rows(jaccard_join.join(odd).documents, odd)
     assert jaccard_join.join(odd.limit(0)).documents.count() == 0
