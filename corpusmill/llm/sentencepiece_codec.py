@@ -17,6 +17,7 @@ import heapq
 import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .common import id_text, rows
 
 SPACE = "▁"
 LONG = 200  #: symbols; a longer part gets a heap, so that work stays n log n
-CHUNK = 4 << 20  #: characters of text that are encoded together
+CHUNK = 1 << 20  #: characters of text that are encoded together
 NONE = np.int32(2**31 - 1)
 
 
@@ -178,6 +179,12 @@ class Codec:
         return ids, offsets, index, by_text, agrees
 
 
+@lru_cache(1)
+def codec_of(model_path: str) -> Codec:
+    """One codec a Python worker, which serves many tasks."""
+    return Codec(model_path)
+
+
 def cuts(data: np.ndarray, starts: np.ndarray, cuttable: bool) -> np.ndarray:
     """Starts of parts: of each text, of each run of space marks, of each line feed and after it."""
     begins = np.zeros(len(data) + 1, bool)
@@ -224,7 +231,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", kind), ("decoded", pa.string()), ("agrees", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
 
         def made(held: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
             ids, offsets, index, by_text, agrees = codec.encode_chunk([t for _, t in held])
