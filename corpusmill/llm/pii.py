@@ -12,7 +12,7 @@ import bisect
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -86,7 +86,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):  # a part may have any number of leading zeros
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -198,7 +198,7 @@ def boosted(x: np.ndarray, y: np.ndarray, kinds: list[str], rounds: int = 30, de
     return model
 
 
-def labelled(seed: int = 7, each: int = 150) -> list[tuple[str, str, int, int, int]]:
+def labelled(seed: int = 7, each: int = 300) -> list[tuple[str, str, int, int, int]]:
     """(text, kind, start, end, label): candidates from a seeded rule, half personal data and half look-alikes."""
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -242,19 +242,39 @@ def trained() -> Boosted:
     return boosted(x, np.array([y for *_, y in found], float), [k for _, k, *_ in found])
 
 
+class Taken:
+    """Places that spans cover, as disjoint sorted intervals."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether a to b was free; if so, it is taken now."""
+        i = bisect.bisect_left(self.starts, b)  # those before i start before b; the last of them ends last
+        if i and self.ends[i - 1] > a:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 def spans(text: str, model: Boosted) -> list[tuple[str, int, int, float]]:
     """All chosen spans by start, then kind as listed: base spans, and further ones that clear their threshold
-    and touch no base span; of overlapping further ones the likeliest stays."""
+    and touch no base span; of overlapping further ones the likeliest stays, of equally likely ones the first, then
+    the first kind as listed."""
     base = base_spans(text)
     chosen = [(k, a, b, 1.0) for k, a, b in base]
     further = [(p, k, a, b) for k, a, b in candidates(text) if (p := model.probability(features(text, k, a, b))) >= model.thresholds.get(k, 0.99)]
     if further:
-        taken = sorted((a, b) for _, a, b in base)
-        for p, k, a, b in sorted(further, key=lambda x: (-x[0], x[2], KINDS.index(x[1]))):
-            i = bisect.bisect_left(taken, (b, 0))
-            if all(not (x < b and a < y) for x, y in taken[max(0, i - 8) : i + 1]):
-                bisect.insort(taken, (a, b))
-                chosen.append((k, a, b, p))
+        taken = Taken((a, b) for _, a, b in base)
+        chosen += [(k, a, b, p) for p, k, a, b in sorted(further, key=lambda x: (-x[0], x[2], KINDS.index(x[1]))) if taken.take(a, b)]
     return sorted(chosen, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
