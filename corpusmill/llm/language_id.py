@@ -81,11 +81,12 @@ class Model:
 def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """Trigram weights from at most train_rows documents with a language (the smallest hashes of their ids).
 
-    Which rows may be learned from is the caller's choice. The counts have at most 65,536 rows a language.
+    Which rows may be learned from is the caller's choice. Of rows that share an id, the one with the least language
+    and text counts; null and empty texts count nothing. The counts have at most 65,536 rows a language.
     """
     labelled = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
     picked = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
-    train = labelled.join(F.broadcast(picked), "doc_id").select("text", "lang")  # at most train_rows ids are broadcast
+    train = labelled.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.text", "r.lang")  # at most train_rows ids are broadcast, as many texts come back
     schema = pa.schema([("lang", pa.string()), ("script", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,8 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """doc_id, lang, score, spans array<struct<start, end, lang>> of each whole text, in code points.
 
     score is the share of letters in the language, times how surely its words speak for it. Null text, or none
-    with a letter, gives 'und', 0 and no spans; so does a model without languages. Null ids and repeated rows
+    with a letter, gives 'und', 0 and no spans; so does a model without languages. Of languages with as many letters,
+    the first by name counts. Null ids and repeated rows
     stay: one row out for each row in. Narrow: no shuffle.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])

@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding is one character to one character (lower case, homoglyphs to Latin letters, digits and symbols that
-stand for letters inside words), so spans keep their places. A lexicon term is a whole word or the start of a
+Folding is one character to one character (lower case, homoglyphs to Latin letters, digits that stand for letters
+wherever they are, symbols that do between letters or digits), so spans keep their places. A lexicon term is a whole word or the start of a
 word; its weight is the smoothed log odds of a labelled document being toxic given the term, learned from
 labelled rows beside a small seed list. A hit inside an exception phrase does not count. The sum of weights,
 raw and normalised by length, goes through a logistic curve fitted on the same labelled rows.
@@ -27,7 +27,7 @@ SEED = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "scum": 3.0, "worthless": 2.0
 #: Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "no stupid questions", "circus clown")
 #: Characters that look like Latin letters (Cyrillic, Greek), and digits that stand for letters.
-HOMOGLYPHS = dict(zip("аеорсухкмтвнісјԁɡӏαεορκνιτυχ", "aeopcyxkmtbhicjdglaeopkvituх".replace("х", "x"), strict=True))
+HOMOGLYPHS = dict(zip("аеорсухкмтвніјԁɡӏαεορκνιτυχ", "aeopcyxkmtbhijdglaeopkvitux", strict=True))
 DIGITS = dict(zip("0134578", "oieastb", strict=True))
 SYMBOLS = {"@": "a", "$": "s", "!": "i", "€": "e", "|": "l"}
 
@@ -146,10 +146,10 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Lexicon and curve from at most train_rows labelled rows (those with the smallest hash of their id).
 
     Which rows may be learned from is the caller's choice. Rows with a null id or label are not used; an id that
-    is labelled twice counts with its highest label. Without labelled rows the seed list and a fixed curve remain.
+    is labelled twice counts with its highest label, one with several texts with the least of them. Without labelled rows the seed list and a fixed curve remain.
     """
     picked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    train = id_text(documents, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").persist()  # at most train_rows small rows are broadcast
+    train = id_text(documents, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).persist()  # train_rows small rows are broadcast, as many texts come back
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,11 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep(documents: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """documents, all columns, without those that score threshold or more. Narrow: rows are dropped where they are read."""
+    """documents, all columns, without those that score threshold or more. Narrow: rows are dropped where they are read.
+
+    A null or empty text scores as one without hits. Ids are not looked at: null ones stay, and repeated rows go or stay
+    each by its text.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.lexicon, model.exceptions)
