@@ -92,8 +92,7 @@ def byte_pieces(text: str, most: int) -> list[str]:
         cut = min(cut or near, len(text))
         if len(text[:cut].encode()) > most:
             cut = len(text.encode()[:most].decode(errors="ignore"))
-        if not cut:
-            break
+        cut = cut or 1  # a budget below one character: the piece is over it
         out.append(text[:cut])
         text = text[cut:].strip()
     return out or [text]
@@ -132,13 +131,23 @@ def capped(text: Column, most: int = MAX_BYTES) -> Column:
     return F.when(F.octet_length(text) > most, F.concat(F.element_at(split_bytes(text, most - 200), 1), F.lit(TRUNCATED))).otherwise(text)
 
 
+def cut_chunks(chunked: DataFrame, most: int) -> DataFrame:
+    """document_id, chunk_index, piece, text of chunks, oversized ones in pieces."""
+    return chunked.select("document_id", "chunk_index", F.posexplode(F.when(F.octet_length("text") <= most, F.array("text")).otherwise(split_bytes("text", most))).alias("piece", "text"))
+
+
+def skipped_pieces(chunked: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """document_id, chunk_index, size, chars of the pieces that split_chunks() drops."""
+    return cut_chunks(chunked, most).filter(F.octet_length("text") > most).select("document_id", "chunk_index", F.octet_length("text").alias("size"), F.length("text").alias("chars"))
+
+
 def split_chunks(chunked: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     """(document_id, chunk_index, text) with oversized chunks split and every document's chunks numbered anew.
 
-    Pieces still over the budget are dropped. The numbers come from a window over a document's chunks.
+    Pieces still over the budget are dropped; skipped_pieces() reports them. The numbers come from a window over a document's chunks.
     """
     from pyspark.sql import Window as W
 
-    pieces = chunked.select("document_id", "chunk_index", F.posexplode(F.when(F.octet_length("text") <= most, F.array("text")).otherwise(split_bytes("text", most))).alias("piece", "text")).filter(F.octet_length("text") <= most)
+    pieces = cut_chunks(chunked, most).filter(F.octet_length("text") <= most)
     number = F.row_number().over(W.partitionBy("document_id").orderBy("chunk_index", "piece")) - 1
     return pieces.select("document_id", number.cast("int").alias("chunk_index"), "text")

@@ -19,7 +19,7 @@ from .text import AB
 
 NEAR_WORDS = 30  #: words of the text that a query word is held against
 _SPLIT = re.compile(r"[^A-Za-z0-9_\s]")
-_PROJECT = re.compile(r"projets?\s+personnels?|projects?\s+personnels?")
+_PROJECT = re.compile(r"projet\s+personnel|projets\s+personnels|project\s+personnel|projects\s+personnels")
 _PROJECT_LOOSE = re.compile(r"(?i)projet\s+personn?el|projets\s+personn?els|project\s+personnel|projects\s+personnels")
 _CONTEXT_TIME = re.compile(r"jours?\s+\d+|de\s+\d+h\d+|à\s+\d+h\d+")
 
@@ -47,14 +47,15 @@ def edit_distance(a: str, b: str) -> int:
 
 
 @lru_cache(16)
-def words_of(low: str) -> tuple[frozenset[str], dict[str, list[tuple[str, frozenset[str]]]]]:
-    """A text's ASCII words, and the first NEAR_WORDS of them for each first letter; one text meets many queries in a row."""
+def words_of(low: str) -> tuple[frozenset[str], dict[str, list[tuple[str, frozenset[str]]]], dict[tuple[str, bool], tuple[float, float]]]:
+    """A text's ASCII words, the first NEAR_WORDS of them for each first letter, and the weights of query words so far;
+    one text meets many queries in a row, and queries share words."""
     words = _SPLIT.sub(" ", low).split()
     by_letter: dict[str, list[tuple[str, frozenset[str]]]] = {}
     for w in words:
         if len(w) > 1 and w not in L.STOP_WORDS and len(held := by_letter.setdefault(w[0], [])) < NEAR_WORDS:
             held.append((w, frozenset(w)))
-    return frozenset(words), by_letter
+    return frozenset(words), by_letter, {}
 
 
 def near_word(word: str, low: str) -> float | None:
@@ -81,29 +82,33 @@ def phrases(low_query: str, project: bool) -> list[str]:
     return out
 
 
+def word_weight(word: str, low: str, project: bool) -> tuple[float, float]:
+    """What one query word adds to the exact and to the partial matches."""
+    active, common = word in L.ACTIVITY_WORDS, word in L.COMMON_WORDS
+    if project and word in ("personnel", "personnels"):
+        return (2.0 if _PROJECT.search(low) else 0.1), 0.0
+    if word in words_of(low)[0] or (" " in word and word_pattern(word).search(low)):
+        return (3.0 if active else 0.3 if common else 1.0), 0.0
+    if len(word) <= 2 or common:
+        return 0.0, 0.1 * (word in low)
+    if (likeness := near_word(word, low)) is not None:
+        return 0.0, (1.5 if active else 0.5 * likeness) if likeness else (1.2 if active else 0.4)
+    if word == "directice":
+        return (1.5, 0.0) if word_pattern("directrice").search(low) else (0.0, 0.7 * ("directrice" in low or "directice" in low))
+    if word == "project" and project:
+        return 2.0 * bool(re.search(r"projet\s+personnel|project\s+personnel", low)), 0.0
+    return 0.0, 0.3 * (word in low)
+
+
 def word_matches(words: list[str], low: str, project: bool) -> tuple[float, float]:
     """Weights of exact and of partial word matches."""
     exact = partial = 0.0
-    said = words_of(low)[0]
+    known = words_of(low)[2]
     for word in words:
-        active, common = word in L.ACTIVITY_WORDS, word in L.COMMON_WORDS
-        if project and word in ("personnel", "personnels"):
-            exact += 2.0 if _PROJECT.search(low) else 0.1
-        elif word in said or (" " in word and word_pattern(word).search(low)):
-            exact += 3.0 if active else 0.3 if common else 1.0
-        elif len(word) <= 2 or common:
-            partial += 0.1 * (word in low)
-        elif (likeness := near_word(word, low)) is not None:
-            partial += (1.5 if active else 0.5 * likeness) if likeness else (1.2 if active else 0.4)
-        elif word == "directice":
-            if word_pattern("directrice").search(low):
-                exact += 1.5
-            elif "directrice" in low or "directice" in low:
-                partial += 0.7
-        elif word == "project" and project:
-            exact += 2.0 * bool(re.search(r"proje[tc]t?\s+personnel", low))
-        elif word in low:
-            partial += 0.3
+        if (own := known.get((word, project))) is None:
+            own = known[word, project] = word_weight(word, low, project)
+        exact += own[0]
+        partial += own[1]
     return exact, partial
 
 
@@ -147,7 +152,7 @@ def intent_bonus(low_query: str, text: str, project: bool) -> float:
     for p, bonus, most in intents(low_query):
         total += min(bonus * (sum(1 for _ in p.finditer(text)) if most > bonus else bool(p.search(text))), most)
     if project:
-        total += 1.0 * bool(_PROJECT_LOOSE.search(text)) + 0.2 * bool(re.search(r"(?:\A|\n)projets?\s+personnels?", text.lower().strip()))
+        total += 1.0 * bool(_PROJECT_LOOSE.search(text)) + 0.2 * bool(re.search(r"(?:\A|\n)(?:projet\s+personnel|projets\s+personnels)", text.lower().strip()))
     return total
 
 

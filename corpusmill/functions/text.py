@@ -28,9 +28,29 @@ def sanitize(c: Column) -> Column:
     return F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
 
 
+def quotient(n: Column, d: int) -> Column:
+    """n / d in whole numbers, rounded down, of a long that is not negative."""
+    return ((n - n % d) / d).cast("long")
+
+
+def decimal_label(size: Column, unit: int, places: int) -> Column:
+    """size / unit with so many decimals, halves rounded up; in whole numbers throughout, so that no tie is lost."""
+    scale = 10**places
+    n = quotient(size.cast("long") * (2 * scale) + unit, 2 * unit)
+    return F.concat(quotient(n, scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0")) if places else n.cast("string")
+
+
 def size_label(size: Column) -> Column:
-    """B, KB or MB of a number of bytes, two decimals beyond bytes."""
-    return F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).when(size < 1048576, F.format_string("%.2f KB", size / 1024.0)).otherwise(F.format_string("%.2f MB", size / 1048576.0))
+    """A number of bytes: B, KB with one decimal or MB with two."""
+    return F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(decimal_label(size, 1024, 1), F.lit(" KB"))).otherwise(F.concat(decimal_label(size, 1048576, 2), F.lit(" MB")))
+
+
+def text_size_label(c: Column) -> Column:
+    """A text's bytes (B, whole KB, or MB with two decimals) and characters, these with commas from a KB on."""
+    size, chars = F.octet_length(c), F.length(c)
+    many = F.concat(F.format_number(chars, 0), F.lit(" chars"))
+    small = F.concat(size.cast("string"), F.lit("B / "), chars.cast("string"), F.lit(" chars"))
+    return F.when(size < 1024, small).when(size < 1048576, F.concat(decimal_label(size, 1024, 0), F.lit("KB / "), many)).otherwise(F.concat(decimal_label(size, 1048576, 2), F.lit("MB / "), many))
 
 
 def is_non_content(source: Column, text: Column) -> Column:
@@ -82,6 +102,11 @@ def reply_subjects(reply: Column, query: Column) -> Column:
     return F.when(F.size(named) == 0, keyword_subjects(query)).otherwise(with_general(named))
 
 
+def query_subjects(query: Column, *replies: Column) -> Column:
+    """Subjects of a query by the first provider that replied; a provider that failed gives null. Without a reply, by keywords."""
+    return reply_subjects(F.coalesce(*replies, F.lit("")), query) if replies else keyword_subjects(query)
+
+
 def cleaned_expansion(expansion: Column) -> Column:
     """Without quotes at the ends and a leading label."""
     c = strip(F.regexp_replace(strip(expansion), "^[\"']|[\"']$", ""))

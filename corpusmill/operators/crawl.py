@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -40,6 +40,9 @@ def robots_for(rules: DataFrame, key: str, agent: str = "*") -> DataFrame:
 def crawl(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, max_pages: int | None = MAX_PAGES, barred: DataFrame | None = None) -> DataFrame:
     """url, depth: pages reached from start by edges (src, dst, external). External targets are followed from depth 0 and
     1 only. Each level is one join, and a table written to the shared checkpoint folder; max_pages ends the levels.
+
+    With a column pos, the place of a link on its page, the pages that max_pages leaves are the first of a queue: those
+    linked from the page that came first, in the order of its links. Without it, the first by address.
     """
     spark = edges.sparkSession
     folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
@@ -48,21 +51,26 @@ def crawl(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, max_pages: i
         rows.write.parquet(f"{folder}/{depth}")
         return spark.read.parquet(f"{folder}/{depth}")
 
-    seen = frontier = level(spark.createDataFrame([(start, 0)], "url string, depth int"), 0)
+    queue = "pos" in edges.columns
+    seen = frontier = level(spark.createDataFrame([(start, 0, 0)], "url string, depth int, turn int"), 0)
     pages = 1
     for depth in range(1, max_depth + 1):
-        out = edges.join(frontier, edges["src"] == frontier["url"]).filter(F.lit(depth <= 2) | ~F.col("external")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        out = edges.join(frontier, edges["src"] == frontier["url"]).filter(F.lit(depth <= 2) | ~F.col("external")).groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("turn", F.col("pos") if queue else F.lit(0))).alias("first")).join(seen, "url", "left_anti")
         if barred is not None:
             out = out.join(barred, "url", "left_anti")
         if max_pages is not None:
-            out = out.orderBy("url").limit(max(max_pages - pages, 0))
-        frontier = level(out.withColumn("depth", F.lit(depth)), depth)
+            order = ["first", "url"] if queue else ["url"]
+            out = out.orderBy(*order).limit(max(max_pages - pages, 0))
+            turn = F.row_number().over(Window.orderBy(*order))  # over max_pages rows at most
+        else:
+            turn = F.lit(0)  # all are taken, in whatever order
+        frontier = level(out.select("url", F.lit(depth).alias("depth"), turn.alias("turn")), depth)
         found = frontier.count()
         if not found:
             break
         pages += found
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.select("url", "depth")
 
 
 def crawl_totals(pages: DataFrame) -> DataFrame:
@@ -70,6 +78,20 @@ def crawl_totals(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count("*").alias("pages"), F.sum(F.size("links")).cast("long").alias("links"), F.sum(F.size("files")).cast("long").alias("files"), F.count("error").alias("errors"))
 
 
+def seen(urls: DataFrame, stored: DataFrame, extension: Column | None = None) -> DataFrame:
+    """Rows of urls (url, category) whose file is among stored (category, name).
+
+    The name is that of the page's text for pages and external ones; for other categories it has extension, if given.
+    Files keep their endings, so a test without one finds none of these.
+    """
+    from ..functions.text import url_filename
+
+    page = F.col("category").isin("pages", "external")
+    bare = F.regexp_replace(url_filename(F.col("url")), r"\.txt$", "")
+    name = F.concat(bare, F.when(page, ".txt").otherwise(F.lit("") if extension is None else extension))
+    return urls.withColumn("_name", name).join(stored.select("category", F.col("name").alias("_name")).distinct(), ["category", "_name"], "left_semi").drop("_name")
+
+
 def crawl_index(pages: DataFrame, folder: Column) -> DataFrame:
     """url, content_hash, file_path of stored pages (url, text): the rows of a crawl index."""
     from ..functions.text import url_filename

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,8 +24,8 @@ def survivors(documents: DataFrame, content: str, id_col: str = "id") -> DataFra
 
 def report(documents: DataFrame, source: str, content: str, id_col: str = "id") -> DataFrame:
     """One row: groups by source, groups by content among what those leave, and distinct duplicates of both."""
-    by_source = W.partitionBy(source)
-    first = documents.select(id_col, source, F.md5(content).alias("md5")).select("*", F.min(id_col).over(by_source).alias("first_id"), F.count("*").over(by_source).alias("n"))
-    sources = first.agg(F.count_distinct(F.when(F.col("n") > 1, F.col(source))).alias("source_groups"), F.count_if(F.col(id_col) != F.col("first_id")).alias("source_duplicates"))
-    rest = first.filter(F.col(id_col) == F.col("first_id")).groupBy("md5").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("content_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("content_duplicates"))
+    firsts = documents.groupBy(source).agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))  # combines before the shuffle, so a large source is one row a task
+    sources = firsts.agg(F.count_if((F.col("n") > 1) & F.col(source).isNotNull()).alias("source_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("source_duplicates"))
+    kept = documents.select(F.col(id_col).alias("first_id"), F.md5(content).alias("md5")).join(firsts.select("first_id"), "first_id", "left_semi")
+    rest = kept.groupBy("md5").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("content_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("content_duplicates"))
     return sources.join(rest).select("source_groups", "content_groups", (F.col("source_duplicates") + F.col("content_duplicates")).alias("duplicates"))

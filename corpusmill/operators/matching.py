@@ -7,7 +7,6 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import OCR_WORDS
@@ -64,19 +63,37 @@ def nearest_words(words: DataFrame, dictionary: DataFrame, word: str = "word", e
     return near.groupBy("word").agg(F.min(F.struct("distance", "entry")).alias("m")).select("word", "m.entry", "m.distance")
 
 
+PIECE = 12  #: characters of a part that a join is on
+
+
+def contains(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs of rows where whole's part contains part's part, other columns of both. The first PIECE characters of a part, or all of
+    a shorter one, meet the equal pieces of the names: an equality join, then the test. An empty part is in every name."""
+    size = F.length("part")
+    held = whole.filter("part is not null").withColumn("_n", F.explode(F.sequence(F.lit(0), F.least(F.lit(PIECE), size))))
+    held = held.withColumn("_at", F.explode(F.sequence(F.lit(1), F.when(F.col("_n") == 0, 1).otherwise(size - F.col("_n") + 1))))
+    held = held.withColumn("_piece", F.substr(F.col("part"), F.col("_at"), F.col("_n"))).drop("_n", "_at").distinct().withColumnRenamed("part", "_whole")
+    sought = part.filter("part is not null").withColumn("_piece", F.substring("part", 1, PIECE))
+    return held.join(sought, "_piece").filter(F.contains("_whole", "part")).drop("_piece", "_whole", "part")
+
+
 def pdf_matches(texts: DataFrame, pdfs: DataFrame, text_file: str = "text_file", pdf_file: str = "pdf_file") -> DataFrame:
     """text_file, pdf_file, strategy: each text's PDF. Names without the last part contain each other; else a word of
     over four characters does; else a PDF's name has a word of over three. The first word, then the first PDF wins.
 
-    The strategies are contains-joins over file names, which have no equality to hash on; the listing is the small side.
+    Each strategy asks which names contain which; contains() makes that a join on equal pieces.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     stem = F.regexp_replace(F.element_at(F.split(text_file, "/"), -1), r"\.txt$", "")
     t = texts.select(F.col(text_file).alias("text_file"), F.split(stem, "_").alias("parts")).withColumn("head", F.when(F.size("parts") >= 2, F.array_join(F.slice("parts", 1, F.size("parts") - 1), "_")))
-    p = F.broadcast(pdfs.filter(F.col(pdf_file).endswith(".pdf")).select(F.col(pdf_file).alias("pdf_file"), F.lower(F.regexp_replace(pdf_file, r"\.pdf$", "")).alias("name"), F.row_number().over(W.orderBy(pdf_file)).alias("at")))  # one folder's listing
-    whole = t.join(p, plain(F.col("head")).contains(plain(F.col("name"))) | plain(F.col("name")).contains(plain(F.col("head")))).select("text_file", "pdf_file", F.lit(1).alias("strategy"), F.lit(0).alias("word_at"), "at")
+    p = pdfs.filter(F.col(pdf_file).endswith(".pdf")).select(F.col(pdf_file).alias("pdf_file"), F.lower(F.regexp_replace(pdf_file, r"\.pdf$", "")).alias("name"))
+    heads, names = t.select("text_file", plain(F.col("head")).alias("part")), p.select("pdf_file", plain(F.col("name")).alias("part"))
+    result = lambda found, strategy, at: found.select("text_file", "pdf_file", F.lit(strategy).alias("strategy"), at.alias("word_at"))
+    whole = result(contains(heads, names).unionByName(contains(names, heads)), 1, F.lit(0))
     words = lambda source, most: t.select("text_file", F.posexplode(F.filter(source, lambda w: F.length(w) > most)).alias("word_at", "word")).withColumn("word", F.lower("word"))
-    second = words(F.split("head", "_"), 4).join(p, F.col("name").contains(F.col("word")) | F.col("word").contains(F.col("name"))).select("text_file", "pdf_file", F.lit(2).alias("strategy"), "word_at", "at")
-    third = words(F.col("parts"), 3).join(p, F.col("name").contains(F.col("word"))).select("text_file", "pdf_file", F.lit(3).alias("strategy"), "word_at", "at")
+    stems = p.select("pdf_file", F.col("name").alias("part"))
+    long, shorter = (words(source, most).withColumnRenamed("word", "part") for source, most in ((F.split("head", "_"), 4), (F.col("parts"), 3)))
+    second = result(contains(stems, long).unionByName(contains(long, stems)), 2, F.col("word_at"))
+    third = result(contains(stems, shorter), 3, F.col("word_at"))
     found = whole.unionByName(second).unionByName(third)
-    return found.groupBy("text_file").agg(F.min(F.struct("strategy", "word_at", "at", "pdf_file")).alias("m")).select("text_file", "m.pdf_file", "m.strategy")
+    return found.groupBy("text_file").agg(F.min(F.struct("strategy", "word_at", "pdf_file")).alias("m")).select("text_file", "m.pdf_file", "m.strategy")

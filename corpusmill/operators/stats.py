@@ -40,6 +40,21 @@ def health(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("n_documents")).join(chunks.agg(F.count("*").alias("n_chunks"), F.count_if(read).alias("n_content"))).select(F.lit(True).alias("connected"), "n_documents", "n_chunks", "n_content")
 
 
+def average_size(documents: DataFrame, text: str) -> DataFrame:
+    """avg_size: the mean length, rounded."""
+    return documents.agg(F.round(F.avg(F.length(text))).cast("long").alias("avg_size"))
+
+
+def extents(rows: DataFrame, kind: Column) -> DataFrame:
+    """category, n of each kind of source."""
+    return rows.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+
+
+def folder_counts(files: DataFrame, folder: Column) -> DataFrame:
+    """folder, n of the files in each folder, and of all as total."""
+    return files.select(folder.alias("folder")).rollup("folder").agg(F.count("*").alias("n")).select(F.coalesce("folder", F.lit("total")).alias("folder"), "n")
+
+
 def ingest_summary(pieces: DataFrame) -> DataFrame:
     """status, n, chars of pieces (status, text)."""
     return pieces.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))

@@ -6,6 +6,7 @@ labelled documents of quality 0; queries are what users say in conversations.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, scoring, text
 from ..functions import lexicon as L
 from ..operators import crawl, dedup, enrich, html, matching, retrieval, stats, store
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,7 +120,7 @@ def size_histogram(spark, sf_dir):
 
 @query("SELECT CAST(round(avg(length(text))) AS BIGINT) AS avg_size FROM documents")
 def avg_size(spark, sf_dir):
-    return documents(spark, sf_dir).agg(F.round(F.avg(F.length("content"))).cast("long").alias("avg_size"))
+    return stats.average_size(documents(spark, sf_dir), "content")
 
 
 @query(f"WITH {C} SELECT id, source AS source_id, CAST(length(text) AS BIGINT) AS size, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM chunks ORDER BY size DESC, id LIMIT 5")
@@ -141,7 +142,7 @@ def ingest_summary(spark, sf_dir):
 @query("SELECT CASE doc_id % 4 WHEN 0 THEN 'pages' WHEN 1 THEN 'external' WHEN 2 THEN 'pdf-texts' ELSE 'excel' END AS category, count(*) AS n FROM documents GROUP BY category")
 def extent_counts(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("pages", "external", "pdf-texts", "excel"))), (F.col("id") % 4 + 1).cast("int"))
-    return documents(spark, sf_dir).groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    return stats.extents(documents(spark, sf_dir), kind)
 
 
 # --- duplicates ---
@@ -289,6 +290,11 @@ def keyset_page(spark, sf_dir):
     return enrich.next_page(chunks(spark, sf_dir), 5_000_000, 3, "other").select("id", "text")
 
 
+@query(f"WITH {C} SELECT id, text FROM chunks WHERE subject IS NULL AND id > 5000000 ORDER BY id LIMIT 3")
+def keyset_unclassified(spark, sf_dir):
+    return enrich.next_page(chunks(spark, sf_dir), 5_000_000).select("id", "text")
+
+
 _NAMED = "CASE doc_id % 5 WHEN 0 THEN 'a/theme.css' WHEN 1 THEN 'data.json' WHEN 2 THEN NULL ELSE 'page ' || doc_id END"
 _STYLED = "CASE WHEN doc_id % 11 = 0 THEN repeat('{;}', 4) || text WHEN doc_id % 13 = 0 THEN '@import ' || text ELSE text END"
 
@@ -311,9 +317,24 @@ def sanitized_text(spark, sf_dir):
     return documents(spark, sf_dir).select("id", F.md5(text.sanitize(dirty)).alias("md5"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) ELSE printf('%.2f MB', n / 1048576.0) END AS label FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)")
+def _decimals(n: str, unit: int, places: int) -> str:
+    """n / unit with decimals, halves up, in whole numbers."""
+    scale = 10**places
+    whole = f"(({n} * {2 * scale} + {unit}) // {2 * unit})"
+    return f"(({whole} // {scale}) || '.' || lpad(CAST({whole} % {scale} AS VARCHAR), {places}, '0'))" if places else f"CAST({whole} AS VARCHAR)"
+
+
+@query(f"SELECT doc_id AS id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN {_decimals('n', 1024, 1)} || ' KB' ELSE {_decimals('n', 1048576, 2)} || ' MB' END AS label FROM (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) * CASE WHEN doc_id % 10 = 0 THEN 1000 ELSE 1 END AS n FROM documents)")
 def bytes_label(spark, sf_dir):
-    return documents(spark, sf_dir).select("id", text.size_label(F.octet_length("content").cast("double")).alias("label"))
+    """Sizes of documents; of every tenth, those of a thousand copies, so that each unit occurs."""
+    size = F.octet_length("content").cast("long") * F.when(F.col("id") % 10 == 0, 1000).otherwise(1)
+    return documents(spark, sf_dir).select("id", text.size_label(size).alias("label"))
+
+
+@query(f"WITH b AS (SELECT doc_id AS id, CAST(octet_length(encode(t)) AS BIGINT) AS n, length(t) AS c FROM (SELECT doc_id, repeat(text, CASE WHEN doc_id % 50 = 0 THEN 900 ELSE 1 END) AS t FROM documents)) SELECT id, CASE WHEN n < 1024 THEN n || 'B / ' || c || ' chars' WHEN n < 1048576 THEN {_decimals('n', 1024, 0)} || 'KB / ' || format('{{:,}}', c) || ' chars' ELSE {_decimals('n', 1048576, 2)} || 'MB / ' || format('{{:,}}', c) || ' chars' END AS label FROM b")
+def text_size_label(spark, sf_dir):
+    whole = F.repeat("content", F.when(F.col("id") % 50 == 0, 900).otherwise(1))
+    return documents(spark, sf_dir).select("id", text.text_size_label(whole).alias("label"))
 
 
 def _votes(words) -> str:
@@ -448,7 +469,7 @@ def _chunk_rows(spark, sf_dir):
 @query()
 def neighbour_context(spark, sf_dir):
     rows = _chunk_rows(spark, sf_dir)
-    top = retrieval.top_k(retrieval.scored(rows, items(spark, sf_dir)), 5, ["source", "index"])
+    top = retrieval.best_of(rows, items(spark, sf_dir), 5)
     return retrieval.widened(top, rows, 5).select("query_id", "source", "index", F.length("text").alias("size"))
 
 
@@ -462,16 +483,28 @@ _RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 _NAME = "regexp_extract(max(pdf_url), '([^/]*)$', 1)"
 
 
-@query(f"WITH {C}, p AS (SELECT document_id, chunk_index, pdf_url, {_PART} AS part FROM chunks WHERE chunk_index < 3) SELECT document_id AS query_id, string_agg(part, {_RULE} ORDER BY chunk_index) || CASE WHEN max(pdf_url) IS NOT NULL THEN {_RULE} || '[PDF Documents disponibles:]' || chr(10) || '1. ' || {_NAME} || chr(10) || '   Lien de téléchargement: /api/pdf/' || {_NAME} || chr(10) ELSE '' END AS context FROM p GROUP BY document_id")
+_CONTEXTS = f"p AS (SELECT document_id, chunk_index, pdf_url, {_PART} AS part FROM chunks), contexts AS (SELECT document_id AS query_id, string_agg(part, {_RULE} ORDER BY chunk_index) || CASE WHEN max(pdf_url) IS NOT NULL THEN {_RULE} || '[PDF Documents disponibles:]' || chr(10) || '1. ' || {_NAME} || chr(10) || '   Lien de téléchargement: /api/pdf/' || {_NAME} || chr(10) ELSE '' END AS context FROM p GROUP BY document_id)"
+
+
+def _contexts(spark, sf_dir, most=retrieval.MAX_CONTEXT):
+    """All chunks of each document as the context of a query of its own."""
+    rows = chunks(spark, sf_dir).select(F.col("document_id").alias("query_id"), "source", F.col("chunk_index").alias("index"), "text", "pdf_url")
+    return retrieval.context(rows, most)
+
+
+@query(f"WITH {C}, {_CONTEXTS} SELECT query_id, context FROM contexts")
 def context_string(spark, sf_dir):
-    rows = chunks(spark, sf_dir).filter("chunk_index < 3").select(F.col("document_id").alias("query_id"), "source", F.col("chunk_index").alias("index"), "text", "pdf_url")
-    return retrieval.context(rows).select("query_id", "context")
+    return _contexts(spark, sf_dir).select("query_id", "context")
+
 
+@query(f"WITH {C}, {_CONTEXTS} SELECT query_id, CASE WHEN length(context) > 2000 THEN left(context, 2000) || chr(10) || chr(10) || '[Context truncated...]' ELSE context END AS context FROM contexts")
+def context_cap(spark, sf_dir):
+    return _contexts(spark, sf_dir, 2000).select("query_id", "context")
 
-@query(f"WITH {C} SELECT document_id AS query_id, max(pdf_url) AS pdfs FROM chunks WHERE chunk_index < 3 AND pdf_url IS NOT NULL GROUP BY document_id")
+
+@query(f"WITH {C} SELECT document_id AS query_id, max(pdf_url) AS pdfs FROM chunks WHERE pdf_url IS NOT NULL GROUP BY document_id")
 def pdf_list(spark, sf_dir):
-    rows = chunks(spark, sf_dir).filter("chunk_index < 3").select(F.col("document_id").alias("query_id"), "source", F.col("chunk_index").alias("index"), F.lit("").alias("text"), "pdf_url")
-    return retrieval.context(rows).filter(F.size("pdfs") > 0).select("query_id", F.array_join("pdfs", "\n").alias("pdfs"))
+    return _contexts(spark, sf_dir).filter(F.size("pdfs") > 0).select("query_id", F.array_join("pdfs", "\n").alias("pdfs"))
 
 
 # --- pages ---
@@ -555,7 +588,7 @@ def route_upload(spark, sf_dir):
 @query("SELECT coalesce(folder, 'total') AS folder, count(*) AS n FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'pages' WHEN 1 THEN 'pdf-texts' ELSE 'external' END AS folder FROM pages) GROUP BY ROLLUP (folder)")
 def folder_counts(spark, sf_dir):
     folder = F.element_at(F.array(*map(F.lit, ("pages", "pdf-texts", "external"))), (F.col("page_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select(folder.alias("folder")).rollup("folder").agg(F.count("*").alias("n")).select(F.coalesce("folder", F.lit("total")).alias("folder"), "n")
+    return stats.folder_counts(table(spark, sf_dir, "pages"), folder)
 
 
 _ANSWER = "'See /api/pdf/a' || page_id || '.pdf) and ' || url || ' end'"
@@ -580,12 +613,127 @@ def settled_sources(spark, sf_dir):
     return usable.select("id", files.word_count(F.col("content")).alias("words"))
 
 
-@query()
+@query("SELECT item_id, trim(text) AS text FROM benchmark")
 def flat_documents(spark, sf_dir):
     body = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.transform(F.split("text", " "), lambda w: F.struct(F.struct(F.concat(w, F.lit(" ")).alias("content")).alias("textRun"))).alias("elements")).alias("paragraph"))).alias("content")).alias("body")))
     return table(spark, sf_dir, "benchmark").select("item_id", files.flattened(body).alias("text"))
 
 
+# --- files, stores and names ---
+
+_FOLDERS = "CASE page_id % 8 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate((*files.CATEGORIES, "elsewhere"))) + " END"
+
+
+def _page_files(spark, sf_dir):
+    """A folder with a file for each category, and one for none, that holds the addresses of its pages line by line."""
+    base = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "pages").select("url", F.expr(_FOLDERS).alias("folder"))
+    for folder in (*files.CATEGORIES, "elsewhere"):
+        rows.filter(F.col("folder") == folder).select("url").coalesce(1).write.text(f"{base}/{folder}")
+    return base
+
+
+@query(f"SELECT folder AS category, CAST(1 AS BIGINT) AS files, CAST(sum(octet_length(encode(url)) + 1) AS BIGINT) AS bytes, folder IN ('pages', 'external', 'pdf-texts') AS loadable FROM (SELECT url, {_FOLDERS} AS folder FROM pages) WHERE folder <> 'elsewhere' GROUP BY folder")
+def listed_files(spark, sf_dir):
+    found = files.listing(spark, _page_files(spark, sf_dir))
+    return found.groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max(files.is_loadable(F.col("category"), F.col("name"))).alias("loadable"))
+
+
+@query(f"SELECT folder, CAST(count(*) + 1 AS INTEGER) AS words, CAST(sum(length(url) + 1) AS BIGINT) AS chars FROM (SELECT url, {_FOLDERS} AS folder FROM pages) GROUP BY folder")
+def whole_files(spark, sf_dir):
+    """A file ends with a line feed, after which the count of words sees an empty one."""
+    read = files.text_files(spark, _page_files(spark, sf_dir))
+    return read.select(F.regexp_extract("source_id", "/([^/]+)/[^/]+$", 1).alias("folder"), F.col("word_count").alias("words"), F.length("content").cast("long").alias("chars"))
+
+
+@query("SELECT unnest(['a.pdf', 'b.PDF', 'c.Pdf']) AS name")
+def pdf_listing(spark, sf_dir):
+    base = f"{shared_folder(spark)}/pdfs-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in ("a.pdf", "one/b.PDF", "one/two/c.Pdf", "one/d.txt", "two/e.pdf.bak"):
+        file = fs.create(path(f"{base}/{name}"))
+        file.writeBytes("x")
+        file.close()
+    return files.pdfs(spark, base).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'one two'), ('three', 'three'), ('b', '')) v(source_id, content)")
+def inline_texts(spark, sf_dir):
+    return files.inline(spark, [("a", "one two"), ("three", None), ("b", "")])
+
+
+@query("SELECT * FROM (VALUES ('documents', true, false, true), ('chunks', true, false, false), ('failed_classifications', true, false, false)) v(name, made, made_again, filled)")
+def store_bootstrap(spark, sf_dir):
+    """Tables made where they are missing, made once, and asked for rows after one was written to documents."""
+    database = f"corpusmill_{uuid.uuid4().hex}"
+    made, again = store.bootstrap(spark, database), store.bootstrap(spark, database)
+    documents(spark, sf_dir).limit(1).write.insertInto(f"{database}.documents")
+    filled = [n for n in store.SCHEMAS if store.has_rows(spark, f"{database}.{n}")]
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return spark.createDataFrame([(n, n in made, n in again, n in filled) for n in store.SCHEMAS], "name string, made boolean, made_again boolean, filled boolean")
+
+
+@query("SELECT item_id, text FROM benchmark")
+def second_store(spark, sf_dir):
+    return store.read_store(spark, "benchmark", sf_dir).select("item_id", "text")
+
+
+@query("SELECT doc_id AS id, coalesce(NULL, 'none') AS subject, source AS name FROM documents")
+def additive_evolution(spark, sf_dir):
+    """A column that is missing comes as null, one that is there stays."""
+    grown = store.evolved(store.evolved(documents(spark, sf_dir), "subject", "string"), "name", "string")
+    return grown.select("id", F.coalesce("subject", F.lit("none")).alias("subject"), "name")
+
+
+_PDF_NAME = "CASE page_id % 5 WHEN 0 THEN 'file' || page_id || '.pdf' WHEN 1 THEN '../x.pdf' WHEN 2 THEN 'a/b.pdf' WHEN 3 THEN 'x.txt' ELSE 'é 1.pdf' END"
+
+
+@query(f"SELECT page_id, n LIKE '%.pdf' AND NOT contains(n, '..') AND NOT contains(n, '/') AS servable FROM (SELECT page_id, {_PDF_NAME} AS n FROM pages)")
+def servable_pdfs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.servable_pdf(F.expr(_PDF_NAME)).alias("servable"))
+
+
+_FILE_NAME = f"coalesce(nullif(left(regexp_replace(regexp_replace({_PATH}, '^/', ''), '[^A-Za-z0-9_-]', '_', 'g'), 200), ''), 'index') || '_' || left(md5(url), 8)"
+
+
+@query(f"SELECT url, md5(html) AS content_hash, 'pages/' || {_FILE_NAME} || '.txt' AS file_path FROM pages")
+def crawl_index(spark, sf_dir):
+    return crawl.crawl_index(table(spark, sf_dir, "pages").select("url", F.col("html").alias("text")), F.lit("pages"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 2 = 0 AND page_id % 3 <> 1")
+def seen_pages(spark, sf_dir):
+    """Of pages, external pages and PDFs, every second one is stored; a PDF's file has an ending that the test leaves out."""
+    kind = F.expr("CASE page_id % 3 WHEN 0 THEN 'pages' WHEN 1 THEN 'pdfs' ELSE 'external' END")
+    urls = table(spark, sf_dir, "pages").select("page_id", "url", kind.alias("category"))
+    stored = urls.filter("page_id % 2 = 0").select("category", text.url_filename(F.col("url")).alias("name")).withColumn("name", F.when(F.col("category") == "pdfs", F.regexp_replace("name", "txt$", "pdf")).otherwise(F.col("name")))
+    return crawl.seen(urls, stored).select("page_id")
+
+
+_TRANSLATED = "CASE query_id % 3 WHEN 0 THEN query WHEN 1 THEN 'translated ' || query ELSE '' END"
+_TERMS = "CASE query_id % 2 WHEN 0 THEN '\"terms: one two\"' ELSE '' END"
+
+
+@query(f"WITH {Q}, x AS (SELECT query_id, query, {_TRANSLATED} AS translated FROM asked) SELECT query_id, query || CASE WHEN translated <> '' AND translated <> query THEN ' ' || translated ELSE '' END || CASE WHEN query_id % 2 = 0 THEN ' one two' ELSE '' END AS query FROM x")
+def expand_and_translate(spark, sf_dir):
+    return asked(spark, sf_dir).select("query_id", text.expanded_and_translated(F.col("query"), F.expr(_TRANSLATED), F.expr(_TERMS)).alias("query"))
+
+
+@query(f"WITH {Q} SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'calendar,general' WHEN 1 THEN 'recipes,general' ELSE 'general,other' END AS subjects FROM asked")
+def second_provider(spark, sf_dir):
+    """The first provider that replied counts; without any, keywords."""
+    first, second = F.expr("CASE WHEN query_id % 3 = 0 THEN 'calendar' END"), F.expr("CASE WHEN query_id % 3 < 2 THEN 'recipes' END")
+    return asked(spark, sf_dir).select("query_id", F.array_join(text.query_subjects(F.lit("x"), first, second), ",").alias("subjects"))
+
+
+@query("WITH RECURSIVE q(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT 3 * id + k, depth + 1 FROM q, (VALUES (1), (2), (3)) v(k) WHERE depth < 3) SELECT CAST(id AS VARCHAR) AS url, depth FROM q ORDER BY id LIMIT 20")
+def crawl_queue(spark, sf_dir):
+    """max_pages leaves the first of the queue: by the page that links, then by the place of the link."""
+    edges = spark.range(0, 40).select(F.col("id").cast("string").alias("src"), F.posexplode(F.array(*((3 * F.col("id") + k).cast("string") for k in (1, 2, 3)))).alias("pos", "dst"), F.lit(False).alias("external"))
+    return crawl.crawl(edges, "0", 3, 20)
+
+
 # --- matching ---
 
 
@@ -610,9 +758,9 @@ def nearest_words(spark, sf_dir):
     return matching.nearest_words(words, table(spark, sf_dir, "documents").select(F.col("source").alias("entry")).distinct())
 
 
-@query("SELECT item_id, 'Report_' || item_id || '_final_0af.txt' AS text_file, 'report ' || item_id || ' FINAL.pdf' AS pdf_file, 1 AS strategy FROM benchmark WHERE item_id >= 10 AND item_id < 40")
+@query("SELECT item_id, 'Report_' || item_id || '_final_0af.txt' AS text_file, 'report ' || item_id || ' FINAL.pdf' AS pdf_file, 1 AS strategy FROM benchmark")
 def fuzzy_pdf_match(spark, sf_dir):
-    ids = table(spark, sf_dir, "benchmark").filter("item_id >= 10 and item_id < 40").select("item_id")
+    ids = table(spark, sf_dir, "benchmark").select("item_id")
     n = F.col("item_id").cast("string")
     texts = ids.select("item_id", F.concat(F.lit("Report_"), n, F.lit("_final_0af.txt")).alias("text_file"))
     pdfs = ids.select(F.concat(F.lit("report "), n, F.lit(" FINAL.pdf")).alias("pdf_file"))
@@ -639,11 +787,11 @@ def classify_batch(spark, sf_dir):
     return enrich.applied(rows, failures(spark, sf_dir), results, now())[0].select("id", "subject")
 
 
-@query()
+@query(f"WITH {C}, h AS (SELECT id, {_HITS.replace('lower(query)', 'lower(left(text, 1000))')} AS hits FROM chunks) SELECT id, CASE WHEN len(hits) = 0 THEN 'general' ELSE hits[1] END AS subject FROM h")
 def classify_keywords(spark, sf_dir):
     return enrich.classified(chunks(spark, sf_dir).select("id", "text")).select("id", "subject")
 
 
-@query()
+@query(f"WITH {X}, {C}, page AS (SELECT chunk_id FROM failures f JOIN chunks c ON c.id = f.chunk_id ORDER BY f.retry_count, f.failed_at, f.chunk_id LIMIT 15) SELECT chunk_id, retry_count FROM failures WHERE chunk_id NOT IN (SELECT chunk_id FROM page)")
 def retry_pass(spark, sf_dir):
     return enrich.retried(chunks(spark, sf_dir), failures(spark, sf_dir), None, now())[1].select("chunk_id", "retry_count")

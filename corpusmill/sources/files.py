@@ -77,6 +77,20 @@ def settled(sources: DataFrame, content: Column, error: Column) -> tuple[DataFra
     return rows.filter(F.col("error").isNull() & (strip(F.coalesce("content", F.lit(""))) != "")), rows.filter("error is not null")
 
 
+#: Parts of errors that are no fault of a source.
+EXPECTED_ERRORS = ("Service account", "not configured", "ENOENT", "no such file or directory", "Error parsing PDF")
+
+
+def checked(usable: DataFrame, failed: DataFrame) -> DataFrame:
+    """usable, unless it is empty and an error stands among failed that was not to be expected: then that is raised."""
+    expected = F.lit(False)
+    for part in EXPECTED_ERRORS:
+        expected = expected | F.contains("error", F.lit(part))
+    if usable.isEmpty() and (first := failed.filter(~expected).agg(F.min("error")).first()[0]) is not None:
+        raise ValueError(f"no source could be processed: {first}")
+    return usable
+
+
 def flat_text(document: str) -> str:
     """Text of a nested document: runs of a paragraph joined, cells by bars, rows and blocks by line feeds."""
 

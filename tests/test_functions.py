@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chunking, scoring, text
 from corpusmill.operators import crawl, html, matching, retrieval
+from corpusmill.sources import files
 from corpusmill.sources.files import flat_text
 
 
@@ -107,3 +108,43 @@ def test_flat_documents():
     import json
 
     assert flat_text(json.dumps(doc)) == "a\nx | y"
+
+
+def test_size_labels(spark):
+    sizes = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1152, 1075, 1076, 1048575, 1048576, 1572864, 2**40)], "n long")
+    assert [r[0] for r in sizes.select(text.size_label(F.col("n"))).collect()] == ["0 B", "1023 B", "1.0 KB", "1.1 KB", "1.0 KB", "1.1 KB", "1024.0 KB", "1.00 MB", "1.50 MB", "1048576.00 MB"]
+    texts = spark.createDataFrame([("é",), ("x" * 1536,), ("é" * 700,), ("x" * 1048576,)], "t string")
+    assert [r[0] for r in texts.select(text.text_size_label(F.col("t"))).collect()] == ["2B / 1 chars", "2KB / 1,536 chars", "1KB / 700 chars", "1.00MB / 1,048,576 chars"]
+
+
+def test_project_patterns_are_those_written_out():
+    hit = lambda t: bool(scoring._PROJECT.search(t))
+    assert all(map(hit, ("projet personnel", "projets  personnels", "project personnel", "projects personnels", "projet personnels")))
+    assert not any(map(hit, ("projets personnel", "projects personnel", "projett personnel", "projet personel")))
+
+
+def test_errors_that_left_nothing_are_raised(spark):
+    usable = spark.createDataFrame([("a", "x")], "id string, content string")
+    failed = lambda e: spark.createDataFrame([("b", e)], "id string, error string")
+    assert files.checked(usable, failed("disk on fire")).count() == 1
+    assert files.checked(usable.limit(0), failed("ENOENT: no such file or directory")).count() == 0
+    with pytest.raises(ValueError, match="disk on fire"):
+        files.checked(usable.limit(0), failed("disk on fire"))
+
+
+def test_queue_order_under_a_limit(spark):
+    edges = spark.createDataFrame([("s", "z", 0), ("s", "a", 1), ("s", "m", 2), ("a", "b", 0), ("z", "y", 0), ("z", "c", 1)], "src string, dst string, pos int").withColumn("external", F.lit(False))
+    got = lambda n, e: {r.url for r in crawl.crawl(e, "s", 4, n).collect()}
+    assert got(3, edges) == {"s", "z", "a"} and got(5, edges) == {"s", "z", "a", "m", "y"}
+    assert got(3, edges.drop("pos")) == {"s", "a", "m"}
+
+
+def test_contains_join(spark):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    names = ["".join(r.choice("ab1") for _ in range(r.randint(0, 30))) for _ in range(60)] + ["", "a" * 40, "aaa"]
+    df = lambda col: spark.createDataFrame([(k, n) for k, n in enumerate(names)], f"{col} int, part string")
+    got = {(x.i, x.j) for x in matching.contains(df("i"), df("j")).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in itertools.product(enumerate(names), repeat=2) if b in a}
