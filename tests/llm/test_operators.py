@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import audio_columns, components, decontaminate, jaccard_join, language_id, pii, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, weak_quality
+from corpusmill.llm import audio_columns, components, decontaminate, jaccard_join, language_id, pii, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, weak_quality, windows
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, cls string, spans string"
@@ -214,7 +214,9 @@ def removed(docs, width=50):
     return out
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("spans", "depths"), [(64, (24, 50)), (1, (16, 20, 50)), (2, (50,))])
+def test_repeats_equal_brute_force(spark, monkeypatch, spans, depths):
+    monkeypatch.setattr(suffix_dedup, "SPANS", spans)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
     monkeypatch.setattr(suffix_dedup, "GROWTH", 1)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
@@ -222,11 +224,31 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     passage, base = prose(50, 30), prose(51, 120)
     texts = [prose(k, r.randint(1, 120)) for k in range(25)] + [f"{prose(60 + k, 20)} {passage[k:]} {prose(90 + k, 9)}" for k in range(8)] + [base, base, base.replace("river", "rivers"), "a" * 300, "a" * 200 + "b", "é" * 60, "xé" * 60, "é" * 59]
     docs = list(enumerate(texts))
-    out = suffix_dedup.dedup(frame(spark, [(k, t, "en") for k, t in docs]))
+    out = suffix_dedup.dedup(frame(spark, [(k, t, "en") for k, t in docs]), depths=depths)
     want = removed(docs)
     assert {r.doc_id: bytes(r.kept) for r in out.collect()} == want
 
 
+def test_repeats_in_long_texts_and_runs(spark):
+    """Texts beyond a piece, long runs of one character, and strings whose polynomial hashes modulo 2**64 are equal."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    docs = [(1, "x" * 700_000 + "y"), (2, "z" + "x" * 700_001), (3, prose(5, 60_000)), (4, "q" * 60 + prose(5, 60_000)[1000:-1000] + "r" * 60), (5, one), (6, two), (7, "q" * 49), (8, "q" * 50)]
+    out = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(frame(spark, [(k, t, "en") for k, t in docs])).collect()}
+    assert out == removed(docs)
+
+
+def test_leading_digits_tell_windows_apart():
+    rng = np.random.default_rng(8)
+    text = rng.choice(np.frombuffer(b"ab", np.uint8), 4000).tobytes()
+    w = windows.Windows([text], 50, runs=False)
+    for depth in (16, 17, 24, 32, 33, 49, 50):
+        by = {}
+        for a, h in zip(w.starts.tolist(), w.leading(depth).tolist(), strict=True):
+            by.setdefault(text[a : a + depth], set()).add(h)
+        assert all(len(x) == 1 for x in by.values()) and len({h for x in by.values() for h in x}) == len(by)
+
+
 def test_repeats_edges(spark, odd):
     out = {str(r.doc_id): r for r in suffix_dedup.dedup(odd).collect()}
     assert bytes(out["5"].kept) == prose(3, 80).encode() and bytes(out["1"].kept) == b"" and out["None"].spans == []
