@@ -519,7 +519,10 @@ def page_text(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "text")
 
 
-@query()
+_SITES = "l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
+
+
+@query(f"WITH {_SITES} SELECT DISTINCT page_id, site || regexp_replace(href, '#.*$', '') AS link FROM l")
 def page_links(spark, sf_dir):
     return _extracted(spark, sf_dir, strip_chrome=False).select("page_id", F.explode("links").alias("link"))
 
@@ -530,7 +533,7 @@ def page_files(spark, sf_dir):
     return pages.select("page_id", F.size("images").alias("n_images"), F.size(F.filter("files", lambda u: text.file_type(u).isNotNull())).alias("n_files"))
 
 
-@query()
+@query(f"WITH {_SITES}, f AS (SELECT DISTINCT page_id, site || href AS u FROM l) SELECT (SELECT count(*) FROM pages) AS pages, CAST((SELECT count(*) FROM (SELECT DISTINCT page_id, regexp_replace(u, '#.*$', '') FROM f)) AS BIGINT) AS links, CAST((SELECT count(*) FROM f) AS BIGINT) AS files, CAST(0 AS BIGINT) AS errors")
 def crawl_totals(spark, sf_dir):
     return crawl.crawl_totals(_extracted(spark, sf_dir, strip_chrome=False).withColumn("error", F.lit(None).cast("string")))
 
@@ -658,6 +661,15 @@ def pdf_listing(spark, sf_dir):
     return files.pdfs(spark, base).select(F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
+@query("SELECT url AS path, CASE page_id % 3 WHEN 0 THEN 'cached ' || page_id WHEN 1 THEN '[Page 1]' || chr(10) || 'one' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '[Page 2]' || chr(10) || page_id ELSE '' END AS content, page_id % 3 = 0 AS cached FROM pages")
+def pdf_text_cache(spark, sf_dir):
+    """A third of the files as cached, a third that changed since and are extracted again, a third without text."""
+    i = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), text.cache_key(F.col("url"), i, F.length("html")).alias("cache_key"))
+    cache = rows.select(F.when(i % 3 == 0, F.col("cache_key")).otherwise(F.md5("cache_key")).alias("cache_key"), F.concat(F.lit("cached "), i.cast("string")).alias("content"))
+    return files.pdf_texts(rows, cache, rows.filter(i % 3 == 1).select("path", F.array(F.lit("one"), i.cast("string")).alias("pages")))
+
+
 @query("SELECT * FROM (VALUES ('a', 'one two'), ('three', 'three'), ('b', '')) v(source_id, content)")
 def inline_texts(spark, sf_dir):
     return files.inline(spark, [("a", "one two"), ("three", None), ("b", "")])

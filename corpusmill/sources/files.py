@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import cache_key, strip
+from ..functions.text import cache_key, joined_pages, strip
 
 CATEGORIES = ("pages", "pdfs", "pdf-texts", "excel", "images", "other", "external")
 
@@ -43,6 +43,13 @@ def word_count(c: Column) -> Column:
     return F.size(F.split(c, r"\s+"))
 
 
+def pdf_texts(found: DataFrame, cache: DataFrame, extracted: DataFrame) -> DataFrame:
+    """path, content, cached of found files (path, cache_key): the text that cache (cache_key, content) has under the key, else
+    the extracted pages (path, pages) as one text. A file without either has the empty text."""
+    both = found.select("path", "cache_key").join(cache.select("cache_key", F.col("content").alias("known")), "cache_key", "left").join(extracted.select("path", "pages"), "path", "left")
+    return both.select("path", F.coalesce("known", joined_pages(F.col("pages")), F.lit("")).alias("content"), F.col("known").isNotNull().alias("cached"))
+
+
 def inline(spark: SparkSession, texts: list[tuple[str, str | None]]) -> DataFrame:
     """source_id, content: texts given by the caller; without content the id is the text."""
     return spark.createDataFrame(texts, "source_id string, content string").withColumn("content", F.coalesce("content", "source_id"))
