@@ -11,7 +11,8 @@ bytes shows the smallest document of every window at once. Only runs that differ
 
 Documents stay in blocks. A block sends a digit, or a run, once, however often it has it, and the bucket of a digit
 sorts what blocks send as arrays and answers for each: so a window that a third of all documents hold costs a bucket
-one record a block. Digits are 64-bit hashes of the bytes that they stand for.
+one record a block. Digits are hashes of the bytes that they stand for: at full depth of 64 bits; a run is known by 48
+bits of its anchor and 40 of its bytes.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from .common import id_text, packed, unpacked
 from .windows import GRAM, PIECE, Windows
 
 WIDTH = 50
-DEPTHS = (24, 50)  #: bytes through which each pass orders; the last is WIDTH
+DEPTHS = (32, 50)  #: bytes through which each pass orders; the last is WIDTH
 BLOCK, MOST = 2 << 20, 256 << 20  #: bytes of a block: it grows with the root of the input, so that what a block sends to a bucket stays a fair piece
 GROWTH = 20_000
+SHORT = np.uint64(2**64 - 2**16)  #: anchors and digits short of full depth have 48 bits, since only what follows them decides
 SPANS = 64  #: different runs of one anchor that a block sends; it orders the others without asking
 
 REQUEST = "bucket long, block long, level int, digits binary, spans binary, holders binary"
@@ -51,27 +53,27 @@ def from_five(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def sent(block: int, level: int, buckets: int, digits: np.ndarray, spans: np.ndarray | None, holders: np.ndarray) -> Iterator[tuple]:
+def sent(block: int, level: int, buckets: int, digits: np.ndarray, spans: np.ndarray | None, holders: np.ndarray | None) -> Iterator[tuple]:
     """Records, sorted by digit, as a request to each bucket."""
     to = ((digits >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edge = np.flatnonzero(np.diff(np.r_[-1, to, -1]))
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield int(to[a]), block, level, packed(np.diff(digits[a:b], prepend=np.uint64(0))), b"" if spans is None else five(spans[a:b]), packed(holders[a:b])
+        yield int(to[a]), block, level, packed(np.diff(digits[a:b], prepend=np.uint64(0))), b"" if spans is None else five(spans[a:b]), b"" if holders is None else packed(holders[a:b])
 
 
 def received(replies: list[dict], level: int) -> tuple[np.ndarray, np.ndarray]:
     """Kinds of the records that were sent, in their order, and the smallest holder of those that are not alone."""
     own = sorted((r for r in replies if r["level"] == level), key=lambda r: r["bucket"])
-    return np.concatenate([np.zeros(0, np.uint8), *(unpacked(r["kinds"], np.uint8) for r in own)]), np.concatenate([np.zeros(0, np.int64), *(unpacked(r["holders"], np.int64) for r in own)])
+    return np.concatenate([np.zeros(0, np.uint8), *(unpacked(r["kinds"], np.uint8) for r in own)]), np.concatenate([np.zeros(0, np.int64), *(unpacked(r["holders"], np.int64) for r in own if r["holders"])])
 
 
 class Sieve:
     """Texts of a block (UTF-8) by document: their runs, and the distinct (anchor, run) with the smallest holder of each."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str | None], width: int):
+    def __init__(self, ids: np.ndarray, texts: list[bytes], width: int):
         order = np.argsort(ids, kind="stable")
         self.ids, self.width = ids[order].astype(np.int64), width
-        texts = [(texts[k] or "").encode() for k in order]
+        texts = [texts[k] for k in order]
         self.data = b"".join(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.first = np.cumsum(sizes) - sizes
@@ -80,7 +82,7 @@ class Sieve:
             w = Windows(parts, width)
             at.append(w.starts + base)
             ends.append(w.ends + base)
-            digits.append(w.anchor)
+            digits.append(w.anchor & SHORT)
             spans.append(w.spans() & np.uint64(2**40 - 1))
         self.at, self.ends = joined(at, np.int64), joined(ends, np.int64)
         digits, spans = joined(digits, np.uint64), joined(spans, np.uint64)
@@ -137,7 +139,7 @@ class Suffixes:
         for _, parts in pieces(runs, first, width):
             w = Windows(parts, width, runs=False)
             for held, depth in zip(by_depth, depths, strict=True):
-                held.append(w.leading(depth))
+                held.append(w.leading(depth) if depth == width else w.leading(depth) & SHORT)
         self.digits = [joined(d, np.uint64) for d in by_depth]
         self.owner = np.repeat(holders, np.maximum(sizes - width + 1, 0))
         self.lowest = self.owner.copy()
@@ -198,7 +200,8 @@ def answers(bucket: int, requests: pa.Table) -> Iterator[tuple]:
     rows = requests.to_pylist()
     digits = [np.cumsum(unpacked(r["digits"], np.uint64)) for r in rows]
     sizes = [len(d) for d in digits]
-    digit, holder = np.concatenate(digits), np.concatenate([unpacked(r["holders"], np.int64) for r in rows])
+    digit = np.concatenate(digits)
+    holder = np.concatenate([unpacked(r["holders"], np.int64) for r in rows]) if rows[0]["holders"] else np.zeros(len(digit), np.int64)
     span = np.concatenate([from_five(r["spans"]) for r in rows]) if rows[0]["spans"] else np.zeros(len(digit), np.uint64)
     order = np.lexsort((holder, span, digit))
     d, s = digit[order], span[order]
@@ -213,7 +216,15 @@ def answers(bucket: int, requests: pa.Table) -> Iterator[tuple]:
     for r, size in zip(rows, sizes, strict=True):
         own = slice(end, end + size)
         end += size
-        yield r["block"], r["level"], bucket, packed(kinds[own]), packed(lowest[own][kinds[own] != ALONE])
+        yield r["block"], r["level"], bucket, packed(kinds[own]), packed(lowest[own][kinds[own] != ALONE]) if r["holders"] else b""
+
+
+def compressed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed UTF-8, null as empty: they are dealt out once and read three times."""
+    zip_ = zstandard.ZstdCompressor(level=1).compress
+    for batch in it:
+        data = pa.array([zip_((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], names=["block", "doc_id", "data"])
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -232,11 +243,13 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / min(MOST, max(BLOCK, math.isqrt(total * GROWTH)))))
     tasks = max(blocks, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # with fewer, Spark would deal the texts out once more
-    held = docs.filter("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition(tasks, "block")
+    dealt = docs.filter("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text")
+    held = dealt.mapInArrow(compressed, "block long, doc_id long, data binary").repartition(tasks, "block")
     block_of = lambda t: t.column("block")[0].as_py()
 
     def sieve(docs: pa.Table) -> Sieve:
-        return Sieve(docs.column("doc_id").to_numpy(), docs.column("text").to_pylist(), width)
+        unzip = zstandard.ZstdDecompressor().decompress
+        return Sieve(docs.column("doc_id").to_numpy(), [unzip(x.as_py()) for x in docs.column("data")], width)
 
     def first_asked(docs: pa.Table) -> pa.Table:
         return table_of(list(sieve(docs).requests(block_of(docs), blocks)), _REQUEST)
@@ -269,7 +282,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if (own := suffixes(rows.to_pylist(), level)) is None:
                 return _REQUEST.empty_table()
             digits, holders = own[1].records(level)
-            return table_of(list(sent(own[0], level + 1, blocks, digits, None, holders)), _REQUEST)
+            return table_of(list(sent(own[0], level + 1, blocks, digits, None, holders if level + 1 == len(depths) else None)), _REQUEST)
 
         return run
 
