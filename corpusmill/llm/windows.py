@@ -58,7 +58,7 @@ class Windows:
         ends = np.r_[starts[1:], n]
         kept = valid[starts]
         self.starts, self.ends = starts[kept], ends[kept]  #: runs of windows with one anchor
-        self.anchor = h[self.starts]
+        self.anchor = mixed(h[self.starts])  # least hashes crowd near 0; mixed again, they spread evenly over buckets
 
     def chained(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Hashes of the byte strings of at least GRAM bytes at starts: their grams side by side, the last one at the end."""
