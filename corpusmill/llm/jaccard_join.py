@@ -3,8 +3,9 @@
 Equal sets are one class. Tokens are ordered by how many sets hold them, rarest first, as counted over all documents
 in a table of COUNTERS; the order only affects speed. In it, two sets that link share at least two tokens among their
 first |x| - ceil(t |x|) + 2, t the least similarity of a link: the extended prefix. A prefix token that one class alone
-has goes at once. Rare tokens are indexed alone. A frequent token, one whose list is long and still open, is indexed
-in combination with another frequent one and a class of sizes: a pair that shares no rare token shares two frequent ones.
+has goes at once. Rare tokens are indexed alone, those with long lists by classes of sizes, and frequent ones, whose lists
+are long and open within a class of sizes, in combination with another frequent one: a pair that shares no token with a
+shorter list shares two frequent ones.
 
 A list does not give all its pairs. First each class meets the hubs that most of its lists name: the classes whose
 prefixes are commonest (edited copies surround them) and the smallest. Verified links form components; then the class
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,10 +32,11 @@ from .components import components
 from .shingles import names_of, shingle_sets
 
 LEAST, DENOMINATOR = 90, 100  #: similarity from which on two sets link, unless given
-COUNTERS = 1 << 24  #: of the order of tokens; a token's counter is an upper bound of its count
+COUNTERS = 1 << 22  #: of the order of tokens; a token's counter is an upper bound of its count
 PARTS = 1024  #: pieces in which the counters travel
 HOT = 4096  #: sets, or four times the mean counter if that is more, from which on a token's list is never gathered in one place
-LONG = 64  #: members from which on an open list is combined with another
+LONG = 64  #: classes beyond which a token's list is split by sizes
+SPLIT = 256  #: members beyond which a part of a split list is combined with another
 PARITY = 8  #: words of 64 bits of a parity signature
 FINE, FINE_FROM = 64, 1000  #: words of the finer signature, and the set size from which on it is kept
 BROADCAST = 1_000_000  #: rows of two ids up to which a side is broadcast; beyond, a shuffle join
@@ -110,12 +113,11 @@ BITS = [f"p{i}" for i in range(PARITY)]
 MADE = f"doc_id long, cls long, other long, n int, cold int, weight float, keys array<long>, {', '.join(f'{p} long' for p in BITS)}, fine array<long>"
 
 
-def prefixes(docs: DataFrame, k: int, levels: np.ndarray, hot: int, least: int) -> DataFrame:
+def prefixes(docs: DataFrame, k: int, shared: Broadcast, hot: int, least: int) -> DataFrame:
     """One row a document: its class with a second name, and, once a task, the class's prefix tokens in order (the first
     cold of them are not hot), how common they are, and signatures."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("cold", pa.int32()), ("weight", pa.float32()), ("keys", longs), *((p, pa.int64()) for p in BITS), ("fine", longs)])
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
     shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,32 +193,37 @@ def open_lists(listed: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, more: Column, least: int) -> DataFrame:
-    """(a, b) of members (key, cls, n, label, place, signature) of one list in different components that the bounds let link."""
-    kept = lambda x: ["key", F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "place", "size", "own", *BITS))]
+    """(a, b) of members (key, cls, n, label, place, own, signature) of one list in different components that the bounds let link."""
+    kept = lambda x: ["key", F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "place", *BITS))]
     one, two = members.filter("own").select(*kept("a")), members.select(*kept("b")).withColumnRenamed("key", "key_b")
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     return one.join(two, (F.col("key") == F.col("key_b")) & ordered & (F.col("label_a") != F.col("label_b")) & may_link("n_a", "n_b", least) & more & difference_allows(bits_differ(), least)).select("a", "b")
 
 
 def rest(opened: DataFrame, classes: DataFrame, least: int, keep: Scratch) -> DataFrame:
-    """(a, b): pairs from open lists, by rare tokens alone and by combinations of two frequent ones with a class of sizes."""
+    """(a, b): pairs from open lists, by rare tokens alone, by others in a class of sizes, and by combinations of two
+    where the class is still long."""
     before = Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keep.written(opened.withColumn("frequent", F.col("m") > LONG).withColumn("place", F.col("pos") - F.coalesce(F.sum(F.col("frequent").cast("int")).over(before), F.lit(0))))
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / least)) + 1e-9).cast("int")
     signatures = classes.select("cls", *BITS)
-    alone = ranked.filter("not frequent").select("key", "cls", "n", "label", "place", F.lit(0).alias("size"), F.lit(True).alias("own")).join(signatures, "cls")
+    alone = ranked.filter("not frequent").select("key", "cls", "n", "label", "place").join(signatures, "cls").withColumn("own", F.lit(True))
     first_shared = difference_allows(F.col("place_a") + F.col("place_b"), least)  # tokens before the first shared rare one are in one set only
-    singles = apart(alone, first_shared, least)
+    pairs = apart(alone, first_shared, least)
+
+    # a pair meets in the class of the smaller one's size: the larger one goes to its own class and to the next lower
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / least)) + 1e-9).cast("int")
+    both = F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size - 1).alias("size"), F.lit(False).alias("own")))).alias("c")
+    by_size = ranked.filter("frequent").select(F.col("key").alias("token"), "cls", "n", "label", "pos", "place", both).select("*", "c.*").drop("c").withColumn("key", F.xxhash64("token", "size"))
+    lists = by_size.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key", "m")
+    by_size = keep.written(by_size.join(lists, "key"), "by-size")
+    pairs = pairs.union(apart(by_size.filter(F.col("m") <= SPLIT).join(signatures, "cls"), first_shared, least))
 
-    tokens = ranked.filter("frequent").groupBy("cls", "n", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most a prefix
-    pairs = tokens.select("cls", "n", "label", "keys", F.posexplode("keys").alias("i", "one")).select("cls", "n", "label", "one", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("two"))
-    combined = pairs.select(F.xxhash64("one", "two", size).alias("key"), "cls", "n", "label", "one", "two", size.alias("size"))
-    lower = combined.withColumn("size", F.col("size") - 1).withColumn("key", F.xxhash64("one", "two", "size"))
-    both = combined.withColumn("own", F.lit(True)).unionByName(lower.withColumn("own", F.lit(False))).select("key", "cls", "n", "label", F.lit(0).alias("place"), "size", "own")
-    both = keep.written(both)
-    differ = both.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key")
-    combinations = apart(both.join(differ, "key").join(signatures, "cls"), F.lit(True), least)
-    return singles.union(combinations).distinct()
+    # without a token of the other kinds in common, all tokens before the second shared one, but the first, are in one set only
+    tokens = by_size.filter(F.col("m") > SPLIT).groupBy("cls", "n", "label", "size", "own").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("tokens"))  # at most a prefix
+    two = tokens.select("*", F.posexplode("tokens").alias("i", "one")).select("cls", "n", "label", "size", "own", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("two"))
+    combined = keep.written(two.select(F.xxhash64("one.token", "two.token", "size").alias("key"), "cls", "n", "label", (F.col("two.pos") - 1).alias("place"), "own"), "combined")
+    differ = combined.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key")
+    return pairs.union(apart(combined.join(differ, "key").join(signatures, "cls"), first_shared, least)).distinct()
 
 
 def finer(pairs: DataFrame, classes: DataFrame, fines: DataFrame, least: int) -> DataFrame:
@@ -284,7 +291,10 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     known = docs.filter("doc_id is not null")
     keep = Scratch(documents.sparkSession)
     levels, hot = token_levels(known, k)
-    made = keep.written(prefixes(known, k, levels, hot, least), "made")
+    shared = documents.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
+    made = keep.written(prefixes(known, k, shared, hot, least), "made")
+    shared.destroy()
+    del levels
     nodes = made.select("doc_id", "cls", "n")
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
     same = F.when(F.min("other") == F.max("other"), F.min("doc_id")).otherwise(F.raise_error(F.lit("two sets have one name")))
