@@ -129,6 +129,18 @@ def forest_sql(findings: DataFrame, x: str, trees: int = TREES, depth: int = DEP
     return f"({' + '.join(node(t._call_java('rootNode')) for t in model.trees)}) / {trees}.0D"
 
 
+_MADE: dict[tuple, str] = {}  #: the forest of the made findings, once an application: rule and seed are fixed, and training it costs the driver memory
+
+
+def forest_of(spark: SparkSession, findings_labelled: DataFrame | None) -> str:
+    if findings_labelled is not None:
+        return forest_sql(findings_labelled, "x")
+    key = (spark.sparkContext.applicationId, TREES, DEPTH, SEED)
+    if key not in _MADE:
+        _MADE[key] = forest_sql(labelled(spark), "x")
+    return _MADE[key]
+
+
 def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -168,7 +180,7 @@ def scan(documents: DataFrame, findings_labelled: DataFrame | None = None, id_co
     candidates. A null path counts as empty, and so does one without its column. Null ids and repeated rows stay, and a
     candidate that stands there twice is two. At one place the first kind of the pattern counts. Narrow: no shuffle.
     """
-    forest = forest_sql(findings_labelled if findings_labelled is not None else labelled(documents.sparkSession), "x")
+    forest = forest_of(documents.sparkSession, findings_labelled)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path_of(documents, path_col).alias("path"))
     some = docs.filter(F.col("text").rlike(PATTERN))
     found = some.select("doc_id", F.explode(F.expr(findings("text", "path", forest))["found"]).alias("f"))
@@ -182,7 +194,7 @@ def redact(documents: DataFrame, findings_labelled: DataFrame | None = None, tex
     inside another word stay.
     Null and empty texts stay as they are, ids are not looked at, repeated rows change alike. Columns may have any names.
     """
-    forest = forest_sql(findings_labelled if findings_labelled is not None else labelled(documents.sparkSession), "x")
+    forest = forest_of(documents.sparkSession, findings_labelled)
     columns = documents.columns
     inner = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), path_of(documents, path_col).alias("path"))
     secrets = f"array_distinct(transform(filter(f.found, y -> y.score >= {THRESHOLD}D), y -> y.candidate))"
