@@ -422,9 +422,9 @@ def test_words_without_a_shared_shingle_do_not_meet(spark):
 
 def test_one_of_each_with_clashing_names(spark):
     docs = frame(spark, [(1, "a b c d", "en"), (2, "a b c d", "en"), (3, None, "en"), (None, "a b c d", "en")])
-    for name in ("_dropped", "dropped", "dropped_", "cls", "key", "label"):
-        left = jaccard_join.one_of_each(docs.withColumn(name, F.lit(1)))
-        assert sorted(str(x.doc_id) for x in left.collect()) == ["1", "3", "None"]
+    docs = docs.withColumns({name: F.lit(1) for name in ("_dropped", "dropped", "dropped_", "n_chars_", "cls_", "key", "label", "component_id")})
+    left = jaccard_join.one_of_each(docs)
+    assert sorted(str(x.doc_id) for x in left.collect()) == ["1", "3", "None"] and left.columns == docs.columns
 
 
 def test_join_edges(odd):
