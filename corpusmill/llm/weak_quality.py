@@ -224,27 +224,10 @@ class Model:
     scorer: Scorer
 
 
-def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Accuracies from the votes on all documents; the scorer from at most train_rows of them: those with the smallest
-    hashes of their ids, one row an id (of rows that share it, the one with the least votes and features).
-
-    Null and empty texts vote as the empty text: nothing. Rows with a null id vote, but train no scorer.
-    """
-    docs = id_text(documents, id_col, text_col)
-    k = len(LABELLERS)
-    schema = pa.schema([("pattern", pa.string()), ("n", pa.int64())])
-
-    def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        for batch in it:
-            for _, text in rows(batch):
-                key = "".join(map(str, votes_of(measured((text or "").encode())[0])))
-                seen[key] = seen.get(key, 0) + 1
-        yield from batches(sorted(seen.items()), schema)
-
-    counted = docs.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # patterns, of which texts show few: at most 3 ** labellers
-    accuracies = estimated(np.array([[int(c) for c in r.pattern] for r in counted]).reshape(-1, k), np.array([r.n for r in counted], float))
-
+def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
+    """doc_id, votes, x of at most train_rows rows of docs (doc_id, text), whatever their order: the ids of the smallest
+    hashes, ties to the smaller id, and of the rows that share one the row with the least votes and features. Ids that
+    are null give none."""
     picked = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     schema_x = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("x", pa.binary())])
 
@@ -257,42 +240,15 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         yield from batches(out(), schema_x)
 
-    measured_rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text").mapInArrow(measure, "doc_id long, votes string, x binary")
-    sample = measured_rows.groupBy("doc_id").agg(F.min(F.struct("votes", "x")).alias("r")).orderBy("doc_id").select("r.*").collect()  # train_rows at most
-    if not sample:
-        return Model(accuracies, Scorer(np.zeros(BUCKETS, np.float32), 0.0, np.ones(BUCKETS, np.float32)))
-    y = accuracies.posterior(np.array([[int(c) for c in r.votes] for r in sample]).reshape(-1, k)).astype(np.float32)
-    return Model(accuracies, fitted(np.frombuffer(b"".join(bytes(r.x) for r in sample), np.float16).reshape(len(sample), BUCKETS).astype(np.float32), y))
-
-
-def score(self, features: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + (features * self.scale) @ self.weights, -30, 30))))
-
-
-def fitted(x: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.5, ridge: float = 1e-3) -> Scorer:
-    """Logistic regression on soft labels by accelerated gradient steps; columns are scaled to unit size."""
-    scale = (1 / np.maximum(np.sqrt((x**2).mean(0)), 1e-3)).astype(np.float32)
-    x = x * scale / np.float32(np.sqrt(x.shape[1]) / 8)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    v, vb = w.copy(), 0.0
-    balance = np.where(y > 0.5, 0.5 / max((y > 0.5).mean(), 0.02), 0.5 / max((y <= 0.5).mean(), 0.02)).astype(np.float32)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        e = (p - y) * balance
-        v = 0.9 * v - rate * (x.T @ e / np.float32(len(y)) + np.float32(ridge) * w)
-        vb = 0.9 * vb - rate * float(e.mean())
-        w, b = w + v, b + vb
-    return Scorer(w / np.float32(np.sqrt(x.shape[1]) / 8), b, scale)
-
-
-@dataclass
-class Model:
-    accuracies: Accuracies
-    scorer: Scorer
+    measured_rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text").mapInArrow(measure, "doc_id long, votes string, x binary")  # train_rows ids
+    return measured_rows.groupBy("doc_id").agg(F.min(F.struct("votes", "x")).alias("r")).select("doc_id", "r.*")
 
 
 def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Accuracies from the votes on all documents; the scorer from at most train_rows of them (smallest hashes of their ids)."""
+    """Accuracies from the votes on all documents; the scorer from at most train_rows of them, see training_rows().
+
+    Null and empty texts vote as the empty text: nothing. Rows with a null id vote, but train no scorer.
+    """
     docs = id_text(documents, id_col, text_col)
     k = len(LABELLERS)
     schema = pa.schema([("pattern", pa.string()), ("n", pa.int64())])
@@ -301,26 +257,14 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seen: dict[str, int] = {}
         for batch in it:
             for _, text in rows(batch):
-                key = "".join(map(str, measures((text or "").encode())[0]))
+                key = "".join(map(str, votes_of(measured((text or "").encode())[0])))
                 seen[key] = seen.get(key, 0) + 1
         yield from batches(sorted(seen.items()), schema)
 
-    counted = docs.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** labellers patterns
+    counted = docs.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # patterns, of which texts show few: at most 3 ** labellers
     accuracies = estimated(np.array([[int(c) for c in r.pattern] for r in counted]).reshape(-1, k), np.array([r.n for r in counted], float))
 
-    picked = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    schema_x = pa.schema([("votes", pa.string()), ("x", pa.binary())])
-
-    def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            for batch in it:
-                for _, text in rows(batch):
-                    votes, x = measures((text or "").encode())
-                    yield "".join(map(str, votes)), x.astype(np.float16).tobytes()
-
-        yield from batches(out(), schema_x)
-
-    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text").mapInArrow(measure, "votes string, x binary").collect()[: 2 * train_rows]  # ids of at most train_rows rows are broadcast
+    sample = training_rows(docs, train_rows).orderBy("doc_id").collect()  # train_rows at most
     if not sample:
         return Model(accuracies, Scorer(np.zeros(BUCKETS, np.float32), 0.0, np.ones(BUCKETS, np.float32)))
     y = accuracies.posterior(np.array([[int(c) for c in r.votes] for r in sample]).reshape(-1, k)).astype(np.float32)

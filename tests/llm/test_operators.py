@@ -297,6 +297,28 @@ def test_quality_of_repeated_ids_trains_on_one_row_each(spark):
     assert np.allclose(a.weights, b.weights)
 
 
+def test_training_rows_are_those_of_the_docstring(spark):
+    """One row an id, though an id repeats 2,000 times; the ids of the least hashes, and of an id the least votes and features."""
+    df = frame(spark, [(7, prose(k % 9, 30), "en") for k in range(2000)] + [(k, prose(k, 30 + k), "en") for k in range(20)] + [(None, prose(3, 30), "en"), (30, None, "en")]).select("doc_id", "text")
+    got = {r.doc_id: (r.votes, bytes(r.x)) for r in weak_quality.training_rows(df, 6).collect()}
+    ids = [r.doc_id for r in df.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").collect()][:6]
+    own = {}
+    for doc, text in df.collect():
+        votes, x = weak_quality.measures((text or "").encode())
+        own.setdefault(doc, []).append(("".join(map(str, votes)), x.astype(np.float16).tobytes()))
+    assert got == {k: min(own[k]) for k in ids} and weak_quality.training_rows(df, 30).count() == 21
+
+
+def test_no_module_defines_a_name_twice():
+    import ast
+    import collections
+    import pathlib
+
+    for path in (pathlib.Path(__file__).parents[2] / "corpusmill").rglob("*.py"):
+        names = collections.Counter(x.name for x in ast.parse(path.read_text()).body if isinstance(x, (ast.FunctionDef, ast.ClassDef)))
+        assert not [n for n, times in names.items() if times > 1], path
+
+
 def test_quality_edges(odd):
     model = weak_quality.learn(odd)
     same_rows(weak_quality.score(odd, model), odd)
