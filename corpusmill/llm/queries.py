@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_columns, decontaminate, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity, weak_quality
+from . import audio_columns, decontaminate, fill_in_middle, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity, weak_quality
 from .common import crc_mod, table
 from .sentencepiece_codec import encode
 
@@ -20,6 +20,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def with_sql(sql: str) -> Callable[[Callable], Callable]:
+    """A query with the DuckDB SQL that gives the same rows."""
+
+    def keep(f: Callable) -> Callable:
+        ORACLE_SQL[f.__name__] = sql
+        return query(f)
+
+    return keep
+
+
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -90,3 +100,22 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = weak_quality.score(documents, weak_quality.learn(documents))
     return scored.select("doc_id", "score", "posterior", (F.col("score") >= 0.5).alias("keep"), F.size("votes").alias("n_votes"))
+
+
+_DRAWS = ", ".join(f"('0x' || substr(sha256('7:' || doc_id), {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+
+
+@with_sql(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_DRAWS} FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS units FROM d),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM u),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM f""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
