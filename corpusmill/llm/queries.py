@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_columns, decontaminate, fill_in_middle, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity, weak_quality
+from . import audio_columns, decontaminate, fill_in_middle, importance, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity, weak_quality
 from .common import crc_mod, table
 from .sentencepiece_codec import encode
 
@@ -119,3 +119,29 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
         digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
     )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_UTF8 = "flatten(list_transform(string_split(gram, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] WHEN ord(c) < 2048 THEN [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] WHEN ord(c) < 65536 THEN [224 | (ord(c) >> 12), 128 | ((ord(c) >> 6) & 63), 128 | (ord(c) & 63)] ELSE [240 | (ord(c) >> 18), 128 | ((ord(c) >> 12) & 63), 128 | ((ord(c) >> 6) & 63), 128 | (ord(c) & 63)] END))"
+#: crc32 bit by bit: each byte enters at the first of eight steps
+_BUCKET = f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform({_UTF8}, lambda b: [b::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295) % 10000"
+
+
+@with_sql(f"""WITH texts AS (SELECT 's' AS side, doc_id, {_WORDS} AS ws FROM documents UNION ALL SELECT 't', NULL, {_WORDS} FROM benchmark),
+ids AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM texts),
+w AS (SELECT rid, side, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM ids),
+l AS (SELECT rid, side, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),
+g AS MATERIALIZED (SELECT rid, side, unnest([a, a || ' ' || b, a || ' ' || b || ' ' || c]) AS gram FROM l),
+k AS MATERIALIZED (SELECT gram, {_BUCKET} AS bucket FROM (SELECT DISTINCT gram FROM g WHERE gram IS NOT NULL)),
+f AS MATERIALIZED (SELECT g.rid, g.side, k.bucket, count(*) AS n FROM g JOIN k USING (gram) GROUP BY ALL),
+n AS (SELECT coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM f),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM f GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((b.t + 1) * (n.s + 10000) / ((b.s + 1) * (n.t + 10000))))::BIGINT AS gain FROM b, n),
+d AS (SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE side = 's' GROUP BY rid),
+e AS (SELECT doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || left(sha256('42:' || doc_id), 8))::BIGINT AS h FROM ids LEFT JOIN d USING (rid) WHERE side = 's'),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score, words >= 20 AS able FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, (SELECT count(*) FROM x WHERE able) * 5 // 100 AS drawn FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= drawn THEN place END AS rank FROM r""")
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
