@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_columns, decontaminate, fill_in_middle, importance, jaccard_join, language_id, pii, secret_scan, suffix_dedup, toxicity, weak_quality
+from . import audio_columns, decontaminate, fill_in_middle, importance, jaccard_join, language_id, packing, pii, secret_scan, suffix_dedup, toxicity, weak_quality
 from .common import crc_mod, table
 from .sentencepiece_codec import encode
 
@@ -145,3 +145,10 @@ SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= drawn THEN
 def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
