@@ -147,13 +147,16 @@ def intents(low_query: str) -> list[tuple[re.Pattern, float, float]]:
     return [(intent_pattern(pattern), bonus, most) for triggers, pattern, bonus, most in rules if any(t in low_query for t in triggers)]
 
 
+def project_bonus(text: str) -> float:
+    """For a text that names personal projects, and more for one that has them as a heading."""
+    return 1.0 * bool(_PROJECT_LOOSE.search(text)) + 0.2 * bool(re.search(r"(?:\A|\n)(?:projet\s+personnel|projets\s+personnels)", text.lower().strip()))
+
+
 def intent_bonus(low_query: str, text: str, project: bool) -> float:
     total = 0.0
     for p, bonus, most in intents(low_query):
         total += min(bonus * (sum(1 for _ in p.finditer(text)) if most > bonus else bool(p.search(text))), most)
-    if project:
-        total += 1.0 * bool(_PROJECT_LOOSE.search(text)) + 0.2 * bool(re.search(r"(?:\A|\n)(?:projet\s+personnel|projets\s+personnels)", text.lower().strip()))
-    return total
+    return total + project_bonus(text) if project else total
 
 
 def relevance_of(query: str, text: str) -> float:
@@ -172,6 +175,14 @@ def relevance_of(query: str, text: str) -> float:
     return min(bonus + 0.3 * (low_query in low) + min(0.2 * said, 0.25) + 0.15 * (0.8 * exact + 0.2 * partial) / n + min(0.05 * related, 0.05), 1.0)
 
 
+def plain_relevance_of(query: str, text: str) -> float:
+    """phrase_score() and word_hits() together, to nine places."""
+    words, low = query_words(query), text.lower()
+    own = words_of(low)[0]
+    hits = sum(w in own or (" " in w and f" {w} " in f" {' '.join(_SPLIT.sub(' ', low).split())} ") for w in words)
+    return round(0.3 * (query.lower() in low) + 0.15 * 0.8 * hits / max(len(words), 1), 9)
+
+
 @F.pandas_udf(DoubleType())
 def relevance(query: pd.Series, text: pd.Series) -> pd.Series:
     """The whole score; a null on either side scores 0."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, scoring, text
 from ..functions import lexicon as L
-from ..operators import crawl, dedup, enrich, html, matching, retrieval, stats, store
+from ..operators import block_index, crawl, dedup, enrich, html, matching, retrieval, stats, store
 from ..session import shared_folder, table
 from ..sources import files
 
@@ -459,23 +459,31 @@ def score_phrase_words(spark, sf_dir):
 
 @query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored), s AS (SELECT *, max(CAST(score > 0 AND rank <= 5 AS INTEGER)) OVER (PARTITION BY query_id) AS hit FROM r) SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM s WHERE CASE WHEN hit = 1 THEN rank <= 5 AND score > 0 ELSE rank <= 3 END")
 def top_k_per_query(spark, sf_dir):
-    return retrieval.top_k(_plain_scores(spark, sf_dir), 5, ["id"]).select("query_id", "id", "score", "rank")
+    """By the index: a document is a chunk whose padded id, its source, settles ties."""
+    docs = documents(spark, sf_dir).select(F.lpad(F.col("id").cast("string"), 20, "0").alias("source"), F.lit(0).alias("index"), F.col("content").alias("text"), "pdf_url")
+    top = _index(docs).best_of(items(spark, sf_dir), 5, plain=True)
+    return top.select("query_id", F.col("source").cast("long").alias("id"), "score", "rank")
 
 
 def _chunk_rows(spark, sf_dir):
     return chunks(spark, sf_dir).select("source", F.col("chunk_index").alias("index"), "text", "pdf_url")
 
 
+def _index(rows):
+    return block_index.BlockIndex.build(rows, f"{shared_folder(rows.sparkSession)}/index-{uuid.uuid4().hex}")
+
+
 @query()
 def neighbour_context(spark, sf_dir):
     rows = _chunk_rows(spark, sf_dir)
-    top = retrieval.best_of(rows, items(spark, sf_dir), 5)
+    top = _index(rows).best_of(items(spark, sf_dir), 5)
     return retrieval.widened(top, rows, 5).select("query_id", "source", "index", F.length("text").alias("size"))
 
 
 @query()
 def retrieve_context(spark, sf_dir):
-    return retrieval.retrieve(_chunk_rows(spark, sf_dir), items(spark, sf_dir)).select("query_id", F.length("context").alias("size"), F.md5("context").alias("md5"), F.size("pdfs").alias("n_pdfs"))
+    rows = _chunk_rows(spark, sf_dir)
+    return retrieval.retrieve(rows, items(spark, sf_dir), index=_index(rows)).select("query_id", F.length("context").alias("size"), F.md5("context").alias("md5"), F.size("pdfs").alias("n_pdfs"))
 
 
 _PART = "'[Context ' || row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) || ']' || chr(10) || text || CASE WHEN pdf_url IS NOT NULL THEN chr(10) || '[Source PDF: ' || pdf_url || ']' ELSE '' END"
