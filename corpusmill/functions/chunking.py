@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ SIZE, OVERLAP = 1500, 300
 MAX_BYTES = 409_600
 TRUNCATED = "\n\n[Content truncated - see chunks for full text]"
 
+SPACE = re.compile(r"\s*")
 _HEADING_STRICT = re.compile(f"[{UPPER}][{UPPER}\\s:]+\\Z")
 _MEMBERS = re.compile("membres (?:du|de la|élèves)", re.I)
 _ITEM = re.compile(f"[-•*]\\s|[{UPPER}][{LOWER}]+,\\s|[{UPPER}][{LOWER}]+\\s+[{UPPER}]")
@@ -75,27 +77,38 @@ def chunk(text: str, size: int = SIZE, overlap: int = OVERLAP, separator: str =
     return out or [text.strip()]
 
 
-def byte_pieces(text: str, most: int) -> list[str]:
-    """Pieces of at most `most` UTF-8 bytes, cut after a paragraph, a line or a sentence near half of it, else there."""
-    out = []
-    while text:
-        if len(text.encode()) <= most:
-            out.append(text)
-            break
-        near = most // 2
+def pieces(text: str, most: int) -> Iterator[str]:
+    """Pieces of at most `most` UTF-8 bytes, cut after a paragraph, a line or a sentence near half of it, else there.
+
+    Each step looks at the next `most` characters at most: the work grows with the text, and a caller may stop early.
+    """
+    at, end, left = 0, len(text), len(text.encode())  # left: bytes of text[at:end]
+    near = most // 2
+    while at < end:
+        if left <= most:
+            yield text[at:end]
+            return
         cut = 0
         for mark in ("\n\n", "\n", ". "):
-            at = text.rfind(mark, 0, near + len(mark))
-            if at > near / 4:
-                cut = at + len(mark)
+            found = text.rfind(mark, at, min(at + near + len(mark), end)) - at
+            if found > near / 4:
+                cut = found + len(mark)
                 break
-        cut = min(cut or near, len(text))
-        if len(text[:cut].encode()) > most:
-            cut = len(text.encode()[:most].decode(errors="ignore"))
+        cut = min(cut or near, end - at)
+        if len(text[at : at + cut].encode()) > most:
+            cut = len(text[at : at + most].encode()[:most].decode(errors="ignore"))
         cut = cut or 1  # a budget below one character: the piece is over it
-        out.append(text[:cut])
-        text = text[cut:].strip()
-    return out or [text]
+        yield text[at : at + cut]
+        if at == 0:
+            bare = len(text.rstrip())  # what follows a piece is stripped
+            left, end = left - len(text[bare:end].encode()), bare
+        start = SPACE.match(text, at + cut, end).end() if at + cut < end else end
+        left -= len(text[at:start].encode())
+        at = start
+
+
+def byte_pieces(text: str, most: int) -> list[str]:
+    return list(pieces(text, most)) or [text]
 
 
 def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, separator: str = r"\n\s*\n") -> Column:
@@ -116,6 +129,16 @@ def split_bytes(text: Column, most: int) -> Column:
     return run(text)
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """The first piece of a text; what follows is not cut."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else next(pieces(t, most), t))
+
+    return run(text)
+
+
 def sections(text: Column, separator: str = r"\n\s*\n") -> Column:
     """The sections that chunking packs, built in."""
     return F.filter(F.transform(F.split(text, separator), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
@@ -128,7 +151,7 @@ def chunk_table(documents: DataFrame, separator: str = r"\n\s*\n", size: int = S
 
 def capped(text: Column, most: int = MAX_BYTES) -> Column:
     """A document over the budget keeps its first piece and a note."""
-    return F.when(F.octet_length(text) > most, F.concat(F.element_at(split_bytes(text, most - 200), 1), F.lit(TRUNCATED))).otherwise(text)
+    return F.when(F.octet_length(text) > most, F.concat(first_bytes(text, most - 200), F.lit(TRUNCATED))).otherwise(text)
 
 
 def cut_chunks(chunked: DataFrame, most: int) -> DataFrame:

@@ -79,9 +79,14 @@ def block_of(rows: list[tuple]) -> tuple:
 
 
 def built(chunks: DataFrame) -> DataFrame:
-    """The index of chunks (source, index, text, pdf_url), without style sheets and scripts. Narrow: rows stay in order."""
+    """The index of chunks (source, index, text, pdf_url), without style sheets and scripts. Rows stay in order, and none is
+    moved, unless there are fewer partitions than cores: then sources are dealt out."""
     content = chunks.filter(~is_non_content(F.col("source"), F.col("text"))).select(F.col("source").cast("string"), F.col("index").cast("int"), F.col("text").cast("string"), F.col("pdf_url").cast("string"))
 
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    if content.rdd.getNumPartitions() < cores:
+        content = content.repartition(cores, "source")
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[tuple]:
             held, size = [], 0

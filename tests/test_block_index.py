@@ -79,6 +79,8 @@ def test_an_empty_index_gives_no_rows(spark, tmp_path):
 def test_blocks_end_at_a_budget_of_characters(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("s", k, "zebra " * (k + 1), None) for k in range(30)], "source string, index int, text string, pdf_url string").coalesce(1)
     assert [r.n for r in block_index.built(df).collect()] == [30]
+    monkeypatch.setattr(block_index, "BLOCK_BYTES", 500)
+    assert sorted(r.n for r in block_index.built(df).collect())[-1] < 15
     whole = BlockIndex.build(df, str(tmp_path / "one")).best_of(spark.createDataFrame([(1, "zebra stone")], "query_id long, query string"), 3)
     assert [r["index"] for r in sorted(whole.collect(), key=lambda r: r.rank)] == [0, 1, 2]
 
