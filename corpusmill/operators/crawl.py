@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -37,40 +38,112 @@ def robots_for(rules: DataFrame, key: str, agent: str = "*") -> DataFrame:
     return own.select(key, "r.allowed", F.coalesce("r.crawl_delay", F.lit(DELAY)).alias("crawl_delay"))
 
 
-def crawl(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, max_pages: int | None = MAX_PAGES, barred: DataFrame | None = None) -> DataFrame:
-    """url, depth: pages reached from start by edges (src, dst, external). External targets are followed from depth 0 and
-    1 only. Each level is one join, and a table written to the shared checkpoint folder; max_pages ends the levels.
-
-    With a column pos, the place of a link on its page, the pages that max_pages leaves are the first of a queue: those
-    linked from the page that came first, in the order of its links. Without it, the first by address.
+BUCKETS = 32  #: folders of a level, by the hash of the address
+BLOOM_WORDS, BLOOM_HASHES = 1 << 16, 4  #: 64-bit words of the filter in front of the visited pages; bits of an address
+
+
+class Visited:
+    """The pages that a crawl has met: a table a level, in folders by the hash of the address, with a Bloom filter of fixed
+    size in front. A folder that has a finished level keeps it, so that a crawl that was stopped goes on from there."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.done, self.words = spark, folder, 0, [0] * BLOOM_WORDS
+
+    def finished(self, depth: int) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{depth}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def level(self, depth: int) -> DataFrame:
+        return self.spark.read.schema(f"{LEVEL}, bucket int").parquet(f"{self.folder}/{depth}")
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, map(self.level, range(self.done)))
+
+    def add(self, rows: DataFrame | None, depth: int) -> DataFrame:
+        """Writes a level, unless it is there, and takes it into the filter."""
+        if rows is not None:
+            rows.withColumn("bucket", self.bucket("url")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{depth}")
+        own = self.level(depth)
+        self.done = depth + 1
+        places = F.array(*(F.struct(w.alias("word"), b.alias("bit")) for w, b in self.places()))
+        set_bits = own.select(F.explode(places).alias("p")).groupBy("p.word").agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
+        for r in set_bits.collect():  # BLOOM_WORDS rows at most
+            self.words[r.word] |= r.bits
+        return own
+
+    @staticmethod
+    def bucket(url: str) -> Column:
+        return F.pmod(F.xxhash64(url, F.lit(97)), F.lit(BUCKETS)).cast("int")
+
+    @staticmethod
+    def places() -> list[tuple[Column, Column]]:
+        """Word and bit of each place of column url."""
+        at = [F.pmod(F.xxhash64("url", F.lit(k)), F.lit(BLOOM_WORDS * 64)) for k in range(BLOOM_HASHES)]
+        return [(F.shiftright(p, 6).cast("int"), (p % 64).cast("int")) for p in at]
+
+    def new(self, rows: DataFrame, depth: int) -> DataFrame:
+        """rows whose url was not met. Those that the filter has not seen are new; the rest are looked up, in their folders
+        alone. The filter is one row beside each row, of a fixed size."""
+        filters = F.broadcast(self.spark.createDataFrame([(self.words,)], "_words array<bigint>"))
+        maybe = F.lit(True)
+        for k, (w, b) in enumerate(self.places()):
+            rows = rows.withColumns({f"_w{k}": w, f"_b{k}": b})
+            maybe = maybe & F.expr(f"(get(_words, _w{k}) & shiftleft(1L, _b{k})) <> 0")
+        asked = rows.join(filters, how="cross").withColumn("_maybe", maybe).drop("_words", *(f"_{x}{k}" for k in range(BLOOM_HASHES) for x in "wb")).withColumn("_bucket", self.bucket("url"))
+        path = f"{self.folder}/asked-{depth}"
+        asked.write.mode("overwrite").parquet(path)
+        asked = self.spark.read.schema(asked.schema).parquet(path)
+        folders = [r._bucket for r in asked.filter("_maybe").select("_bucket").distinct().collect()]  # BUCKETS rows at most
+        met = self.all().filter(F.col("bucket").isin(folders)).select(F.col("url").alias("_met"))
+        return asked.join(met, F.col("_maybe") & (F.col("url") == F.col("_met")), "left_anti").drop("_maybe", "_bucket")
+
+
+LEVEL = "url string, depth int, path string, external boolean, crawled boolean, counted boolean"
+
+
+def crawl(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, max_pages: int | None = MAX_PAGES, barred: DataFrame | None = None, stored: DataFrame | None = None, state: str | None = None) -> DataFrame:
+    """url, depth, external, counted: the pages that a queue from start visits along edges (src, dst, external), level by level.
+
+    External links are followed from depth 0 and 1 only. barred (url) keeps internal links out, but no external ones; a
+    page is internal or external as the first link to it is. Pages of stored (url) give their links again, but do not
+    count for max_pages, at which the crawl ends. Where edges have pos, the place of a link on its page, pages come in
+    the order of a queue: that of the page that links, then of its links. Without it, internal links go first, then the
+    address counts. A crawl with a state folder goes on behind the levels that are finished there.
     """
     spark = edges.sparkSession
-    folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
-
-    def level(rows: DataFrame, depth: int) -> DataFrame:
-        rows.write.parquet(f"{folder}/{depth}")
-        return spark.read.parquet(f"{folder}/{depth}")
-
-    queue = "pos" in edges.columns
-    seen = frontier = level(spark.createDataFrame([(start, 0, 0)], "url string, depth int, turn int"), 0)
-    pages = 1
+    visited = Visited(spark, state or f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}")
+    place = F.lpad(F.hex(F.col("pos").cast("long")), 8, "0") if "pos" in edges.columns else F.lit("")
+
+    def marked(rows: DataFrame) -> DataFrame:
+        """rows with crawled and counted."""
+        for name, others in (("_barred", barred), ("_stored", stored)):
+            rows = rows.withColumn(name, F.lit(None).cast("boolean")) if others is None else rows.join(others.select("url").distinct().withColumn(name, F.lit(True)), "url", "left")
+        crawled = F.col("external") | F.col("_barred").isNull()
+        return rows.withColumns({"crawled": crawled, "counted": crawled & F.col("_stored").isNull()}).select(*(c.split()[0] for c in LEVEL.split(", ")))
+
+    first = spark.createDataFrame([(start, 0, "", False)], "url string, depth int, path string, external boolean")
+    frontier = visited.add(None if visited.finished(0) else marked(first), 0)
+    pages = frontier.filter("counted").count()
     for depth in range(1, max_depth + 1):
-        out = edges.join(frontier, edges["src"] == frontier["url"]).filter(F.lit(depth <= 2) | ~F.col("external")).groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("turn", F.col("pos") if queue else F.lit(0))).alias("first")).join(seen, "url", "left_anti")
-        if barred is not None:
-            out = out.join(barred, "url", "left_anti")
-        if max_pages is not None:
-            order = ["first", "url"] if queue else ["url"]
-            out = out.orderBy(*order).limit(max(max_pages - pages, 0))
-            turn = F.row_number().over(Window.orderBy(*order))  # over max_pages rows at most
+        if max_pages is not None and pages >= max_pages:
+            break
+        if visited.finished(depth):
+            frontier = visited.add(None, depth)
         else:
-            turn = F.lit(0)  # all are taken, in whatever order
-        frontier = level(out.select("url", F.lit(depth).alias("depth"), turn.alias("turn")), depth)
-        found = frontier.count()
-        if not found:
+            own = frontier.filter("crawled").select(F.col("url").alias("_src"), "path")
+            out = edges.join(own, edges["src"] == F.col("_src")).filter(F.lit(depth <= 2) | ~F.col("external"))
+            link = F.struct(F.concat("path", place).alias("path"), F.col("external").alias("external"))
+            found = out.groupBy(F.col("dst").alias("url")).agg(F.min(link).alias("link")).select("url", F.lit(depth).alias("depth"), "link.path", "link.external")
+            rows = marked(visited.new(found, depth))
+            if max_pages is not None:
+                last = rows.filter("counted").orderBy("path", "url").limit(max_pages - pages).agg(F.count("*").alias("n"), F.max(F.struct("path", "url")).alias("last")).first()
+                if last.n == max_pages - pages:
+                    rows = rows.filter(F.struct("path", "url") <= F.struct(F.lit(last["last"].path).alias("path"), F.lit(last["last"].url).alias("url")))
+            frontier = visited.add(rows, depth)
+        if frontier.isEmpty():
             break
-        pages += found
-        seen = seen.unionByName(frontier)
-    return seen.select("url", "depth")
+        pages += frontier.filter("counted").count()
+    return visited.all().filter("crawled").select("url", "depth", "external", "counted")
 
 
 def crawl_totals(pages: DataFrame) -> DataFrame:

@@ -562,7 +562,32 @@ def link_split(spark, sf_dir):
 def crawl_depths(spark, sf_dir):
     i = F.col("page_id")
     edges = table(spark, sf_dir, "pages").select(i.cast("string").alias("src"), F.explode(F.array(F.struct((2 * i + 1).cast("string").alias("dst"), F.lit(False).alias("external")), F.struct((2 * i + 2).cast("string").alias("dst"), F.lit(True).alias("external")))).alias("e")).select("src", "e.*")
-    return crawl.crawl(edges, "0")
+    return crawl.crawl(edges, "0").select("url", "depth")
+
+
+def _crawl_sql(depth: int, pages: int) -> str:
+    """A level a step, in the order of a queue; the last level ends with the page at which the count is full."""
+    levels = ["e AS (SELECT page_id AS src, dst, pos, pos = 2 AS external FROM (SELECT page_id, unnest([2 * page_id + 1, page_id // 3, 2 * page_id + 2]) AS dst, unnest([0, 1, 2]) AS pos FROM pages)", "), l0 AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth, '' AS path, false AS external, true AS crawled, true AS counted, 1 AS n"]
+    for d in range(1, depth + 1):
+        met = " UNION ALL ".join(f"SELECT id FROM l{k}" for k in range(d))
+        before = " + ".join(f"(SELECT count(*) FILTER (counted) FROM l{k})" for k in range(d))
+        levels.append(
+            f"), f{d} AS (SELECT dst AS id, {d} AS depth, min(path || printf('%08x', pos)) AS path, arg_min(e.external, path || printf('%08x', pos)) AS external FROM e JOIN l{d - 1} l ON e.src = l.id AND l.crawled WHERE {'true' if d <= 2 else 'NOT e.external'} AND dst NOT IN ({met}) GROUP BY dst"
+            f"), m{d} AS (SELECT *, external OR id % 5 <> 3 AS crawled, (external OR id % 5 <> 3) AND id % 7 <> 0 AS counted FROM f{d}"
+            f"), l{d} AS (SELECT * FROM (SELECT *, coalesce(sum(CAST(counted AS INTEGER)) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {before} AS n FROM m{d}) WHERE n < {pages}"
+        )
+    return "WITH " + "".join(levels) + ") SELECT CAST(id AS VARCHAR) AS url, depth, external, counted FROM (" + " UNION ALL ".join(f"SELECT id, depth, external, crawled, counted FROM l{k}" for k in range(depth + 1)) + ") WHERE crawled"
+
+
+@query(_crawl_sql(4, 14))
+def crawl_frontier(spark, sf_dir):
+    """Each page links to a later one, back to an earlier one, and to an external one; some are barred, some stored."""
+    i = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(i)
+    links = pages.select(i.cast("string").alias("src"), F.posexplode(F.array(2 * i + 1, F.floor(i / 3), 2 * i + 2)).alias("pos", "dst")).select("src", F.col("dst").cast("string").alias("dst"), "pos", (F.col("pos") == 2).alias("external"))
+    ids = links.select(F.col("dst").alias("url")).distinct()
+    of = lambda rule: ids.filter(F.expr(rule))
+    return crawl.crawl(links, "1", 4, 14, barred=of("cast(url as long) % 5 = 3"), stored=of("cast(url as long) % 7 = 0"))
 
 
 _ROBOTS = "concat('# rules\nUser-agent: *\nDisallow: ', CASE page_id % 3 WHEN 0 THEN '/' ELSE '/private' END, '\nCrawl-delay: ', cast(page_id % 5 as string), '\nUser-agent: Bot\nDisallow: /\n', CASE page_id % 2 WHEN 0 THEN 'Allow: /x' ELSE '' END)"
@@ -747,11 +772,11 @@ def second_provider(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", F.array_join(text.query_subjects(F.lit("x"), first, second), ",").alias("subjects"))
 
 
-@query("WITH RECURSIVE q(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT 3 * id + k, depth + 1 FROM q, (VALUES (1), (2), (3)) v(k) WHERE depth < 3) SELECT CAST(id AS VARCHAR) AS url, depth FROM q ORDER BY id LIMIT 20")
+@query("WITH RECURSIVE q(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT 3 * id + k, depth + 1 FROM q JOIN pages ON page_id = id, (VALUES (1), (2), (3)) v(k) WHERE depth < 3) SELECT CAST(id AS VARCHAR) AS url, depth FROM q ORDER BY id LIMIT 20")
 def crawl_queue(spark, sf_dir):
     """max_pages leaves the first of the queue: by the page that links, then by the place of the link."""
-    edges = spark.range(0, 40).select(F.col("id").cast("string").alias("src"), F.posexplode(F.array(*((3 * F.col("id") + k).cast("string") for k in (1, 2, 3)))).alias("pos", "dst"), F.lit(False).alias("external"))
-    return crawl.crawl(edges, "0", 3, 20)
+    edges = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("src"), F.posexplode(F.array(*((3 * F.col("page_id") + k).cast("string") for k in (1, 2, 3)))).alias("pos", "dst"), F.lit(False).alias("external"))
+    return crawl.crawl(edges, "0", 3, 20).select("url", "depth")
 
 
 # --- matching ---
