@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, scoring, text
 from ..functions import lexicon as L
-from ..operators import block_index, crawl, dedup, enrich, html, matching, retrieval, stats, store
+from ..operators import block_index, crawl, dedup, enrich, html, matching, retrieval, snapshots, stats, store
 from ..session import shared_folder, table
 from ..sources import files
 
@@ -242,6 +242,67 @@ def retry_picker(spark, sf_dir):
     return enrich.retry_page(failures(spark, sf_dir), chunks(spark, sf_dir))
 
 
+def _snapshots(spark, **tables):
+    """A new store that holds the tables."""
+    own = snapshots.SnapshotStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    change = own.begin()
+    for name, rows in tables.items():
+        change.load(name, rows)
+    change.commit()
+    return own
+
+
+@query(SQL["upsert_documents"])
+def stored_upsert(spark, sf_dir):
+    """upsert_documents in a store that is read back, behind a second change that lost the race."""
+    docs = documents(spark, sf_dir)
+    updates = docs.filter("id % 2 = 0").select("source_id", F.lit("external").alias("source_type"), "name", F.reverse("content").alias("content"), F.lit(None).cast("string").alias("pdf_url"))
+    own = _snapshots(spark, documents=docs.filter("id % 3 <> 0"))
+    late = own.begin().clear("documents")
+    own.begin().upsert_documents(updates, now()).commit()
+    try:
+        late.commit()
+    except snapshots.Conflict:
+        return own.read("documents").select(*_SHOWN)
+    raise AssertionError("two changes took one version")
+
+
+@query(SQL["replace_chunks"])
+def stored_chunks(spark, sf_dir):
+    own = _snapshots(spark, chunks=chunks(spark, sf_dir))
+    ids = documents(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("document_id"))
+    fresh = ids.filter("document_id % 20 = 0").select((F.col("document_id") * PER_DOCUMENT).alias("id"), "document_id", F.lit(0).alias("chunk_index"), F.concat(F.lit("new "), F.col("document_id").cast("string")).alias("text"))
+    own.begin().replace_chunks(ids, fresh).commit()
+    return own.read("chunks").select("document_id", "chunk_index", "text")
+
+
+@query(SQL["update_subjects"])
+def stored_subjects(spark, sf_dir):
+    own = _snapshots(spark, chunks=chunks(spark, sf_dir))
+    values = own.read("chunks").filter("document_id % 5 = 0").select("id", F.when(F.col("chunk_index") % 2 == 0, "events").alias("subject"))
+    own.begin().update_subjects(values).commit()
+    return own.read("chunks").select("id", "subject")
+
+
+@query(SQL["dead_letter_upsert"])
+def stored_failures(spark, sf_dir):
+    rows = failures(spark, sf_dir)
+    own = _snapshots(spark, failed_classifications=rows)
+    new = rows.filter("id % 2 = 0").select("chunk_id", F.repeat(F.lit("x"), 1200).alias("error_message"))
+    own.begin().delete_failures(rows.filter("id % 3 = 0").select("chunk_id")).dead_letter(new, now()).commit()
+    return own.read("failed_classifications").drop("id")
+
+
+@query(f"WITH {C}, {X} SELECT 'documents' AS held, doc_id AS id FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'chunks', id FROM chunks WHERE document_id % 4 <> 0 UNION ALL SELECT 'failed_classifications', chunk_id FROM failures WHERE id % 4 <> 0")
+def stored_cascade(spark, sf_dir):
+    """One commit over three tables."""
+    docs = documents(spark, sf_dir)
+    own = _snapshots(spark, documents=docs, chunks=chunks(spark, sf_dir), failed_classifications=failures(spark, sf_dir))
+    own.begin().delete_documents(docs.filter("id % 4 = 0").select("id")).commit()
+    ids = [own.read(t).select(F.lit(t).alias("held"), F.col("chunk_id" if t == "failed_classifications" else "id").alias("id")) for t in store.SCHEMAS]
+    return ids[0].unionByName(ids[1]).unionByName(ids[2])
+
+
 def _stores(spark, sf_dir):
     """This store has the documents that 3 does not divide, with other ids, and their first chunks; the other has the even ones."""
     docs, parts = documents(spark, sf_dir), chunks(spark, sf_dir)
