@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, scoring, text
 from ..functions import lexicon as L
-from ..operators import block_index, crawl, dedup, enrich, html, matching, retrieval, snapshots, stats, store
+from ..operators import block_index, crawl, dedup, enrich, html, matching, provider, retrieval, snapshots, stats, store
 from ..session import shared_folder, table
 from ..sources import files
+from ..streaming import enrichment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -901,3 +902,40 @@ def classify_keywords(spark, sf_dir):
 @query(f"WITH {X}, {C}, page AS (SELECT chunk_id FROM failures f JOIN chunks c ON c.id = f.chunk_id ORDER BY f.retry_count, f.failed_at, f.chunk_id LIMIT 15) SELECT chunk_id, retry_count FROM failures WHERE chunk_id NOT IN (SELECT chunk_id FROM page)")
 def retry_pass(spark, sf_dir):
     return enrich.retried(chunks(spark, sf_dir), failures(spark, sf_dir), None, now())[1].select("chunk_id", "retry_count")
+
+
+_UNLABELLED = "SELECT id, document_id, chunk_index, text, CASE WHEN document_id % 10 = 0 THEN NULL ELSE 'kept' END AS subject FROM chunks"
+_BROKEN = "id % 7 = 0"
+
+
+def _labels(rows: DataFrame) -> DataFrame:
+    """A model that fails on every seventh chunk."""
+    return rows.select("id", F.when(~F.expr(_BROKEN), "model").alias("subject"), F.when(F.expr(_BROKEN), F.lit("refused")).alias("error"))
+
+
+@query(f"WITH {C}, u AS ({_UNLABELLED}) SELECT id, CASE WHEN subject IS NULL AND NOT ({_BROKEN}) THEN 'model' ELSE subject END AS subject, CASE WHEN subject IS NULL AND {_BROKEN} THEN 0 ELSE -1 END AS retries FROM u")
+def classify_store(spark, sf_dir):
+    """A run over a store that stops after two batches and goes on; failures are passed by, and once more tried in vain."""
+    rows = chunks(spark, sf_dir).withColumn("subject", F.when(F.col("document_id") % 10 != 0, "kept"))
+    own = _snapshots(spark, chunks=rows)
+    size = rows.filter("subject is null").count() // 4 + 1
+    turns = iter([False] * 4 + [True] * 9)
+    enrichment.classify_all(own, _labels, now(), size, stop=lambda: next(turns))
+    enrichment.classify_all(own, _labels, now(), size)
+    dead = own.read("failed_classifications").select(F.col("chunk_id").alias("id"), F.col("retry_count").alias("retries"))
+    return own.read("chunks").select("id", "subject").join(dead, "id", "left").withColumn("retries", F.coalesce("retries", F.lit(-1)))
+
+
+@query(f"WITH {Q} SELECT query_id, query || CASE WHEN query_id % 3 = 0 THEN ' ' || 'terms of ' || length(query) ELSE '' END AS query FROM asked")
+def provider_expansion(spark, sf_dir):
+    """Terms by a provider that takes two thirds of the queries amiss."""
+
+    def expander(q: str) -> str:
+        n, text_ = q.split(":", 1)
+        if int(n) % 3:
+            raise ValueError("broken")
+        return f"terms of {len(text_)}"
+
+    numbered = asked(spark, sf_dir).withColumn("query", F.concat(F.col("query_id").cast("string"), F.lit(":"), F.col("query")))
+    done = provider.expanded(numbered, expander, pacing=provider.Pacing(per_second=1e9, burst=1 << 30))
+    return done.select("query_id", F.regexp_replace("query", "^[0-9]+:", "").alias("query"))
