@@ -16,7 +16,8 @@ from ..functions import chunking, scoring, text
 from ..functions import lexicon as L
 from ..operators import block_index, crawl, dedup, enrich, html, matching, provider, retrieval, snapshots, stats, store
 from ..session import shared_folder, table
-from ..sources import files
+from ..sources import files, source_files
+from ..sources import page_files as page_sink
 from ..streaming import enrichment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -926,7 +927,7 @@ def classify_store(spark, sf_dir):
     return own.read("chunks").select("id", "subject").join(dead, "id", "left").withColumn("retries", F.coalesce("retries", F.lit(-1)))
 
 
-@query(f"WITH {Q} SELECT query_id, query || CASE WHEN query_id % 3 = 0 THEN ' ' || 'terms of ' || length(query) ELSE '' END AS query FROM asked")
+@query(f"WITH {Q} SELECT query_id, query || CASE WHEN query_id % 3 = 0 THEN ' of ' || length(query) ELSE '' END AS query FROM asked")
 def provider_expansion(spark, sf_dir):
     """Terms by a provider that takes two thirds of the queries amiss."""
 
@@ -934,8 +935,39 @@ def provider_expansion(spark, sf_dir):
         n, text_ = q.split(":", 1)
         if int(n) % 3:
             raise ValueError("broken")
-        return f"terms of {len(text_)}"
+        return f"Terms: of {len(text_)}"
 
     numbered = asked(spark, sf_dir).withColumn("query", F.concat(F.col("query_id").cast("string"), F.lit(":"), F.col("query")))
     done = provider.expanded(numbered, expander, pacing=provider.Pacing(per_second=1e9, burst=1 << 30))
     return done.select("query_id", F.regexp_replace("query", "^[0-9]+:", "").alias("query"))
+
+
+# --- sinks and sources of files
+
+
+def _page_folder(spark, sf_dir):
+    """pages written as files, every third as an external one."""
+    spark.dataSource.register(page_sink.PageFiles)
+    base = f"{shared_folder(spark)}/site-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "pages").select("url", F.col("html").alias("text"), (F.col("page_id") % 3 == 0).alias("external"))
+    page_sink.named(rows).write.format("page_files").option("crawl", "2024-06-01").mode("append").save(base)
+    return base
+
+
+_SITE_FOLDER = "CASE WHEN page_id % 3 = 0 THEN 'external' ELSE 'pages' END"
+
+
+@query(f"SELECT url, md5(html) AS content_hash, {_SITE_FOLDER} || '/' || {_FILE_NAME} || '.txt' AS file_path FROM pages")
+def page_file_index(spark, sf_dir):
+    """The index that the sink wrote, read as JSON."""
+    index = spark.read.json(f"{_page_folder(spark, sf_dir)}/{page_sink.INDEX}", multiLine=True)
+    return index.select(F.explode("pages").alias("p")).select("p.url", F.col("p.contentHash").alias("content_hash"), F.col("p.filePath").alias("file_path"))
+
+
+@query(f"SELECT {_SITE_FOLDER} AS category, {_FILE_NAME} || '.txt' AS name, CASE WHEN page_id % 3 = 0 THEN 'changed' ELSE 'plain' END AS processor, CASE WHEN page_id % 3 = 0 THEN md5(replace(html, 'e', 'E')) ELSE md5(html) END AS content_md5, false AS failed FROM pages")
+def processed_files(spark, sf_dir):
+    """The files that the sink wrote, through two processors of the caller."""
+    registry = source_files.Registry().register("changed", lambda f: f.category == "external", lambda data, f: data.decode().replace("e", "E")).register("plain", lambda f: f.name.endswith(".txt"), lambda data, f: data.decode())
+    source_files.register(spark, registry)
+    read = spark.read.format("source_files").option("partition_bytes", 1 << 18).load(_page_folder(spark, sf_dir))
+    return read.select("category", "name", "processor", F.md5("content").alias("content_md5"), F.col("error").isNotNull().alias("failed"))
