@@ -96,9 +96,21 @@ ACTIVITIES = ("robotique", "robotics", "bazar vert", "bazar-vert", "expo science
 ACTIVITIES_LOOSE = "robotique|improvisation|théâtre|theatre|spectacle|journal|bazar|expo|science|math|dele|fablab|fab-lab|coop|entraidants|informatiques|rock|variétés|varietes"
 
 #: Words that OCR correction may choose, in the order that settles ties.
-OCR_WORDS = tuple(
-    "fraise|frais|préparation|preparation|preparer|cuisson|cuire|cuit|cuite|ingrédients|ingredients|ingredient|portions|portion|recette|recettes|ricardo|ricardocuisine|lentilles|lentille|pommes|pomme|pommes de terre|pomme de terre|cari|curry|coriandre|coriandres|coco|lait de coco|lait|huile|huile d'olive|oignon|oignons|ail|ails|garam|masala|garam masala|bouillon|bouillons|poulet|poulets|tomates|tomate|eau|eaux|sel|sels|poivre|poivres|suggestion|suggestions|équipe|equipe|note|notes|remplacer|ajouter|ajoute|ajouté|ajoutée|dorer|doré|dorée|mijoter|mijote|mijoté|servir|servi|servie|garnir|garni|garnie|coupées|coupé|coupée|couper|hachées|haché|hachée|hacher|finement|fines|gros|grosse|grosses|boîte|boite|boîtes|boites|tasse|tasses|cuillère|cuillères|cuillere|cuilleres|soupe|soupes|gousses|gousse|litre|litres|minute|minutes|min|heure|heures|h|facultatif|facultative|végétarien|vegetarien|végétarienne|vegetarienne|pâté|pate|pates|chinois|chinoise|chinoises|légumes|legumes|legume|grains|grain|sarrasin|sarrasins|africain|africaine|africaines|mafé|mafe|basmati|riz|découvert|decouvert|découverte|decouverte|environ|environs|jusqu'à|jusqua|tendres|tendre|rectifier|rectifie|rectifié|assaisonnement|assaisonner|de|des|du|le|la|les|un|une|et|ou|dans|sur|avec|sans|pour|par|est|sont|avoir|faire|être|aller|venir|voir".split("|")
-)
+OCR_WORDS = (
+    "fraise", "frais", "préparation", "preparation", "preparer", "cuisson", "cuire", "cuit", "cuite", "ingrédients", "ingredients", "ingredient",
+    "portions", "portion", "recette", "recettes", "ricardo", "ricardocuisine", "lentilles", "lentille", "pommes", "pomme", "pommes de terre",
+    "pomme de terre", "cari", "curry", "coriandre", "coriandres", "coco", "lait de coco", "lait", "huile", "huile d'olive", "oignon", "oignons", "ail",
+    "ails", "garam", "masala", "garam masala", "bouillon", "bouillons", "poulet", "poulets", "tomates", "tomate", "eau", "eaux", "sel", "sels", "poivre",
+    "poivres", "suggestion", "suggestions", "équipe", "equipe", "note", "notes", "remplacer", "ajouter", "ajoute", "ajouté", "ajoutée", "dorer", "doré",
+    "dorée", "mijoter", "mijote", "mijoté", "servir", "servi", "servie", "garnir", "garni", "garnie", "coupées", "coupé", "coupée", "couper", "hachées",
+    "haché", "hachée", "hacher", "finement", "fines", "gros", "grosse", "grosses", "boîte", "boite", "boîtes", "boites", "tasse", "tasses", "cuillère",
+    "cuillères", "cuillere", "cuilleres", "soupe", "soupes", "gousses", "gousse", "litre", "litres", "minute", "minutes", "min", "heure", "heures", "h",
+    "facultatif", "facultative", "végétarien", "vegetarien", "végétarienne", "vegetarienne", "pâté", "pate", "pates", "chinois", "chinoise", "chinoises",
+    "légumes", "legumes", "legume", "grains", "grain", "sarrasin", "sarrasins", "africain", "africaine", "africaines", "mafé", "mafe", "basmati", "riz",
+    "découvert", "decouvert", "découverte", "decouverte", "environ", "environs", "jusqu'à", "jusqua", "tendres", "tendre", "rectifier", "rectifie",
+    "rectifié", "assaisonnement", "assaisonner", "de", "des", "du", "le", "la", "les", "un", "une", "et", "ou", "dans", "sur", "avec", "sans", "pour",
+    "par", "est", "sont", "avoir", "faire", "être", "aller", "venir", "voir",
+)
 
 MESSAGES = {
     "en": {"no_info": "I cannot answer this question with the information I have. Could you rephrase your question or contact the school directly?", "default_error": "Sorry, I couldn't generate a response. Please try again.", "timeout": "The request took too long. Please try again with a simpler question."},

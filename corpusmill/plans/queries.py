@@ -483,13 +483,28 @@ def chunk_pack(spark, sf_dir):
     return chunking.chunk_table(documents(spark, sf_dir), "\n").select("source", F.col("index").alias("chunk_index"), F.length("text").alias("size"), F.md5("text").alias("md5"), "pdf_url")
 
 
-@query()
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _cut(rest: str, most: int) -> str:
+    """Where a text over the budget is cut: behind the last mark near half of it, else there; or before the character that passes it."""
+    near = most // 2
+    marks = ("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2)
+    place = "CASE" + "".join(f" WHEN instr(reverse(left({rest}, {near + n})), reverse({m})) > 0 AND {near + n} - instr(reverse(left({rest}, {near + n})), reverse({m})) - {n} + 1 > {near / 4} THEN {near + n} - instr(reverse(left({rest}, {near + n})), reverse({m})) + 1" for m, n in marks) + f" ELSE {near} END"
+    return f"(CASE WHEN strlen(left({rest}, {place})) <= {most} THEN {place} ELSE list_count(list_filter(range(1, {most + 1}), lambda k: strlen(left({rest}, k)) <= {most})) END)"
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT doc_id, 0 AS k, CASE WHEN strlen(text) <= 4096 THEN text ELSE left(text, cut) END AS piece, CASE WHEN strlen(text) > 4096 THEN trim(substr(text, cut + 1), {0}) ELSE '' END AS rest FROM (SELECT doc_id, text, {1} AS cut FROM documents) "
+    "UNION ALL SELECT doc_id, k + 1, CASE WHEN strlen(rest) <= 4096 THEN rest ELSE left(rest, cut) END, CASE WHEN strlen(rest) > 4096 THEN trim(substr(rest, cut + 1), {0}) ELSE '' END FROM (SELECT doc_id, k, rest, {2} AS cut FROM r WHERE rest <> '')) "
+    "SELECT doc_id AS document_id, k AS chunk_index, CAST(strlen(piece) AS INTEGER) AS bytes, md5(piece) AS md5 FROM r".format(_BLANKS, _cut("text", 4096), _cut("rest", 4096))
+)
 def byte_split(spark, sf_dir):
     whole = documents(spark, sf_dir).select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("content").alias("text"))
     return chunking.split_chunks(whole, 4096).select("document_id", "chunk_index", F.octet_length("text").alias("bytes"), F.md5("text").alias("md5"))
 
 
-@query()
+@query(f"SELECT doc_id AS id, CAST(CASE WHEN strlen(text) <= 8192 THEN strlen(text) ELSE strlen(left(text, {_cut('text', 7992)})) + {len(chunking.TRUNCATED)} END AS INTEGER) AS bytes FROM documents")
 def doc_cap(spark, sf_dir):
     return documents(spark, sf_dir).select("id", F.octet_length(chunking.capped(F.col("content"), 8192)).alias("bytes"))
 
@@ -745,16 +760,15 @@ def whole_files(spark, sf_dir):
     return read.select(F.regexp_extract("source_id", "/([^/]+)/[^/]+$", 1).alias("folder"), F.col("word_count").alias("words"), F.length("content").cast("long").alias("chars"))
 
 
-@query("SELECT unnest(['a.pdf', 'b.PDF', 'c.Pdf']) AS name")
+@query("SELECT 'page_' || page_id || CASE page_id % 4 WHEN 0 THEN '.pdf' ELSE '.PDF' END AS name, CAST(octet_length(encode(html)) AS BIGINT) AS length FROM pages WHERE page_id % 4 < 2")
 def pdf_listing(spark, sf_dir):
+    """Every page as a file in one of two folders, half of them with an ending of PDFs."""
+    spark.dataSource.register(page_sink.PageFiles)
     base = f"{shared_folder(spark)}/pdfs-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in ("a.pdf", "one/b.PDF", "one/two/c.Pdf", "one/d.txt", "two/e.pdf.bak"):
-        file = fs.create(path(f"{base}/{name}"))
-        file.writeBytes("x")
-        file.close()
-    return files.pdfs(spark, base).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    ending = F.expr("CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE '.pdf.bak' END")
+    rows = table(spark, sf_dir, "pages").select("url", F.col("html").alias("text"), (F.col("page_id") % 3 == 0).alias("external"), F.concat(F.lit("page_"), F.col("page_id").cast("string"), ending).alias("name"))
+    rows.write.format("page_files").mode("append").save(base)
+    return files.pdfs(spark, base).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
 @query("SELECT url AS path, CASE page_id % 3 WHEN 0 THEN 'cached ' || page_id WHEN 1 THEN '[Page 1]' || chr(10) || 'one' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '[Page 2]' || chr(10) || page_id ELSE '' END AS content, page_id % 3 = 0 AS cached FROM pages")
@@ -766,20 +780,23 @@ def pdf_text_cache(spark, sf_dir):
     return files.pdf_texts(rows, cache, rows.filter(i % 3 == 1).select("path", F.array(F.lit("one"), i.cast("string")).alias("pages")))
 
 
-@query("SELECT * FROM (VALUES ('a', 'one two'), ('three', 'three'), ('b', '')) v(source_id, content)")
+@query("SELECT 'item ' || item_id AS source_id, CASE WHEN item_id % 3 = 0 THEN 'item ' || item_id ELSE text END AS content FROM benchmark")
 def inline_texts(spark, sf_dir):
-    return files.inline(spark, [("a", "one two"), ("three", None), ("b", "")])
+    """The items as texts of a caller, a third of them without content."""
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("source_id"), F.when(F.col("item_id") % 3 != 0, F.col("text")).alias("content"))
+    return files.inlined(rows)
 
 
-@query("SELECT * FROM (VALUES ('documents', true, false, true), ('chunks', true, false, false), ('failed_classifications', true, false, false)) v(name, made, made_again, filled)")
+@query("SELECT *, CASE WHEN filled THEN (SELECT count(*) FROM documents) ELSE 0 END AS n FROM (VALUES ('documents', true, false, true), ('chunks', true, false, false), ('failed_classifications', true, false, false)) v(name, made, made_again, filled)")
 def store_bootstrap(spark, sf_dir):
-    """Tables made where they are missing, made once, and asked for rows after one was written to documents."""
+    """Tables made where they are missing, made once, and asked for rows after documents were written."""
     database = f"corpusmill_{uuid.uuid4().hex}"
     made, again = store.bootstrap(spark, database), store.bootstrap(spark, database)
-    documents(spark, sf_dir).limit(1).write.insertInto(f"{database}.documents")
+    documents(spark, sf_dir).write.insertInto(f"{database}.documents")
     filled = [n for n in store.SCHEMAS if store.has_rows(spark, f"{database}.{n}")]
+    counts = {n: spark.table(f"{database}.{n}").count() for n in store.SCHEMAS}
     spark.sql(f"DROP DATABASE {database} CASCADE")
-    return spark.createDataFrame([(n, n in made, n in again, n in filled) for n in store.SCHEMAS], "name string, made boolean, made_again boolean, filled boolean")
+    return spark.createDataFrame([(n, n in made, n in again, n in filled, counts[n]) for n in store.SCHEMAS], "name string, made boolean, made_again boolean, filled boolean, n long")
 
 
 @query("SELECT item_id, text FROM benchmark")

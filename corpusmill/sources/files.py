@@ -52,7 +52,12 @@ def pdf_texts(found: DataFrame, cache: DataFrame, extracted: DataFrame) -> DataF
 
 def inline(spark: SparkSession, texts: list[tuple[str, str | None]]) -> DataFrame:
     """source_id, content: texts given by the caller; without content the id is the text."""
-    return spark.createDataFrame(texts, "source_id string, content string").withColumn("content", F.coalesce("content", "source_id"))
+    return inlined(spark.createDataFrame(texts, "source_id string, content string"))
+
+
+def inlined(texts: DataFrame) -> DataFrame:
+    """inline() of a frame (source_id, content)."""
+    return texts.withColumn("content", F.coalesce("content", "source_id"))
 
 
 Reader = tuple[str, Callable[[Column, Column], Column]]
