@@ -7,6 +7,7 @@ exact arms as built-in columns, for plans that need no near words.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import lexicon as L
+from .distance import edit_distance, remember
 from .text import AB
 
 NEAR_WORDS = 30  #: words of the text that a query word is held against
@@ -36,16 +38,6 @@ def word_pattern(word: str) -> re.Pattern:
     return re.compile(rf"\b{re.escape(word)}\b", re.ASCII)
 
 
-@lru_cache(200_000)
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 @lru_cache(16)
 def words_of(low: str) -> tuple[frozenset[str], dict[str, list[tuple[str, frozenset[str]]]], dict[tuple[str, bool], tuple[float, float]]]:
     """A text's ASCII words, the first NEAR_WORDS of them for each first letter, and the weights of query words so far;
@@ -73,6 +65,12 @@ def near_word(word: str, low: str) -> float | None:
     return None
 
 
+def prepare(queries: Iterable[str], texts: Iterable[str]) -> None:
+    """Counts the edit distances that the near words of these queries in these texts need, all at once."""
+    own = {w for q in queries for w in query_words(q)}
+    remember(own, {o for t in texts for held in words_of(t.lower())[1].values() for o, _ in held}, 0.25)
+
+
 @lru_cache(4096)
 def phrases(low_query: str, project: bool) -> list[str]:
     out = list(L.PROJECT_PHRASES) if project else list(L.STAFF_PHRASES) if "personnel" in low_query else []
@@ -186,6 +184,7 @@ def plain_relevance_of(query: str, text: str) -> float:
 @F.pandas_udf(DoubleType())
 def relevance(query: pd.Series, text: pd.Series) -> pd.Series:
     """The whole score; a null on either side scores 0."""
+    prepare(query.dropna().unique(), text.dropna().unique())
     return pd.Series([0.0 if q is None or t is None else relevance_of(q, t) for q, t in zip(query, text, strict=True)])
 
 

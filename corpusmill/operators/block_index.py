@@ -269,6 +269,7 @@ class BlockIndex:
                         seen += n
                         continue
                     rows = list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(_large(payload)).read_all().columns), strict=True))
+                    S.prepare((own.queries[q][1] for q in np.flatnonzero((wanted & (high > 0)).any(1)).tolist()), (rows[c][2] for c in np.flatnonzero((wanted & (high > 0)).any(0)).tolist()))
                     for c in np.flatnonzero(wanted.any(0)).tolist():
                         source, index, text, pdf = rows[c]
                         place = (source is not None, source or "", index is not None, index or 0, seen + c)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import OCR_WORDS
-from ..functions.scoring import edit_distance
+from ..functions.distance import edit_distance
 
 _SPLIT_LETTER = re.compile(r"([A-Za-zÀ-ſ])\s*\(\s*([A-Za-zÀ-ſ]{3,})")
 _TOKENS = re.compile(r"(\s+|[^A-Za-z0-9_\sÀ-ſ])")

@@ -122,12 +122,13 @@ class Change:
         return self.store.of(self.manifest, table)
 
     def _put(self, table: str, rows: DataFrame, buckets: set[int] | None) -> None:
-        """rows in place of a table's buckets (None: all)."""
+        """rows in place of a table's buckets (None: all). They are written where they are: a task gives a bucket a file, and
+        compact() brings a bucket's files together."""
         name, key = f"data/{uuid.uuid4().hex}", self.store.keys[table]
         columns = [f.name for f in self.store.schemas[table]]
         kept = {int(b): p for b, p in self.manifest["tables"].get(table, {}).items() if buckets is not None and int(b) not in buckets}
         fitted = reduce(lambda df, f: df.withColumn(f.name, (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType)), self.store.schemas[table], rows).select(*columns)
-        fitted.withColumn("_bucket", self.store.bucket(F.col(key))).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.store.folder}/{name}")
+        fitted.withColumn("_bucket", self.store.bucket(F.col(key))).write.partitionBy("_bucket").parquet(f"{self.store.folder}/{name}")
         fresh = {int(n.split("=")[1]): f"{name}/{n}" for n in self.store.files.names(f"{self.store.folder}/{name}") if n.startswith("_bucket=")}
         self.rewritten.setdefault(table, set()).update(fresh if buckets is None else buckets)
         self.manifest["tables"][table] = {str(b): p for b, p in sorted((kept | fresh).items())}
@@ -183,6 +184,14 @@ class Change:
     def reset(self, table: str, column: str) -> Change:
         return self.load(table, store.reset(self.read(table), column))
 
+    def compact(self, table: str, files: int = 8) -> Change:
+        """A table's buckets as at least one and at most about `files` files each, for which its rows are shuffled."""
+        many = [b for b, p in self.manifest["tables"].get(table, {}).items() if sum(n.endswith(".parquet") for n in self.store.files.names(f"{self.store.folder}/{p}")) > files]
+        if many:
+            buckets = set(map(int, many))
+            self._put(table, self.store.of(self.manifest, table, buckets).repartition(self.store.bucket(F.col(self.store.keys[table]))), buckets)
+        return self
+
     def clear(self, table: str) -> Change:
         self.manifest["tables"][table] = {}
         return self

@@ -63,3 +63,12 @@ def test_dead_letters_and_empty_changes(spark, own):
     got = {r.chunk_id: r.retry_count for r in own.read("failed_classifications").filter("error_message = 'bad'").collect()}
     assert got == {5: 1, 700: 0} and own.manifest(2)["ledger"] == {"cursor": 9}
     assert own.begin().clear("documents").commit() == 3 and own.read("documents").isEmpty() and own.read("documents").schema == store.DOCUMENTS
+
+
+def test_compact_brings_files_together(spark, own):
+    rows = spark.range(400).select("id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("source_id")).repartition(12)
+    own.begin().load("documents", rows).commit()
+    count = lambda: sum(n.endswith(".parquet") for p in own.manifest(own.version())["tables"]["documents"].values() for n in own.files.names(f"{own.folder}/{p}"))
+    assert count() > 100
+    own.begin().compact("documents", files=2).commit()
+    assert count() <= 32 and {r.id for r in own.read("documents").collect()} == set(range(400))
