@@ -147,6 +147,8 @@ def intents(low_query: str) -> list[tuple[re.Pattern, float, float]]:
 
 def project_bonus(text: str) -> float:
     """For a text that names personal projects, and more for one that has them as a heading."""
+    if "proje" not in text.lower():
+        return 0.0
     return 1.0 * bool(_PROJECT_LOOSE.search(text)) + 0.2 * bool(re.search(r"(?:\A|\n)(?:projet\s+personnel|projets\s+personnels)", text.lower().strip()))
 
 

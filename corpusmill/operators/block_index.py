@@ -9,6 +9,7 @@ opens a block only for queries whose upper bound in it reaches that far, and sco
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ NEEDED = (
     ("cari", "curry"), ("lentil",), ("ricardo",), ("cafétéria", "cafeteria"), ("végé", "vege"), ("cafétéria", "cafeteria"), ("info",), ("info",),
     ("direct",), ("direction",), ("conseill", "enseignant", "direct", "adjoint"), ("personnel",),
 )
+_WORD, _DIGIT = re.compile("[A-Za-z0-9_]+"), re.compile(r"\d")
 ODD_CASES = "ſıİK"  #: match plain letters in patterns without case, but are not lowered to them
 _RULE_NUMBER = {(pattern, bonus, most): k for k, (_, pattern, bonus, most) in enumerate(RULES)}
 HIT, PROJECT_BONUS = len(RULES), len(RULES) + 1  #: rows of the rule table behind the rules
@@ -44,7 +46,7 @@ _CHUNK = pa.schema([("source", pa.string()), ("index", pa.int32()), ("text", pa.
 
 
 def _small(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def _large(data: bytes) -> bytes:
@@ -55,7 +57,7 @@ def rule_values(text: str) -> list[float]:
     """The most that each rule can give a text, whether it names a personal project, and the bonus for that."""
     low = text.lower()
     odd = any(c in text for c in ODD_CASES) or not text.isascii() and any(c in low for c in "̀́̂̈")
-    own = [most if odd or (any(x in low for x in needed) if needed[0] != "0" else any(c.isdigit() for c in low)) else 0.0 for (_, _, _, most), needed in zip(RULES, NEEDED, strict=True)]
+    own = [most if odd or (any(x in low for x in needed) if needed[0] != "0" else bool(_DIGIT.search(low))) else 0.0 for (_, _, _, most), needed in zip(RULES, NEEDED, strict=True)]
     return [*own, float("personnel" in low and bool(S._PROJECT.search(low))), S.project_bonus(text)]
 
 
@@ -65,7 +67,7 @@ def block_of(rows: list[tuple]) -> tuple:
     rules = np.zeros((len(RULES) + 2, len(rows)), np.float32)
     for k, (_, _, text, _) in enumerate(rows):
         if text is not None:
-            for w in S.words_of(text.lower())[0]:
+            for w in set(_WORD.findall(text.lower())):
                 postings[w] = postings.get(w, 0) | 1 << k
             rules[:, k] = rule_values(text)
     words = sorted(postings)
