@@ -600,7 +600,20 @@ def _extracted(spark, sf_dir, strip_chrome=True):
     return table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html"), F.col("url"), strip_chrome).alias("x")).select("page_id", "url", "x.*")
 
 
-@query()
+_PARAGRAPH = "regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g')"
+
+
+def _plain(html: str) -> str:
+    for entity, c in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#x27;", "chr(39)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        html = f"replace({html}, '{entity}', {c})"
+    return html
+
+
+@query(
+    "WITH a AS (SELECT page_id, regexp_extract(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?s)<article>(.*?)(</article>|<footer>|$)', 1) AS part FROM pages), "
+    f"b AS (SELECT page_id, {_plain("regexp_extract(part, '(?s)<h1>(.*?)</h1>', 1)")} AS head, [trim({_plain(_PARAGRAPH)}) FOR x IN string_split(part, '<p>')[2:] IF length(trim({_plain(_PARAGRAPH)})) > 10] AS ps FROM a) "
+    f"SELECT page_id, trim(regexp_replace(regexp_replace('## ' || head || ' ' || array_to_string(ps, ' '), '\\s+', ' ', 'g'), '##\\s+', chr(10) || '## ', 'g'), {_BLANKS}) AS text FROM b"
+)
 def page_text(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "text")
 
@@ -613,7 +626,7 @@ def page_links(spark, sf_dir):
     return _extracted(spark, sf_dir, strip_chrome=False).select("page_id", F.explode("links").alias("link"))
 
 
-@query()
+@query(f"WITH {_SITES}, f AS (SELECT page_id, count(DISTINCT href) FILTER (regexp_matches(lower(regexp_replace(href, '[?#].*$', '')), '\\.(pdf|xlsx?|docx?|pptx?|txt|csv)$')) AS n FROM l GROUP BY page_id) SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<img[^>]* src=\"([^\"]+)\"', 1))) AS INTEGER) AS n_images, CAST(coalesce(n, 0) AS INTEGER) AS n_files FROM pages LEFT JOIN f USING (page_id)")
 def page_files(spark, sf_dir):
     pages = _extracted(spark, sf_dir, strip_chrome=False)
     return pages.select("page_id", F.size("images").alias("n_images"), F.size(F.filter("files", lambda u: text.file_type(u).isNotNull())).alias("n_files"))
