@@ -478,12 +478,30 @@ def chunk_sections(spark, sf_dir):
     return chunks(spark, sf_dir).select("id", "document_id", "chunk_index", "text")
 
 
-@query()
-def chunk_pack(spark, sf_dir):
-    return chunking.chunk_table(documents(spark, sf_dir), "\n").select("source", F.col("index").alias("chunk_index"), F.length("text").alias("size"), F.md5("text").alias("md5"), "pdf_url")
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINE_FLAGS = (
+    f"[regexp_matches(x, '^[{L.UPPER}][{L.UPPER}\\s:]+$') OR regexp_matches(x, '(?i)^membres (du|de la|élèves)') FOR x IN xs] AS heads, "
+    f"[regexp_matches(x, '^([-•*]\\s|[{L.UPPER}][{L.LOWER}]+,\\s|[{L.UPPER}][{L.LOWER}]+\\s+[{L.UPPER}])') FOR x IN xs] AS items, "
+    f"[regexp_matches(x, '\\d{{4}}[-–]\\d{{4}}') AND regexp_matches(x, '\\|\\s*[A-Z]|\\t[A-Z]|[{L.UPPER}][{L.LOWER}]+.*\\d{{4}}') FOR x IN xs] AS years"
+)
+_END = f"right(held, {chunking.OVERLAP})"
+_KEPT = (
+    f"CASE WHEN length(held) <= {chunking.OVERLAP} THEN '' WHEN regexp_matches({_END}, '[.!?]\\s+') THEN regexp_replace({_END}, '(?s)^.*?[.!?]\\s+', '') WHEN listed THEN '' "
+    f"WHEN contains({_END}, chr(10) || chr(10)) THEN substr({_END}, instr({_END}, chr(10) || chr(10)) + 2) "
+    f"WHEN regexp_matches({_END}, '(?s)^.+?\\s+[A-Za-z0-9_]') AND NOT regexp_matches({_END}, '^\\s+[A-Za-z0-9_]') THEN substr({_END}, length(regexp_extract({_END}, '(?s)^(.*?)\\s+[A-Za-z0-9_]', 1)) + 2) ELSE '' END"
+)
 
 
-_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+@query(
+    f"WITH RECURSIVE {C}, t AS MATERIALIZED (SELECT doc_id, xs, len(xs) AS n, {_LINE_FLAGS} FROM lines), "
+    "r AS (SELECT doc_id, CAST(1 AS BIGINT) AS k, 0 AS i, '' AS held, CAST(NULL AS VARCHAR) AS made FROM t "
+    f"UNION ALL SELECT doc_id, last + 1, i + CAST(over AS INTEGER), CASE WHEN NOT over THEN CASE WHEN held = '' THEN unit ELSE held || chr(10) || chr(10) || unit END WHEN kept <> '' OR (length(held) > {chunking.OVERLAP} AND regexp_matches({_END}, '[.!?]\\s+$')) THEN kept || chr(10) || chr(10) || unit ELSE unit END, CASE WHEN over THEN held END "
+    f"FROM (SELECT *, {_KEPT} AS kept, held <> '' AND length(held) + 2 + length(unit) > {chunking.SIZE} AS over FROM (SELECT *, array_to_string(xs[k:last], chr(10) || chr(10)) AS unit FROM (SELECT *, CASE WHEN listed THEN k + coalesce(list_position([items[j] OR years[j] FOR j IN range(k + 1, n + 1)], false) - 1, n - k) ELSE k END AS last FROM (SELECT r.doc_id, r.k, r.i, r.held, t.xs, t.n, t.items, t.years, t.heads[r.k] AND coalesce(t.items[r.k + 1], false) AS listed FROM r JOIN t USING (doc_id) WHERE r.k <= t.n))))), "
+    "made AS (SELECT doc_id, i - 1 AS chunk_index, made FROM r WHERE made IS NOT NULL UNION ALL SELECT doc_id, i, held FROM r JOIN t USING (doc_id) WHERE k > n) "
+    f"SELECT 'file://pages/' || doc_id AS source, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(length(trim(made, {_BLANKS})) AS INTEGER) AS size, md5(trim(made, {_BLANKS})) AS md5, CASE WHEN doc_id % 7 = 0 THEN 'file://pdfs/' || d.source || '.pdf' END AS pdf_url FROM made JOIN documents d USING (doc_id)"
+)
+def chunk_pack(spark, sf_dir):
+    return chunking.chunk_table(documents(spark, sf_dir), "\n").select("source", F.col("index").alias("chunk_index"), F.length("text").alias("size"), F.md5("text").alias("md5"), "pdf_url")
 
 
 def _cut(rest: str, most: int) -> str:
