@@ -893,7 +893,19 @@ def crawl_queue(spark, sf_dir):
 # --- matching ---
 
 
-@query()
+_ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"  #: each as one other character, since the distance counts bytes
+_AS_BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%"
+_ODD_WORD = "[A-Za-z0-9_À-ſ]"
+_DISTANCE = "levenshtein(translate(plain, '{0}', '{1}'), translate(entry_plain, '{0}', '{1}'))".format(_ACCENTED, _AS_BYTES[: len(_ACCENTED)])
+
+
+@query(
+    "WITH dict AS (SELECT unnest([" + ", ".join("'" + w.replace("'", "''") + "'" for w in L.OCR_WORDS) + "]) AS entry, unnest(range(" + str(len(L.OCR_WORDS)) + ")) AS place), plain_dict AS (SELECT entry, place, regexp_replace(lower(entry), '[^A-Za-z0-9_À-ſ]', '', 'g') AS entry_plain FROM dict), "
+    f"t AS (SELECT item_id, regexp_extract_all('Faise pOmme ' || text, '{_ODD_WORD}+|[^A-Za-z0-9_À-ſ]') AS xs FROM benchmark), u AS (SELECT item_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM t), "
+    "asked AS (SELECT DISTINCT x, regexp_replace(lower(x), '[^A-Za-z0-9_À-ſ]', '', 'g') AS plain FROM u WHERE x = 'Faise' OR (length(x) > 1 AND regexp_matches(x, '^[a-zà-ſ][A-ZÀ-ſ]'))), "
+    f"near AS (SELECT x, min({{'d': {_DISTANCE}, 'place': place, 'entry': entry}}).entry AS entry FROM asked, plain_dict WHERE {_DISTANCE} <= 2 GROUP BY x) "
+    "SELECT item_id, string_agg(CASE WHEN entry IS NULL THEN u.x WHEN u.x <> 'Faise' AND left(u.x, 1) = upper(left(u.x, 1)) THEN upper(left(entry, 1)) || substr(entry, 2) ELSE entry END, '' ORDER BY i) AS text FROM u LEFT JOIN near ON near.x = u.x GROUP BY item_id"
+)
 def ocr_correct(spark, sf_dir):
     broken = F.concat(F.lit("F (aise pOmme "), F.col("text"))
     return table(spark, sf_dir, "benchmark").select("item_id", matching.ocr_corrected(broken).alias("text"))
