@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, chunks, id_text, packed, unpacked, written
+from .common import Scratch, batches, chunks, forget, id_text, packed, unpacked, written
 
 BUCKETS, ORDERS = 10_000, 3  #: n-grams of 1 to ORDERS words
 SEGMENT = 1 << 20  #: characters of a batch, and of a piece of a text that is longer
@@ -178,6 +178,7 @@ def ranked(rows: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCE
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed = written(dealt.drop("_row"), "ranked")
+    forget(spark, keyed)
     part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r.p, r.n, r.able) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.count_if("_able").alias("able")).collect())  # a row a range
     drawn, before, starts = percent * sum(x[2] for x in sizes) // 100, 0, []
