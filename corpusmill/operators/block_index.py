@@ -164,9 +164,9 @@ class Asked:
         partial = 0.1 if len(w) <= 2 or common else 1.5 if active else 0.7 if w == "directice" else 0.5
         return np.array([weight, weight, 0.0]), np.array([0.0, exact, partial])
 
-    def sums(self, words: bytes, bits: bytes, n: int) -> np.ndarray:
-        """self.none of each query with what the words of each of n chunks bring: (4, queries, chunks)."""
-        out = np.repeat(self.none.T[:, :, None], n, axis=2)
+    def sums(self, words: bytes, bits: bytes, n: int, columns: tuple[int, ...] = (0, 1, 2, 3)) -> np.ndarray:
+        """Columns of self.none of each query with what the words of each of n chunks bring: (columns, queries, chunks)."""
+        out = np.repeat(self.none.T[list(columns), :, None], n, axis=2)
         found = [(c, k) for k, w in enumerate(_large(words).decode().split("\n")) if (c := self.words.get(w)) is not None]
         if not found:
             return out
@@ -179,26 +179,35 @@ class Asked:
         entry, chunk = entry[order], has[np.repeat(np.arange(len(word)), count)[order]]
         query = self.query[entry]
         edge = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
-        for j in range(4):
-            out[j, query[edge]] += np.add.reduceat(chunk * self.brought[entry, j : j + 1], edge, axis=0)
+        for k, j in enumerate(columns):
+            out[k, query[edge]] += np.add.reduceat(chunk * self.brought[entry, j : j + 1], edge, axis=0)
         return out
 
-    def bounds(self, words: bytes, bits: bytes, rules: bytes, held: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the most that each query (row) gives each chunk (column) of a block."""
-        least, most, partial, lacking = self.sums(words, bits, n)
+    def lows(self, words: bytes, bits: bytes, rules: bytes, held: bytes, n: int) -> np.ndarray:
+        """The least that each query (row) gives each chunk (column) of a block."""
+        least, count = self.sums(words, bits, n, (0,))[0], self.n[:, None]
+        sure = self.rules[:, PROJECT_BONUS:] @ np.frombuffer(_large(rules), np.float32).reshape(-1, n)[PROJECT_BONUS:]
+        low = np.minimum(sure + 0.15 * 0.8 * least / count, 1)
+        if self.project.any():
+            low = np.where(self.project[:, None], np.minimum(sure + 0.1 * 0.6 * least / count, 0.4), low)
+        return np.where(self.there(held), low, 0)
+
+    def highs(self, words: bytes, bits: bytes, rules: bytes, held: bytes, n: int) -> np.ndarray:
+        """The most that each query (row) gives each chunk (column) of a block."""
+        most, partial, lacking = self.sums(words, bits, n, (1, 2, 3))
         values = np.frombuffer(_large(rules), np.float32).reshape(-1, n)
         count, said, related = self.n[:, None], self.said[:, None], self.related[:, None]
-        sure, bonus = self.rules[:, PROJECT_BONUS:] @ values[PROJECT_BONUS:], self.bonus[:, None] + self.rules @ values
+        bonus = self.bonus[:, None] + self.rules @ values
         whole = lacking <= 2.5  # a text that holds the query has all its words but the first and last
-        low = np.minimum(sure + 0.15 * 0.8 * least / count, 1)
         high = np.minimum(bonus + 0.3 * whole + 0.25 * said + 0.15 * (0.8 * most + 0.2 * partial) / count + 0.05 * related, 1)
         if self.project.any():
             hits = np.minimum(bonus + 0.3 + 0.1 * (0.8 * most + 0.2 * partial) / count, 1)
             misses = np.minimum(bonus + 0.2 * whole + 0.2 * said + 0.1 * (0.6 * most + 0.15 * partial) / count + 0.03 * related, 0.4)
             high = np.where(self.project[:, None], np.where(values[None, HIT] > 0, hits, misses), high)
-            low = np.where(self.project[:, None], np.minimum(sure + 0.1 * 0.6 * least / count, 0.4), low)
-        there = np.frombuffer(held, bool)[None] & self.real[:, None]
-        return np.where(there, low, 0), np.where(there, high, 0)
+        return np.where(self.there(held), high, 0)
+
+    def there(self, held: bytes) -> np.ndarray:
+        return np.frombuffer(held, bool)[None] & self.real[:, None]
 
 
 def thresholds(index: DataFrame, asked: Broadcast, most: int) -> np.ndarray:
@@ -211,7 +220,7 @@ def thresholds(index: DataFrame, asked: Broadcast, most: int) -> np.ndarray:
         best = np.zeros((len(own.queries), 0), np.float32)
         for batch in it:
             for n, words, bits, rules, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best = np.concatenate([best, own.bounds(words, bits, rules, held, n)[0]], axis=1)
+                best = np.concatenate([best, own.lows(words, bits, rules, held, n)], axis=1)
                 best = -np.sort(-best, axis=1)[:, :most]
         q = np.repeat(np.arange(len(own.queries), dtype=np.int32), best.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best.ravel().astype(np.float32))], schema=schema)
@@ -265,7 +274,7 @@ class BlockIndex:
             seen = scored = 0
             for batch in it:
                 for n, words, bits, rules, there, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    high = own.bounds(words, bits, rules, there, n)[1]
+                    high = own.highs(words, bits, rules, there, n)
                     wanted = high >= least[:, None] - SLACK
                     if not wanted.any():
                         seen += n

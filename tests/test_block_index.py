@@ -32,7 +32,7 @@ def test_bounds_hold_for_every_pair():
     for part in range(4):
         texts = [made(1000 + 64 * part + k, 25) for k in range(50)] + queries[part * 10 : part * 10 + 10] + ["", None]
         n, words, bits, rules, held, _ = block(texts)
-        low, high = asked.bounds(words, bits, rules, held, n)
+        low, high = asked.lows(words, bits, rules, held, n), asked.highs(words, bits, rules, held, n)
         for q, query in enumerate(queries):
             for c, text in enumerate(texts):
                 score = scoring.relevance_of(query, text) if text is not None else 0.0
