@@ -754,8 +754,8 @@ def source_readers(spark, sf_dir):
 
 @query("SELECT doc_id AS id, CAST(len(regexp_split_to_array(text, '\\s+')) AS INTEGER) AS words FROM documents WHERE doc_id % 9 <> 0 AND trim(text) <> ''")
 def settled_sources(spark, sf_dir):
-    usable, _ = files.settled(documents(spark, sf_dir).select("id", F.col("content").alias("raw")), F.col("raw"), F.when(F.col("id") % 9 == 0, "unreadable"))
-    return usable.select("id", files.word_count(F.col("content")).alias("words"))
+    usable, failed = files.settled(documents(spark, sf_dir).select("id", F.col("content").alias("raw")), F.col("raw"), F.when(F.col("id") % 9 == 0, "unreadable"))
+    return files.checked(usable, failed).select("id", files.word_count(F.col("content")).alias("words"))
 
 
 @query("SELECT item_id, trim(text) AS text FROM benchmark")
@@ -917,6 +917,18 @@ def suspicious_words(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.is_suspicious(word).alias("suspicious"), text.normalized_word(word).alias("plain"))
 
 
+_LATIN = "a-zA-ZÀ-ſ"
+_BARE_TOKEN = "regexp_replace(token, '^[^\\wÀ-ſ]+|[^\\wÀ-ſ]+$', '', 'g')"
+_SUSPECT = f"[{_LATIN}]\\s*\\([^)]*\\)\\s*[{_LATIN}]|[{_LATIN}]\\s+[{_LATIN}]|[{_LATIN}][^\\wÀ-ſ]+[{_LATIN}]|^[a-zà-ſ][A-ZÀ-ſ]"
+
+
+@query(f"WITH t AS (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS token FROM documents) SELECT token, length({_BARE_TOKEN}) >= 2 AND regexp_matches({_BARE_TOKEN}, '{_SUSPECT}') AS suspicious, regexp_replace(lower(token), '[^\\wÀ-ſ]', '', 'g') AS plain FROM t")
+def suspicious_tokens(spark, sf_dir):
+    """Every distinct word of the documents."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("token")).distinct()
+    return tokens.select("token", text.is_suspicious(F.col("token")).alias("suspicious"), text.normalized_word(F.col("token")).alias("plain"))
+
+
 _ASCII_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark"
 
 
