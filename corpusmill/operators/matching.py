@@ -19,16 +19,40 @@ _ODD_ASCII = re.compile(r"[a-zà-ſ][A-ZÀ-Þ]")
 _MARKS = re.compile(r"[^A-Za-z0-9_À-ſ]")
 
 
+SHORT = 16  #: characters of an entry that is found by deletions; longer ones are found by their parts
+
+
+def shortened(word: str, most: int) -> set[str]:
+    """deletions() of one word."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        out = out | last
+    return out
+
+
+@lru_cache(8)
+def neighbourhood(dictionary: tuple[str, ...], most: int) -> tuple[list[str], dict[str, list[int]], list[int]]:
+    """A dictionary's words without marks, the places of those of up to SHORT characters by what deletions leave of them, and
+    the places of the longer ones."""
+    plain = [_MARKS.sub("", entry.lower()) for entry in dictionary]
+    by_rest: dict[str, list[int]] = {}
+    for k, w in enumerate(plain):
+        if len(w) <= SHORT:
+            for rest in shortened(w, most):
+                by_rest.setdefault(rest, []).append(k)
+    return plain, by_rest, [k for k, w in enumerate(plain) if len(w) > SHORT]
+
+
 @lru_cache(20_000)
 def nearest(word: str, dictionary: tuple[str, ...], most: int = 2) -> str | None:
-    """The first dictionary word at the least edit distance, up to `most`."""
+    """The first dictionary word at the least edit distance, up to `most`. Words meet on what deletions leave of both."""
     plain = _MARKS.sub("", word.lower())
-    best, least = None, most + 1
-    for entry in dictionary:
-        other = _MARKS.sub("", entry.lower())
-        if abs(len(other) - len(plain)) < least and (d := edit_distance(plain, other)) < least:
-            best, least = entry, d
-    return best
+    entries, by_rest, long = neighbourhood(dictionary, most)
+    near = {k for rest in shortened(plain, most) for k in by_rest.get(rest, ())} if len(plain) <= SHORT + most else set()
+    near.update(k for k in long if abs(len(entries[k]) - len(plain)) <= most)
+    least, k = min(((edit_distance(plain, entries[k]), k) for k in near), default=(most + 1, -1))
+    return dictionary[k] if least <= most else None
 
 
 def corrected(text: str, dictionary: tuple[str, ...] = OCR_WORDS, accents: bool = True) -> str:
@@ -52,9 +76,6 @@ def ocr_corrected(text: Column, dictionary: tuple[str, ...] = OCR_WORDS, accents
     return run(text)
 
 
-SHORT = 16  #: characters of an entry that is found by deletions; longer ones are found by their parts
-
-
 def deletions(word: Column, most: int) -> Column:
     """A word and all that is left of it after up to `most` characters are deleted."""
     one = lambda w: F.transform(F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))

@@ -47,3 +47,17 @@ def test_a_word_in_all_names_gives_no_pairs(spark):
     assert [tuple(r) for r in found.collect()] == [("report", "q0 report.pdf")]
     got = {r.text_file: (r.pdf_file, r.strategy) for r in matching.pdf_matches(texts, pdfs).collect()}
     assert len(got) == n and set(got.values()) == {("q0 report.pdf", 2)}
+
+
+def test_nearest_equals_a_loop_over_the_dictionary():
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcé-") for _ in range(n))
+    dictionary = tuple(text(r.randrange(0, 8)) for _ in range(60)) + tuple(text(r.randrange(15, 24)) for _ in range(30))
+
+    def by_loop(word):
+        plain = lambda w: matching._MARKS.sub("", w.lower())
+        d, k = min((edit_distance(plain(word), plain(e)), k) for k, e in enumerate(dictionary))
+        return dictionary[k] if d <= 2 else None
+
+    words = [text(r.randrange(0, 9)) for _ in range(300)] + [e[:k] + "b" + e[k + 1 :] for e in dictionary[60:] for k in (0, 9)] + ["", "zzz"]
+    assert [matching.nearest(w, dictionary) for w in words] == [by_loop(w) for w in words]
