@@ -993,8 +993,8 @@ def classify_store(spark, sf_dir):
     own = _snapshots(spark, chunks=rows)
     size = rows.filter("subject is null").count() // 4 + 1
     turns = iter([False] * 4 + [True] * 9)
-    enrichment.classify_all(own, _labels, now(), size, stop=lambda: next(turns))
-    enrichment.classify_all(own, _labels, now(), size)
+    enrichment.classify_all(own, _labels, now(), size, stop=lambda: next(turns), keep=1)
+    enrichment.classify_all(own, _labels, now(), size, keep=1)
     dead = own.read("failed_classifications").select(F.col("chunk_id").alias("id"), F.col("retry_count").alias("retries"))
     return own.read("chunks").select("id", "subject").join(dead, "id", "left").withColumn("retries", F.coalesce("retries", F.lit(-1)))
 

@@ -44,11 +44,12 @@ def committed(own: SnapshotStore, results: DataFrame, now: Column, tries: int =
     raise AssertionError("unreachable")
 
 
-def classify_all(own: SnapshotStore, classify: Classify, now: Column, size: int = 3, subject: str | None = None, run: str = "classify", stop: Callable[[], bool] = lambda: False) -> dict[str, int]:
+def classify_all(own: SnapshotStore, classify: Classify, now: Column, size: int = 3, subject: str | None = None, run: str = "classify", stop: Callable[[], bool] = lambda: False, keep: int | None = None) -> dict[str, int]:
     """Pages of chunks without a subject (or with that one) in the order of their ids, until none is left or stop() says so.
 
     The store's ledger holds the last id of a run; a run of that name goes on behind it. Chunks that fail are passed by
-    and stay in dead letters. Returns classified, errors and batches of this call.
+    and stay in dead letters. With keep, only so many versions stay behind each batch, which no other writer may be at
+    work beside. Returns classified, errors and batches of this call.
     """
     out = {"classified": 0, "errors": 0, "batches": 0}
     while not stop():
@@ -59,6 +60,8 @@ def classify_all(own: SnapshotStore, classify: Classify, now: Column, size: int
         if n.n and not stop():
             committed(own, results, now, **{run: n.last})
             out = {"classified": out["classified"] + n.n - n.bad, "errors": out["errors"] + n.bad, "batches": out["batches"] + 1}
+            if keep is not None:
+                own.vacuum(keep)
         own.files.delete(path)
         if not n.n:
             break

@@ -38,7 +38,8 @@ def test_a_stopped_run_and_its_rest_equal_one_run(own):
     turns = iter([False, False, True])
     first = enrichment.classify_all(own, labels, now(), 4, stop=lambda: next(turns))
     assert first == {"classified": 3, "errors": 1, "batches": 1} and own.manifest(own.version())["ledger"] == {"classify": 4}
-    rest = enrichment.classify_all(own, labels, now(), 4)
+    rest = enrichment.classify_all(own, labels, now(), 4, keep=2)
+    assert own.versions() == [3, 4]
     assert rest["classified"] == 5 and rest["errors"] == 2 and state(own) == WANT
 
 
