@@ -676,7 +676,7 @@ def crawl_depths(spark, sf_dir):
 
 def _crawl_sql(depth: int, pages: int) -> str:
     """A level a step, in the order of a queue; the last level ends with the page at which the count is full."""
-    levels = ["e AS (SELECT page_id AS src, dst, pos, pos = 2 AS external FROM (SELECT page_id, unnest([2 * page_id + 1, page_id // 3, 2 * page_id + 2]) AS dst, unnest([0, 1, 2]) AS pos FROM pages)", "), l0 AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth, '' AS path, false AS external, true AS crawled, true AS counted, 1 AS n"]
+    levels = ["e AS (SELECT page_id AS src, dst, pos, pos = 2 AS external FROM (SELECT page_id, unnest([2 * page_id + 1, page_id // 3, 2 * page_id + 2]) AS dst, unnest([0, 1, 2]) AS pos FROM pages) UNION ALL SELECT -1, page_id, page_id, false FROM pages WHERE page_id % 10 = 0", "), l0 AS (SELECT CAST(-1 AS BIGINT) AS id, 0 AS depth, '' AS path, false AS external, true AS crawled, true AS counted, 1 AS n"]
     for d in range(1, depth + 1):
         met = " UNION ALL ".join(f"SELECT id FROM l{k}" for k in range(d))
         before = " + ".join(f"(SELECT count(*) FILTER (counted) FROM l{k})" for k in range(d))
@@ -688,15 +688,17 @@ def _crawl_sql(depth: int, pages: int) -> str:
     return "WITH " + "".join(levels) + ") SELECT CAST(id AS VARCHAR) AS url, depth, external, counted FROM (" + " UNION ALL ".join(f"SELECT id, depth, external, crawled, counted FROM l{k}" for k in range(depth + 1)) + ") WHERE crawled"
 
 
-@query(_crawl_sql(4, 14))
+@query(_crawl_sql(4, crawl.MAX_PAGES))
 def crawl_frontier(spark, sf_dir):
-    """Each page links to a later one, back to an earlier one, and to an external one; some are barred, some stored."""
+    """The start links to every tenth page, and each page to a later one, back to an earlier one, and to an external one; some are
+    barred, some stored."""
     i = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select(i)
     links = pages.select(i.cast("string").alias("src"), F.posexplode(F.array(2 * i + 1, F.floor(i / 3), 2 * i + 2)).alias("pos", "dst")).select("src", F.col("dst").cast("string").alias("dst"), "pos", (F.col("pos") == 2).alias("external"))
+    links = links.unionByName(pages.filter("page_id % 10 = 0").select(F.lit("-1").alias("src"), i.cast("string").alias("dst"), i.cast("int").alias("pos"), F.lit(False).alias("external")))
     ids = links.select(F.col("dst").alias("url")).distinct()
     of = lambda rule: ids.filter(F.expr(rule))
-    return crawl.crawl(links, "1", 4, 14, barred=of("cast(url as long) % 5 = 3"), stored=of("cast(url as long) % 7 = 0"))
+    return crawl.crawl(links, "-1", barred=of("cast(url as long) % 5 = 3"), stored=of("cast(url as long) % 7 = 0"))
 
 
 _ROBOTS = "concat('# rules\nUser-agent: *\nDisallow: ', CASE page_id % 3 WHEN 0 THEN '/' ELSE '/private' END, '\nCrawl-delay: ', cast(page_id % 5 as string), '\nUser-agent: Bot\nDisallow: /\n', CASE page_id % 2 WHEN 0 THEN 'Allow: /x' ELSE '' END)"
