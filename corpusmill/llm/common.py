@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,27 +11,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import shared_folder
+from corpusmill.session import shared_folder, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch, bytes of one, and rows of a batch that Parquet is read in, where rows hold whole texts.
-SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Batches of whole texts no larger than SMALL, unless the session asks for less: an executor holds several of them,
-    in and beside its heap. The settings are read when a plan runs, so they have to stay: a session that an operator
-    has used keeps them."""
-    for key, most in SMALL.items():
-        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower()).groups()
-        if not 0 < int(number) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit] <= most:
-            spark.conf.set(key, str(most))
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names, so that extra columns cannot clash."""
     small_batches(df.sparkSession)

@@ -196,3 +196,21 @@ def test_fuzzy_match_over_all_items(spark, sf):
     assert got == {k: (names[k], *matched(names[k], listing)) for k in ids}
     assert {x[2] for x in got.values()} == {1, 2, 3}
     assert got[1][1] == "report 12 FINAL.pdf"  # the first of those that contain report1
+
+
+def test_counts_of_hits_equal_all_pairs(spark):
+    """Null and empty texts and queries, words said twice, stop words alone, phrases at edges, and no row a pair on the way."""
+    texts = ["a red fox ran", "Red FOX, ran!", None, "", "...", "the red", "fox red fox ran on", "xred fox rany", "a b", "é red fox rané", "x a  b"]
+    asked = [(1, "red fox ran"), (2, "red red"), (3, None), (4, ""), (5, "a b"), (6, "le fox"), (7, "ran!"), (8, "le"), (9, "red, fox")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    words = scoring.words_column(retrieval.F.col("query"))
+    pairs = docs.crossJoin(queries).select("query_id", retrieval.F.coalesce(scoring.phrase_score(retrieval.F.col("query"), retrieval.F.col("text")) > 0, retrieval.F.lit(False)), scoring.word_hits(words, scoring.padded_words(retrieval.F.col("text"))), retrieval.F.col("query").isNull())
+    want = {}
+    for q, phrase, hits, null in pairs.collect():
+        key = (q, phrase, None if null else hits)
+        want[key] = want.get(key, 0) + 1
+    counts = retrieval.hit_counts(docs, queries)
+    assert {(r.query_id, r.phrase, r.hits): r.n for r in counts.collect()} == want and sum(want.values()) == len(texts) * len(asked)
+    plan = QUERIES["score_phrase_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
