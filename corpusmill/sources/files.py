@@ -45,8 +45,10 @@ def word_count(c: Column) -> Column:
 
 def pdf_texts(found: DataFrame, cache: DataFrame, extracted: DataFrame) -> DataFrame:
     """path, content, cached of found files (path, cache_key): the text that cache (cache_key, content) has under the key, else
-    the extracted pages (path, pages) as one text. A file without either has the empty text."""
-    both = found.select("path", "cache_key").join(cache.select("cache_key", F.col("content").alias("known")), "cache_key", "left").join(extracted.select("path", "pages"), "path", "left")
+    the extracted pages (path, pages) as one text. A file without either has the empty text. Where extracted says which state of a
+    path it has read (cache_key), it counts for that state alone."""
+    state = [c for c in ("path", "cache_key") if c in extracted.columns]
+    both = found.select("path", "cache_key").join(cache.select("cache_key", F.col("content").alias("known")), "cache_key", "left").join(extracted.select(*state, "pages"), state, "left")
     return both.select("path", F.coalesce("known", joined_pages(F.col("pages")), F.lit("")).alias("content"), F.col("known").isNotNull().alias("cached"))
 
 
