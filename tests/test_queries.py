@@ -232,3 +232,23 @@ def test_pages_that_share_an_address(spark, revisited, name):
     folder, c = revisited
     got, want = QUERIES[name](spark, folder).toPandas(), c.sql(SQL[name]).df()
     assert rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
+
+
+def test_pages_leave_no_memory_behind(spark):
+    """A tree of a page has no cycles, which only a collection would free, and pages come in small batches."""
+    import gc
+
+    page = "<body><article><h1>A</h1>" + "<p>paragraph of words <b>bold<li>item of some words</ul></p>" * 50
+    html.extracted(page, "http://a.b/", True)
+    gc.collect()
+    gc.disable()
+    try:
+        html.extracted(page, "http://a.b/", True)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    html.extract(retrieval.F.col("html"), retrieval.F.col("url"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
