@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import scoring as S
 from ..functions.text import is_non_content
+from ..session import small_batches
 from .retrieval import BEST, BEST_ARROW, BROADCAST_QUERIES, top_k
 
 BLOCK, BLOCK_BYTES = 64, 1 << 20  #: chunks of a block, at most as many as a word has bits; characters of its texts
@@ -45,6 +46,12 @@ _SCHEMA = pa.schema([("n", pa.int32()), ("words", pa.binary()), ("bits", pa.bina
 _CHUNK = pa.schema([("source", pa.string()), ("index", pa.int32()), ("text", pa.string()), ("pdf_url", pa.string())])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one by one; a batch is never turned into Python objects as a whole."""
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def _small(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -93,7 +100,7 @@ def built(chunks: DataFrame) -> DataFrame:
         def blocks() -> Iterator[tuple]:
             held, size = [], 0
             for batch in it:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in _rows(batch):
                     held.append(row)
                     size += len(row[2] or "")
                     if len(held) == BLOCK or size >= BLOCK_BYTES:
@@ -219,7 +226,7 @@ def thresholds(index: DataFrame, asked: Broadcast, most: int) -> np.ndarray:
         own: Asked = asked.value
         best = np.zeros((len(own.queries), 0), np.float32)
         for batch in it:
-            for n, words, bits, rules, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n, words, bits, rules, held in _rows(batch):
                 best = np.concatenate([best, own.lows(words, bits, rules, held, n)], axis=1)
                 best = -np.sort(-best, axis=1)[:, :most]
         q = np.repeat(np.arange(len(own.queries), dtype=np.int32), best.shape[1])
@@ -245,6 +252,8 @@ class BlockIndex:
         return cls(chunks.sparkSession, path)
 
     def frame(self) -> DataFrame:
+        """The blocks. A worker takes them in small batches, as a block holds its chunks."""
+        small_batches(self.spark)
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def best_of(self, queries: DataFrame, k: int, counter=None, plain: bool = False) -> DataFrame:
@@ -273,7 +282,7 @@ class BlockIndex:
             held: list[list[tuple]] = [[] for _ in own.queries]
             seen = scored = 0
             for batch in it:
-                for n, words, bits, rules, there, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for n, words, bits, rules, there, payload in _rows(batch):
                     high = own.highs(words, bits, rules, there, n)
                     wanted = high >= least[:, None] - SLACK
                     if not wanted.any():

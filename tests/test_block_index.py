@@ -100,3 +100,15 @@ def test_sums_of_words_that_repeat_in_a_query():
     least, most, partial, lacking = asked.sums(words, bits, n)
     assert np.allclose(least, [[2, 1, 0], [0, 1, 0]]) and np.allclose(most, least)
     assert np.allclose(partial, [[0.5, 1.0, 1.5], [0.5, 0, 0.5]]) and np.allclose(lacking, [[1, 1, 2], [1, 0, 1]])
+
+
+def test_blocks_come_in_small_batches(spark, tmp_path):
+    """A block holds its chunks, so a batch of them may not grow with the index."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    rows = spark.createDataFrame([("a", 1, "zebra crossing", None)], "source string, index int, text string, pdf_url string")
+    index = block_index.BlockIndex.build(rows, str(tmp_path / "index"))
+    index.frame()
+    assert int(spark.conf.get(key)) <= 500
+    spark.conf.set(key, before)

@@ -40,3 +40,12 @@ def test_scores_are_the_same_with_what_was_counted_before():
     counted = len(distance._known)
     scoring.words_of.cache_clear()
     assert [scoring.relevance_of(q, t) for q, t in pairs] == plain and len(distance._known) == counted > 100
+
+
+def test_what_is_asked_for_stays_when_the_rest_is_forgotten(monkeypatch):
+    """Distances that an earlier call counted are there after a clearing too, and few are kept."""
+    monkeypatch.setattr(distance, "_known", {})
+    monkeypatch.setattr(distance, "KEPT", 4)
+    distance.remember(["aab"], ["aac", "aad"], 0.5)
+    distance.remember(["aab", "bbc"], ["aac", "aad", "bbd", "bbe", "bbf"], 0.5)
+    assert distance._known == {("aab", "aac"): 1, ("aab", "aad"): 1, ("bbc", "bbd"): 1, ("bbc", "bbe"): 1, ("bbc", "bbf"): 1}
