@@ -77,10 +77,16 @@ def with_general(subjects: Column) -> Column:
 
 
 def keyword_subjects(query: Column) -> Column:
-    """Up to three subjects by keyword; [general, other] without any."""
-    low = F.lower(query)
-    hits = F.array_compact(F.array(*(F.when(low.rlike(f"(?iu){AB}(?:{words}){AB}"), subject) for subject, words in L.SUBJECT_WORDS)))
-    return F.when(F.size(hits) == 0, F.array(F.lit("general"), F.lit("other"))).otherwise(with_general(hits))
+    """Up to three subjects by keyword; [general, other] without any. A pattern is only tried on texts that hold one of its words as a
+    string, or a letter that lower case does not bring to that of a word but that patterns without case take for it. The lambdas
+    make the text in lower case and the hits once."""
+
+    def hits(low: Column) -> Column:
+        tried = lambda words: any_of(low, tuple(words.split("|"))) | any_of(low, tuple("ſıİK"))
+        return F.array_compact(F.array(*(F.when(tried(words) & low.rlike(f"(?iu){AB}(?:{words}){AB}"), subject) for subject, words in L.SUBJECT_WORDS)))
+
+    named = lambda found: F.when(F.size(found) == 0, F.array(F.lit("general"), F.lit("other"))).otherwise(with_general(found))
+    return F.element_at(F.transform(F.transform(F.array(F.lower(query)), hits), named), 1)
 
 
 def needs_translation(query: Column) -> Column:

@@ -148,3 +148,25 @@ def test_contains_join(spark):
     df = lambda col: spark.createDataFrame([(k, n) for k, n in enumerate(names)], f"{col} int, part string")
     got = {(x.i, x.j) for x in matching.contains(df("i"), df("j")).collect()}
     assert got == {(i, j) for (i, a), (j, b) in itertools.product(enumerate(names), repeat=2) if b in a}
+
+
+def test_keyword_subjects_are_those_of_the_plain_patterns(spark):
+    """Words at edges, within others and in odd letters; texts without any word take no pattern, so they are quick."""
+    import time
+
+    from corpusmill.functions import lexicon as L
+
+    words = [w for _, ws in L.SUBJECT_WORDS for w in ws.split("|")]
+    texts = [None, "", "ſport", "ın ſtaff", "polıcies", "K", "İnscription", "WHO IS", "é"] + [t for w in words for t in (w, w.upper(), f"x{w}", f"{w}_", f"({w}) date", f"é{w}é", w.replace("s", "ſ").replace("i", "ı"))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    hits = lambda: F.array_compact(F.array(*(F.when(F.lower("t").rlike(f"(?iu){text.AB}(?:{ws}){text.AB}"), s) for s, ws in L.SUBJECT_WORDS)))
+    plain = F.when(F.size(hits()) == 0, F.array(F.lit("general"), F.lit("other"))).otherwise(text.with_general(hits()))
+    assert [tuple(r) for r in df.select("t", plain.alias("a"), text.keyword_subjects(F.col("t")).alias("b")).collect() if r.a != r.b] == []
+    many = spark.range(20_000).select(F.concat(F.lit("lorem ipsum dolor oblong " * 12), F.col("id").cast("string")).alias("t")).localCheckpoint()
+
+    def took(c):
+        start = time.perf_counter()
+        many.select(c.alias("x")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    assert min(took(text.keyword_subjects(F.col("t"))) for _ in range(3)) < 0.5 * min(took(F.size(hits())) for _ in range(3))
