@@ -39,6 +39,7 @@ LONG = 64  #: classes beyond which a token's list is split by sizes
 SPLIT = 256  #: members beyond which a part of a split list is combined with another
 PARITY = 8  #: words of 64 bits of a parity signature
 FINE, FINE_FROM = 64, 1000  #: words of the finer signature, and the set size from which on it is kept
+EARLIER = 8  #: tokens before it that a member of a list names, so that two members skip all lists but the first they share
 BROADCAST = 1_000_000  #: rows of two ids up to which a side is broadcast; beyond, a shuffle join
 
 
@@ -193,11 +194,14 @@ def open_lists(listed: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, more: Column, least: int) -> DataFrame:
-    """(a, b) of members (key, cls, n, label, place, own, signature) of one list in different components that the bounds let link."""
-    kept = lambda x: ["key", F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "place", *BITS))]
+    """(a, b) of members (key, cls, n, label, place, own, earlier, signature) of one list in different components that the bounds let link.
+
+    Two members with one of their earlier tokens in common meet in its list as well, at lower places, and are left to that one.
+    """
+    kept = lambda x: ["key", F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "place", "earlier", *BITS))]
     one, two = members.filter("own").select(*kept("a")), members.select(*kept("b")).withColumnRenamed("key", "key_b")
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    return one.join(two, (F.col("key") == F.col("key_b")) & ordered & (F.col("label_a") != F.col("label_b")) & may_link("n_a", "n_b", least) & more & difference_allows(bits_differ(), least)).select("a", "b")
+    return one.join(two, (F.col("key") == F.col("key_b")) & ordered & (F.col("label_a") != F.col("label_b")) & may_link("n_a", "n_b", least) & more & difference_allows(bits_differ(), least) & ~F.arrays_overlap("earlier_a", "earlier_b")).select("a", "b")
 
 
 def rest(opened: DataFrame, classes: DataFrame, least: int, keep: Scratch) -> DataFrame:
@@ -206,7 +210,8 @@ def rest(opened: DataFrame, classes: DataFrame, least: int, keep: Scratch) -> Da
     before = Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keep.written(opened.withColumn("frequent", F.col("m") > LONG).withColumn("place", F.col("pos") - F.coalesce(F.sum(F.col("frequent").cast("int")).over(before), F.lit(0))))
     signatures = classes.select("cls", *BITS)
-    alone = ranked.filter("not frequent").select("key", "cls", "n", "label", "place").join(signatures, "cls").withColumn("own", F.lit(True))
+    last = Window.partitionBy("cls").orderBy("pos").rowsBetween(-EARLIER, -1)
+    alone = ranked.filter("not frequent").select("key", "cls", "n", "label", "place", F.collect_list("key").over(last).alias("earlier")).join(signatures, "cls").withColumn("own", F.lit(True))
     first_shared = difference_allows(F.col("place_a") + F.col("place_b"), least)  # tokens before the first shared rare one are in one set only
     pairs = apart(alone, first_shared, least)
 
@@ -216,12 +221,15 @@ def rest(opened: DataFrame, classes: DataFrame, least: int, keep: Scratch) -> Da
     by_size = ranked.filter("frequent").select(F.col("key").alias("token"), "cls", "n", "label", "pos", "place", both).select("*", "c.*").drop("c").withColumn("key", F.xxhash64("token", "size"))
     lists = by_size.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key", "m")
     by_size = keep.written(by_size.join(lists, "key"), "by-size")
-    pairs = pairs.union(apart(by_size.filter(F.col("m") <= SPLIT).join(signatures, "cls"), first_shared, least))
+    last = Window.partitionBy("cls", "size").orderBy("pos").rowsBetween(-EARLIER, -1)
+    short = by_size.filter(F.col("m") <= SPLIT).withColumn("earlier", F.collect_list("key").over(last))
+    pairs = pairs.union(apart(short.join(signatures, "cls"), first_shared, least))
 
     # without a token of the other kinds in common, all tokens before the second shared one, but the first, are in one set only
     tokens = by_size.filter(F.col("m") > SPLIT).groupBy("cls", "n", "label", "size", "own").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("tokens"))  # at most a prefix
-    two = tokens.select("*", F.posexplode("tokens").alias("i", "one")).select("cls", "n", "label", "size", "own", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("two"))
-    combined = keep.written(two.select(F.xxhash64("one.token", "two.token", "size").alias("key"), "cls", "n", "label", (F.col("two.pos") - 1).alias("place"), "own"), "combined")
+    two = tokens.select("*", F.posexplode("tokens").alias("i", "one")).select("*", F.expr("posexplode(slice(tokens, i + 2, size(tokens)))").alias("j", "two"))
+    earlier = F.expr(f"array_remove(slice(tokens.token, greatest(i + j + 1 - {EARLIER}, 0) + 1, least(i + j + 1, {EARLIER})), one.token)")  # with any of them, the first of the two makes a lower pair of tokens
+    combined = keep.written(two.select(F.xxhash64("one.token", "two.token", "size").alias("key"), "cls", "n", "label", (F.col("two.pos") - 1).alias("place"), "own", earlier.alias("earlier")), "combined")
     differ = combined.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key")
     return pairs.union(apart(combined.join(differ, "key").join(signatures, "cls"), first_shared, least)).distinct()
 

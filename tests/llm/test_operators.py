@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import audio_columns, components, decontaminate, jaccard_join, language_id, pii, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, weak_quality, windows
+from corpusmill.llm.common import Scratch
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, cls string, spans string"
@@ -672,3 +673,25 @@ def test_long_texts(spark, long_texts):
     assert hits == {k: sum(w in toxicity.SEED for w in t.split()) for k, t in long_texts}
     quality = weak_quality.Model(weak_quality.estimated(np.zeros((0, len(weak_quality.LABELLERS)), int), np.zeros(0)), weak_quality.Scorer(np.zeros(weak_quality.BUCKETS, np.float32), 0.0, np.ones(weak_quality.BUCKETS, np.float32)))
     assert {r.doc_id: len(r.votes) for r in weak_quality.score(docs, quality).collect()} == {k: sum(v != weak_quality.NONE for v in weak_quality.votes_of(weak_quality.measured(t.encode())[0])) for k, t in long_texts}
+
+
+@pytest.mark.parametrize("kind", ["alone", "by size", "pairs of tokens"])
+def test_open_lists_give_a_pair_once(spark, monkeypatch, kind):
+    """Members of many lists in common meet in the first of them alone, and no pair that shares a list is lost."""
+    rng, n_classes, n_tokens = random.Random(5), 14, 40
+    held = {c: [t for t in range(n_tokens) if rng.random() < (0.85 if c < 10 else 0.15)] for c in range(n_classes)}
+    m = 2 if kind == "alone" else jaccard_join.LONG + 1
+    opened = spark.createDataFrame([(t * 7919, c, 10_000, pos, m, c) for c, own in held.items() for pos, t in enumerate(own)], "key long, cls long, n int, pos int, m long, label long")
+    classes = spark.createDataFrame([(c, *[0] * jaccard_join.PARITY) for c in held], f"cls long, {', '.join(f'{p} long' for p in jaccard_join.BITS)}")
+    least = 2 if kind == "pairs of tokens" else 1
+    if kind == "pairs of tokens":
+        monkeypatch.setattr(jaccard_join, "SPLIT", 1)
+    want = {(a, b) for a in held for b in held if a < b and len(set(held[a]) & set(held[b])) >= least}
+    made, apart = [], jaccard_join.apart
+    monkeypatch.setattr(jaccard_join, "apart", lambda *args: made.append(apart(*args)) or made[-1])
+    keep = Scratch(spark)
+    got = [(r.a, r.b) for r in jaccard_join.rest(opened, classes, 80, keep).collect()]
+    rows = sum(x.count() for x in made)
+    keep.close()
+    assert len(got) == len(set(got)) and set(got) == want
+    assert rows <= 3 * len(want)  # one where the members are dense, over 20 where lists were not left to the first
