@@ -41,13 +41,13 @@ def word_starts(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
     ends = np.r_[runs[1:], n]
     start = np.zeros(n + 3, bool)
     start[runs] = True
-    before_text = (kind[runs] == SPACE) & (np.r_[kind, BETWEEN][ends] < SPACE)
+    before_text = (kind[runs] == SPACE) & (np.append(kind[runs[1:]], np.uint8(BETWEEN)) < SPACE)
     last = ends[before_text] - 1
     start[last] = True
     start[last[points[last] == 32] + 1] = False
-    padded = np.r_[points, 0, 0, 0]
-    at = np.flatnonzero((points == 39) & start[:n])
-    one, two = padded[at + 1], padded[at + 2]
+    at = np.flatnonzero(points == 39)
+    at = at[start[at]]
+    one, two = (np.where(at + k < n, points[np.minimum(at + k, n - 1)], 0) for k in (1, 2))
     short = np.isin(one, [*map(ord, "stmd")])
     long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
     start[at[short | long] + 1] = False
@@ -169,7 +169,7 @@ class Codec:
         starts, ends = starts[ours], ends[ours]
         first = np.searchsorted(starts, np.r_[0, after])
         if len(data) > len(points):
-            byte = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]
+            byte = np.r_[np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data)]  # where each character starts
             starts, ends = byte[starts], byte[ends]
         entries = self.numbers(data, starts, ends)
         sizes = self.sizes[entries]

@@ -37,7 +37,26 @@ def codec(path: str) -> Codec:
 
 
 def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, in order, and how often; np.unique takes several times as long for so few."""
+    ids = np.sort(ids)
+    new = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    count = np.full(len(first), len(ids))
+    count[:-1] = first[1:]
+    return ids[first], count - first
+
+
+def heaviest(ids: np.ndarray, weight: np.ndarray, most: int) -> list[int]:
+    """The ids that weigh most, of equal ones the smallest first."""
+    if len(ids) > most:
+        some = np.flatnonzero(weight >= np.partition(weight, len(ids) - most)[len(ids) - most])
+        ids, weight = ids[some], weight[some]
+    return ids[np.lexsort((ids, -weight))[:most]].tolist()
 
 
 def tokenised(documents: DataFrame, path: str, end: int = 0, window: int = WINDOW) -> DataFrame:
@@ -52,7 +71,7 @@ def tokenised(documents: DataFrame, path: str, end: int = 0, window: int = WINDO
             n, crcs, held = 0, [], np.zeros(0, np.uint32)
             for part in parts:
                 n += len(part)
-                held = np.concatenate([held, part])
+                held = np.concatenate([held, part]) if len(held) else part
                 full = len(held) // window
                 crcs += [crc(held[k * window : (k + 1) * window]) for k in range(full)]
                 held = held[full * window :]
@@ -62,7 +81,7 @@ def tokenised(documents: DataFrame, path: str, end: int = 0, window: int = WINDO
             for held in chunks(it, SEGMENT):
                 short = [(doc, text or "") for doc, text in held if len(text or "") <= SEGMENT]
                 for (doc, _), ids in zip(short, own.encode([t for _, t in short]), strict=True):
-                    yield row(doc, iter([ids, last]))
+                    yield row(doc, iter([np.concatenate([ids, last])]))
                 for doc, text in ((doc, text) for doc, text in held if len(text or "") > SEGMENT):
                     yield row(doc, (x for part in (own.long(text), [last]) for x in part))
 
@@ -79,7 +98,7 @@ def frequencies(rests: DataFrame) -> tuple[np.ndarray, int, float]:
         seen, count, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in it:
             for data in batch.column(0):
-                ids = np.unique(own := unpacked(data.as_py(), np.uint32))
+                ids, _ = distinct(own := unpacked(data.as_py(), np.uint32))
                 count, total = count + (len(own) > 0), total + len(own)
                 if len(ids) and ids[-1] >= len(seen):
                     seen = np.r_[seen, np.zeros(int(ids[-1]) + 1 - len(seen), np.int64)]
@@ -107,9 +126,8 @@ def keyed(rests: DataFrame, idf: np.ndarray, terms: int = 3) -> DataFrame:
         for batch in it:
             keys = []
             for data in batch.column("rest"):
-                ids, tf = np.unique(unpacked(data.as_py(), np.uint32), return_counts=True)
-                weight = shared.value[ids] * tf / (tf + K1)
-                keys.append([int(ids[k]) for k in np.lexsort((ids, -weight))[:terms]])
+                ids, tf = distinct(unpacked(data.as_py(), np.uint32))
+                keys.append(heaviest(ids, shared.value[ids] * tf / (tf + K1), terms))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int32()))], names=[*batch.schema.names, "key"])
 
     return rests.mapInArrow(run, f"{REST}, uid long, key array<int>")
@@ -126,20 +144,33 @@ class Index:
         term, doc = pairs >> 32, pairs & 0xFFFFFFFF
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1e-9)))
         some = weight > 0
-        term, self.doc, self.weight = term[some], doc[some], weight[some]
-        edge = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-        self.first, self.count = edge, np.diff(np.r_[edge, len(term)])
-        numbers = np.repeat(np.arange(len(edge)), self.count)
-        order = np.argsort(self.doc, kind="stable")  # the terms of each rest
-        self.terms, self.from_ = numbers[order], np.searchsorted(self.doc[order], np.arange(self.size + 1))
+        term, doc, weight = term[some], doc[some], weight[some]
+        self.number = np.cumsum(np.r_[False, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)  # of the term
+        self.n_terms = int(self.number[-1]) + 1 if len(term) else 0
+        order = np.argsort(doc, kind="stable")  # the terms of each rest
+        self.terms, self.from_ = self.number[order], np.searchsorted(doc[order], np.arange(self.size + 1))
+        self.listed(doc, weight)
+
+    def listed(self, doc: np.ndarray, weight: np.ndarray) -> None:
+        """Each term's list of rests and weights."""
+        self.doc, self.weight = doc, weight
+        self.count = np.bincount(self.number, minlength=self.n_terms)
+        self.first = np.cumsum(self.count) - self.count
+
+    def forget(self, used: np.ndarray) -> None:
+        """Leaves rests that are used up out of the lists; the others' scores stay."""
+        some = ~used[self.doc]
+        self.number = self.number[some]
+        self.listed(self.doc[some], self.weight[some])
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of all rests, for the terms of the seed's."""
+        """Of all rests in the lists, for the terms of the seed's."""
         terms = self.terms[self.from_[seed] : self.from_[seed + 1]]
-        count = self.count[terms]
-        before = np.cumsum(count)
-        at = np.repeat(self.first[terms] - before + count, count) + np.arange(before[-1] if len(before) else 0)
-        return np.bincount(self.doc[at], self.weight[at], self.size)
+        if not len(terms):
+            return np.zeros(self.size)
+        first, end = self.first[terms].tolist(), (self.first[terms] + self.count[terms]).tolist()
+        own = list(map(slice, first, end))
+        return np.bincount(np.concatenate([self.doc[s] for s in own]), np.concatenate([self.weight[s] for s in own]), self.size)
 
 
 def windows(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -148,6 +179,7 @@ def windows(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int =
     index = Index(rests, idf, mean)
     left = np.fromiter(map(len, rests), np.int64, len(rests))
     done = np.zeros_like(left)
+    listed = len(rests)
     for seed in range(len(rests)):
         while left[seed]:
             out, space = [], window
@@ -156,8 +188,12 @@ def windows(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int =
             while space:
                 doc = next(ranked, None)
                 if doc is None and neighbours is None:  # the seed is in; now its neighbours
-                    neighbours = np.argsort(-index.scores(seed), kind="stable")
-                    ranked = iter(neighbours[left[neighbours] > 0].tolist())
+                    unused = np.flatnonzero(left)
+                    if 2 * len(unused) <= listed:
+                        index.forget(left == 0)
+                        listed = len(unused)
+                    neighbours = unused[np.argsort(-index.scores(seed)[unused], kind="stable")]
+                    ranked = iter(neighbours.tolist())
                     continue
                 if doc is None:
                     break

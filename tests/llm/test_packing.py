@@ -150,3 +150,27 @@ def test_neighbours_share_words(spark):
     for p in pieces:
         kinds[p.sequence_id][p.doc_id % 2] += p.length
     assert sum(max(c.values()) for c in kinds.values()) > 0.9 * sum(sum(c.values()) for c in kinds.values())
+
+
+def test_rests_that_are_used_up_leave_the_lists():
+    """Scores of the others stay as they were, and a window asks shorter lists."""
+    rng = np.random.default_rng(3)
+    rests = [rng.integers(0, 300, n).astype(np.uint32) for n in rng.integers(0, 400, 60)]
+    index = packing.Index(rests, np.linspace(0, 5, 300), 200.0)
+    used = rng.random(60) < 0.6
+    before, size = [index.scores(k) for k in range(60)], len(index.doc)
+    index.forget(used)
+    assert len(index.doc) < 0.6 * size
+    for k in range(60):
+        assert (index.scores(k)[~used] == before[k][~used]).all() and not index.scores(k)[used].any()
+
+
+def test_distinct_ids_and_heaviest():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 4, 50, 1000):
+        ids = rng.integers(0, 200, n).astype(np.uint32)
+        own, count = packing.distinct(ids)
+        want = np.unique(ids, return_counts=True)
+        assert (own == want[0]).all() and (count == want[1]).all()
+        weight = rng.integers(0, 5, len(own)) / 4
+        assert packing.heaviest(own, weight, 3) == [int(own[k]) for k in np.lexsort((own, -weight))[:3]]
