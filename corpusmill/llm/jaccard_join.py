@@ -3,16 +3,17 @@
 Equal sets are one class. Tokens are ordered by how many sets hold them, rarest first, as counted over all documents
 in a table of COUNTERS; the order only affects speed. In it, two sets that link share at least two tokens among their
 first |x| - ceil(t |x|) + 2, t the least similarity of a link: the extended prefix. A prefix token that one class alone
-has goes at once. Rare tokens are indexed alone, those with long lists by classes of sizes, and frequent ones, whose lists
-are long and open within a class of sizes, in combination with another frequent one: a pair that shares no token with a
-shorter list shares two frequent ones.
-
-A list does not give all its pairs. First each class meets the hubs that most of its lists name: the classes whose
-prefixes are commonest (edited copies surround them) and the smallest. Verified links form components; then the class
-with most links is the hub of each list that is still open, one whose members are in different components. Only what
-is left open gives pairs of members of different components, where bounds allow a link: on sizes; on the places of
-the token (what comes before the first shared one differs); and on parity signatures (a token in one set only turns
-one bit). Links inside a component are implied. Every link is verified on the whole sets.
+has goes at once. The short list of a rare token gives its pairs where it is gathered, and each pair is kept once, however
+many lists it is in. Tokens with long lists are indexed by classes of sizes, and those whose lists are long within a class
+of sizes in combination with another: a pair that shares no token with a shorter list shares two frequent ones.
+
+A pair has to be allowed by sizes; by the places of the token (what comes before the first shared one differs); and by
+parity signatures (a token in one set only turns one bit). Not all pairs that may link are verified. First each class
+meets the two of its pairs that are in most pairs, and of its long lists the hubs that most of them name: the classes
+whose prefixes are commonest (edited copies surround them) and the smallest. Verified links form components; then
+pairs of short lists in different components are verified, and the class with most links is the hub of each long list
+that is still open, one whose members are in different components. Only what is left open gives pairs of members of
+different components. Links inside a component are implied. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ LEAST, DENOMINATOR = 90, 100  #: similarity from which on two sets link, unless
 COUNTERS = 1 << 22  #: of the order of tokens; a token's counter is an upper bound of its count
 PARTS = 1024  #: pieces in which the counters travel
 HOT = 4096  #: sets, or four times the mean counter if that is more, from which on a token's list is never gathered in one place
-LONG = 64  #: classes beyond which a token's list is split by sizes
-SPLIT = 256  #: members beyond which a part of a split list is combined with another
+LONG = 64  #: classes up to which a token's list gives its pairs at once; a longer one is split by sizes
+SPLIT = 1024  #: members beyond which a part of a split list is combined with another
 PARITY = 8  #: words of 64 bits of a parity signature
 FINE, FINE_FROM = 64, 1000  #: words of the finer signature, and the set size from which on it is kept
 EARLIER = 8  #: tokens before it that a member of a list names, so that two members skip all lists but the first they share
@@ -160,21 +161,47 @@ def signed(classes: DataFrame, x: str) -> DataFrame:
     return classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(p).alias(f"{p}_{x}") for p in BITS))
 
 
-def keyed(made: DataFrame) -> DataFrame:
-    """(key, cls, n, pos, m, hi, lo): prefix tokens that two classes or more share, with the length of their list and its
-    hubs, the class of the commonest prefix and the smallest one.
+def keyed(made: DataFrame, least: int) -> DataFrame:
+    """(key, cls, n, pos, others): prefix tokens that two classes or more may share. others: in a short list the classes before
+    it, by size, that sizes and places allow a link; null in lists that are long or hot.
 
-    The list of a token that is not hot is gathered by its key, since its counter bounds it; hot ones are summed up first.
+    The list of a token that is not hot is gathered by its key, since its counter bounds it. A member may share one token
+    before this one, of a long list; a pair that shares two of long lists meets there.
     """
-    posts = made.filter("keys is not null").select("cls", "n", "cold", "weight", F.posexplode("keys").alias("pos", "key"))
-    hi, lo = F.struct("weight", "n", "cls"), F.struct("n", "cls")
+    posts = made.filter("keys is not null").select("cls", "n", "cold", F.posexplode("keys").alias("pos", "key"))
     by_key = Window.partitionBy("key")
     cold = posts.filter("pos < cold").withColumn("before", F.lag("cls").over(by_key.orderBy("cls"))).filter("before is null or before <> cls")
-    cold = cold.withColumns({"m": F.count("*").over(by_key), "hi": F.max(hi).over(by_key), "lo": F.min(lo).over(by_key)})
-    hot = posts.filter("pos >= cold").dropDuplicates(["key", "cls"])
-    ends = hot.groupBy("key").agg(F.count("*").alias("m"), F.max(hi).alias("hi"), F.min(lo).alias("lo"))
-    columns = ["key", "cls", "n", "pos", "m", F.struct("hi.n", "hi.cls").alias("hi"), "lo"]
-    return cold.filter("m > 1").select(*columns).unionByName(hot.join(ends.filter("m > 1"), "key").select(*columns))
+    cold = cold.withColumn("m", F.count("*").over(by_key)).filter("m > 1")
+    smaller = F.collect_list(F.struct("cls", "n", "pos")).over(by_key.orderBy("n", "cls").rowsBetween(-LONG, -1))  # all, where the list is short
+    allows = lambda o: (DENOMINATOR * o["n"] >= least * F.col("n")) & ((least + DENOMINATOR) * (o["pos"] + F.col("pos") - 2) <= (DENOMINATOR - least) * (o["n"] + F.col("n")))
+    others = F.transform(F.filter("smaller", allows), lambda o: o["cls"])
+    cold = cold.withColumn("smaller", smaller).select("key", "cls", "n", "pos", F.when(F.col("m") <= LONG, others).alias("others"))
+    hot = posts.filter("pos >= cold").dropDuplicates(["key", "cls"]).select("key", "cls", "n", "pos", F.lit(None).cast("array<bigint>").alias("others"))
+    return cold.filter("others is null or size(others) > 0").unionByName(hot)
+
+
+def long_lists(listed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, cls, n, pos, m, hi, lo): members of lists that are long or hot, with the length of the list and its hubs, the class
+    of the commonest prefix and the smallest one."""
+    members = listed.filter("others is null").select("key", "cls", "n", "pos").join(classes.select("cls", "weight"), "cls")
+    ends = members.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("weight", "n", "cls")).alias("hi"), F.min(F.struct("n", "cls")).alias("lo"))
+    return members.join(ends.filter("m > 1"), "key").select("key", "cls", "n", "pos", "m", F.struct("hi.n", "hi.cls").alias("hi"), "lo")
+
+
+def nearest_hubs(near: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those of each class with the two classes that are in more pairs than it, and in most: (a, b), the hub first."""
+    degree = near.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+    of = lambda x: degree.select(F.col("cls").alias(x), F.struct("degree", F.col("cls")).alias(f"of_{x}"))
+    ends = near.join(of("a"), "a").join(of("b"), "b").select(F.greatest("of_a", "of_b").alias("hub"), F.least("of_a", "of_b").alias("own"))
+    ranked = ends.select("hub", F.col("own.cls").alias("b")).withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hub"))))
+    return ranked.filter("rank <= 2").select(F.col("hub.cls").alias("a"), "b")
+
+
+def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those between different components."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    marked = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return marked.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
 def most_named(met: DataFrame, least: int) -> DataFrame:
@@ -205,25 +232,21 @@ def apart(members: DataFrame, more: Column, least: int) -> DataFrame:
 
 
 def rest(opened: DataFrame, classes: DataFrame, least: int, keep: Scratch) -> DataFrame:
-    """(a, b): pairs from open lists, by rare tokens alone, by others in a class of sizes, and by combinations of two
-    where the class is still long."""
+    """(a, b): pairs from open lists, by tokens in a class of sizes, and by combinations of two where the class is still long."""
     before = Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = keep.written(opened.withColumn("frequent", F.col("m") > LONG).withColumn("place", F.col("pos") - F.coalesce(F.sum(F.col("frequent").cast("int")).over(before), F.lit(0))))
+    ranked = keep.written(opened.withColumn("place", F.col("pos") - F.count("*").over(before)))
     signatures = classes.select("cls", *BITS)
-    last = Window.partitionBy("cls").orderBy("pos").rowsBetween(-EARLIER, -1)
-    alone = ranked.filter("not frequent").select("key", "cls", "n", "label", "place", F.collect_list("key").over(last).alias("earlier")).join(signatures, "cls").withColumn("own", F.lit(True))
-    first_shared = difference_allows(F.col("place_a") + F.col("place_b"), least)  # tokens before the first shared rare one are in one set only
-    pairs = apart(alone, first_shared, least)
+    first_shared = difference_allows(F.col("place_a") + F.col("place_b"), least)  # tokens before the first shared one, but those of open lists, are in one set only
 
     # a pair meets in the class of the smaller one's size: the larger one goes to its own class and to the next lower
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / least)) + 1e-9).cast("int")
     both = F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size - 1).alias("size"), F.lit(False).alias("own")))).alias("c")
-    by_size = ranked.filter("frequent").select(F.col("key").alias("token"), "cls", "n", "label", "pos", "place", both).select("*", "c.*").drop("c").withColumn("key", F.xxhash64("token", "size"))
+    by_size = ranked.select(F.col("key").alias("token"), "cls", "n", "label", "pos", "place", both).select("*", "c.*").drop("c").withColumn("key", F.xxhash64("token", "size"))
     lists = by_size.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key", "m")
     by_size = keep.written(by_size.join(lists, "key"), "by-size")
     last = Window.partitionBy("cls", "size").orderBy("pos").rowsBetween(-EARLIER, -1)
     short = by_size.filter(F.col("m") <= SPLIT).withColumn("earlier", F.collect_list("key").over(last))
-    pairs = pairs.union(apart(short.join(signatures, "cls"), first_shared, least))
+    pairs = apart(short.join(signatures, "cls"), first_shared, least)
 
     # without a token of the other kinds in common, all tokens before the second shared one, but the first, are in one set only
     tokens = by_size.filter(F.col("m") > SPLIT).groupBy("cls", "n", "label", "size", "own").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("tokens"))  # at most a prefix
@@ -306,24 +329,30 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     nodes = made.select("doc_id", "cls", "n")
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
     same = F.when(F.min("other") == F.max("other"), F.min("doc_id")).otherwise(F.raise_error(F.lit("two sets have one name")))
-    classes = written(made.filter("n > 0").groupBy("cls").agg(same.alias("doc_id"), first("n"), *map(first, BITS)), "classes")
+    classes = written(made.filter("n > 0").groupBy("cls").agg(same.alias("doc_id"), first("n"), first("weight"), *map(first, BITS)), "classes")
     fines = keep.written(made.filter("fine is not null").select("cls", "n", "fine").dropDuplicates(["cls"]), "fines")
-    listed = keep.written(keyed(made), "listed")
+    listed = keep.written(keyed(made, least), "listed")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those whose signatures allow a link."""
+        return pairs.select("a", "b").join(signed(classes, "b"), "b").join(signed(classes, "a"), "a").filter(difference_allows(bits_differ(), least)).select("a", "b")
 
     def met(pairs: DataFrame) -> DataFrame:
-        """Links among pairs of classes and hubs."""
-        near = pairs.drop("n_a", "n_b").join(signed(classes, "b"), "b").join(signed(classes, "a"), "a").filter(difference_allows(bits_differ(), least)).select("a", "b")
-        return verified(near, known, classes, fines, k, least, keep)
+        """Links among pairs of classes."""
+        return verified(pairs.distinct(), known, classes, fines, k, least, keep)
 
-    links = met(most_named(listed.select("cls", "n", F.explode(F.array("hi", "lo")).alias("hub")), least))
+    short = listed.filter("others is not null").select(F.explode("others").alias("a"), F.col("cls").alias("b")).distinct()
+    short = keep.written(near(short), "short")
+    long = keep.written(long_lists(listed, classes), "long")
+    links = met(nearest_hubs(short).union(near(most_named(long.select("cls", "n", F.explode(F.array("hi", "lo")).alias("hub")), least))))
     labels = keep.written(components(links, scratch=keep), "labels")
 
     # the class with most links so far is the next hub of each open list
     degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("degree"))
-    opened = keep.written(open_lists(listed.drop("hi", "lo"), labels).join(degree, "cls", "left").fillna(0, ["degree"]), "open")
+    opened = keep.written(open_lists(long.drop("hi", "lo"), labels).join(degree, "cls", "left").fillna(0, ["degree"]), "open")
     hubs = opened.groupBy("key").agg(F.max(F.struct("degree", "n", "cls", "label")).alias("hub"))
     second = most_named(opened.join(hubs, "key").filter(F.col("hub.label") != F.col("label")).select("cls", "n", F.struct("hub.n", "hub.cls").alias("hub")), least)
-    links = links.unionByName(met(second))
+    links = links.unionByName(met(crossing(short, labels).union(near(second))))
     labels = keep.written(components(links, scratch=keep), "labels")
 
     opened = open_lists(opened.drop("label", "degree"), labels)

@@ -675,6 +675,27 @@ def test_long_texts(spark, long_texts):
     assert {r.doc_id: len(r.votes) for r in weak_quality.score(docs, quality).collect()} == {k: sum(v != weak_quality.NONE for v in weak_quality.votes_of(weak_quality.measured(t.encode())[0])) for k, t in long_texts}
 
 
+def test_short_lists_give_pairs_and_no_postings(spark, monkeypatch):
+    """Texts that share much, below a link, and that no long list holds: each pair is kept once, no member of a list goes on."""
+    r = random.Random(9)
+    docs = []
+    for g in range(8):
+        base = prose(900 + g, 120).split()
+        for changes in (0, 1, 1, 3, 6, 9):
+            own = list(base)
+            for at in r.sample(range(len(own)), changes):
+                own[at] = f"w{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own)))
+    want = brute_components(docs)
+    members, apart, verified, asked = [], jaccard_join.apart, jaccard_join.verified, []
+    monkeypatch.setattr(jaccard_join, "apart", lambda *args: members.append(args[0].count()) or apart(*args))
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *args: asked.extend(tuple(x) for x in pairs.select("a", "b").collect()) or verified(pairs, *args))
+    out = jaccard_join.join(frame(spark, [(k, t, "en") for k, t in docs])).documents
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == want
+    assert len({label for _, label in want.values()}) > 8 and sum(members) == 0  # open short lists used to go on as postings
+    assert len(asked) == len({frozenset(x) for x in asked})
+
+
 @pytest.mark.parametrize("kind", ["alone", "by size", "pairs of tokens"])
 def test_open_lists_give_a_pair_once(spark, monkeypatch, kind):
     """Members of many lists in common meet in the first of them alone, and no pair that shares a list is lost."""
