@@ -231,19 +231,42 @@ def apart(members: DataFrame, more: Column, least: int) -> DataFrame:
     return one.join(two, (F.col("key") == F.col("key_b")) & ordered & (F.col("label_a") != F.col("label_b")) & may_link("n_a", "n_b", least) & more & difference_allows(bits_differ(), least) & ~F.arrays_overlap("earlier_a", "earlier_b")).select("a", "b")
 
 
+def room(n: str, place: str, least: int) -> Column:
+    """least times the size of the largest set that may link with one of n tokens, of which those before place are in it only."""
+    return DENOMINATOR * F.col(n) - (least + DENOMINATOR) * F.col(place)
+
+
+def with_partners(members: DataFrame, least: int) -> DataFrame:
+    """Of members (key, cls, n, label, place, ...) of lists those that some member of another component could link with, by its
+    component's least size and most room in the list. A list whose members are in one component goes as a whole.
+
+    Neither member of a pair that links is missing from the first two lists that the pair shares, however often this is done.
+    """
+    of = members.groupBy("key", "label").agg(F.min("n").alias("n"), F.max(room("n", "place", least)).alias("room"))
+    ends = of.groupBy("key").agg(F.min(F.struct("n", "label")).alias("small"), F.max(F.struct("room", "label")).alias("wide"))
+    elsewhere = lambda end, c: F.when(F.col("label") != F.col(f"{end}.label"), F.col(c))
+    seconds = of.join(ends, "key").groupBy("key", "small", "wide").agg(F.min(elsewhere("small", "n")).alias("n_second"), F.max(elsewhere("wide", "room")).alias("room_second"))
+    n_other = F.coalesce(elsewhere("small", "small.n"), "n_second")
+    room_other = F.coalesce(elsewhere("wide", "wide.room"), "room_second")
+    return members.join(seconds, "key").filter((room("n", "place", least) >= least * n_other) & (room_other >= least * F.col("n"))).select(*members.columns)
+
+
 def rest(opened: DataFrame, classes: DataFrame, least: int, keep: Scratch) -> DataFrame:
     """(a, b): pairs from open lists, by tokens in a class of sizes, and by combinations of two where the class is still long."""
     before = Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keep.written(opened.withColumn("place", F.col("pos") - F.count("*").over(before)))
     signatures = classes.select("cls", *BITS)
-    first_shared = difference_allows(F.col("place_a") + F.col("place_b"), least)  # tokens before the first shared one, but those of open lists, are in one set only
+    first_shared = (room("n_a", "place_a", least) >= least * F.col("n_b")) & (room("n_b", "place_b", least) >= least * F.col("n_a"))  # tokens before the first shared one, but those of open lists, are in one set only
 
     # a pair meets in the class of the smaller one's size: the larger one goes to its own class and to the next lower
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / least)) + 1e-9).cast("int")
     both = F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size - 1).alias("size"), F.lit(False).alias("own")))).alias("c")
     by_size = ranked.select(F.col("key").alias("token"), "cls", "n", "label", "pos", "place", both).select("*", "c.*").drop("c").withColumn("key", F.xxhash64("token", "size"))
-    lists = by_size.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("key", "m")
-    by_size = keep.written(by_size.join(lists, "key"), "by-size")
+    had, left = None, by_size.count()
+    while had is None or 2 * left < had:  # those that go may have been partners of others
+        by_size = keep.written(with_partners(by_size, least), "partners")
+        had, left = left, by_size.count()
+    by_size = keep.written(by_size.join(by_size.groupBy("key").agg(F.count("*").alias("m")), "key"), "by-size")
     last = Window.partitionBy("cls", "size").orderBy("pos").rowsBetween(-EARLIER, -1)
     short = by_size.filter(F.col("m") <= SPLIT).withColumn("earlier", F.collect_list("key").over(last))
     pairs = apart(short.join(signatures, "cls"), first_shared, least)

@@ -696,6 +696,44 @@ def test_short_lists_give_pairs_and_no_postings(spark, monkeypatch):
     assert len(asked) == len({frozenset(x) for x in asked})
 
 
+@pytest.mark.parametrize("split", [1024, 1])
+def test_members_without_a_partner_leave_open_lists(spark, monkeypatch, split):
+    """Near copies in one component, others with too many tokens of their own for a link of that size, and one that may link."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    near, far, may = range(10), range(10, 15), 15
+    first = {**dict.fromkeys(near, 0), **dict.fromkeys(far, 20), may: 10}  # the places before are of tokens in one set only
+    opened = spark.createDataFrame([(t * 7919, c, 146, at + t, 16, max(c, 9)) for c, at in first.items() for t in range(8)], "key long, cls long, n int, pos int, m long, label long")
+    classes = spark.createDataFrame([(c, *[0] * jaccard_join.PARITY) for c in first], f"cls long, {', '.join(f'{p} long' for p in jaccard_join.BITS)}")
+    held, apart = set(), jaccard_join.apart
+    monkeypatch.setattr(jaccard_join, "apart", lambda members, *args: held.update(r.cls for r in members.select("cls").collect()) or apart(members, *args))
+    keep = Scratch(spark)
+    got = [(r.a, r.b) for r in jaccard_join.rest(opened, classes, 80, keep).collect()]
+    assert sorted(got) == [(c, may) for c in near] and held == {*near, may}
+    none = jaccard_join.rest(opened.filter(f"cls <> {may}"), classes, 80, keep).collect()
+    keep.close()
+    assert none == [] and held == {*near, may}
+
+
+def test_links_of_much_changed_copies(spark, monkeypatch):
+    """Copies of copies that are too far from the first text for a link, where all lists are long."""
+    monkeypatch.setattr(jaccard_join, "LONG", 1)
+    monkeypatch.setattr(jaccard_join, "SPLIT", 3)
+    r = random.Random(12)
+    docs = []
+    for g in range(3):
+        base = [f"b{g}w{i}" for i in range(150)]
+        for changes in [0, *[1] * 9, 2, 3, 3, 4, 4, 5]:
+            own = list(base)
+            for at in r.sample(range(4, 146, 4), changes):
+                own[at] = f"w{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own)))
+            for more in range(0 if changes < 3 else 2):
+                own[4 * more + 6] = f"w{r.randrange(10**6)}"
+                docs.append((len(docs), " ".join(own)))
+    out = jaccard_join.join(frame(spark, [(k, t, "en") for k, t in docs])).documents
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == brute_components(docs)
+
+
 @pytest.mark.parametrize("kind", ["alone", "by size", "pairs of tokens"])
 def test_open_lists_give_a_pair_once(spark, monkeypatch, kind):
     """Members of many lists in common meet in the first of them alone, and no pair that shares a list is lost."""
